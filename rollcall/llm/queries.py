@@ -41,13 +41,118 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.html_render import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.quality import judge
+
+    return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.lm_score import fit, score_documents
+
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
+    models = fit(documents.join(good, "doc_id", "left"))
+    return score_documents(spark, documents, models)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.bpe import encode_documents
+
+    return encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), digests=True)
+
+
+def op9_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.neighbours import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.chat import digests, format_trees, thread_by_turn
+
+    both = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", both), (-1, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return digests(format_trees(thread_by_turn(rows)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
         op2_toxicity,
         op3_ngram_jaccard,
+        op4_html_extraction,
+        op5_line_dedup,
+        op6_quality_rules,
+        op7_lm_scoring,
+        op8_bpe,
+        op9_embedding_near_dup,
+        op10_chat_format,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [md5(array_to_string(w, ' '))]
+         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: md5(array_to_string(w[i : i + 3], ' ')))) END AS s FROM d
+), c AS MATERIALIZED (
+  SELECT min(doc_id) AS rep, len(k) AS n, k FROM (SELECT doc_id, list_sort(s) AS k FROM s) WHERE len(k) > 0 GROUP BY k
+), t AS (SELECT rep, n, unnest(k) AS g FROM c),
+f AS (SELECT g, count(*) AS df FROM t GROUP BY g),
+p AS MATERIALIZED (
+  SELECT rep, n, g FROM (SELECT t.rep, t.n, t.g, row_number() OVER (PARTITION BY t.rep ORDER BY f.df, t.g) AS r FROM t JOIN f ON t.g = f.g)
+  WHERE r <= n - (85 * n + 99) // 100 + 1
+), cand AS (
+  SELECT DISTINCT a.rep AS a, b.rep AS b FROM p a JOIN p b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+), e AS MATERIALIZED (
+  SELECT a, b FROM (SELECT cand.a, cand.b, x.n AS na, y.n AS nb, len(list_intersect(x.k, y.k)) AS o
+                    FROM cand JOIN c x ON x.rep = cand.a JOIN c y ON y.rep = cand.b)
+  WHERE 100 * o >= 85 * (na + nb - o)
+), both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT DISTINCT a AS x, a AS y FROM both_ways UNION SELECT r.x, w.b FROM reach r JOIN both_ways w ON r.y = w.a),
+comp AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(comp.m, c.rep, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON c.k = list_sort(s.s) LEFT JOIN comp ON comp.x = c.rep
+"""
+
+#: lists of the digests that one sorted conversation gives; its template is written out in the escape patterns.
+_OP10_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, regexp_replace(text, '(<)(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|</?SYS>>)|(\[)(\\*)(/?INST\])', '\1\4\2\5\\\3\6', 'g') AS escaped FROM rows
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       sum(length('<|im_start|>' || role || chr(10) || escaped || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def _oracles() -> dict[str, str]:
+    from rollcall.llm.quality import JUDGE_SQL
+
+    return {"op3_ngram_jaccard": _OP3_SQL, "op6_quality_rules": JUDGE_SQL, "op10_chat_format": _OP10_SQL}
+
+
+ORACLE_SQL: dict[str, str] = _oracles()
