@@ -29,7 +29,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "toxic")
-    model = learn(documents.join(labels, "doc_id"))
+    model = learn(documents, labels)
     return score_toxicity(documents, model).select(
         "doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )

@@ -156,7 +156,8 @@ def _candidates(text: str) -> set[str]:
 
 
 def learn(
-    labelled: DataFrame,
+    documents: DataFrame,
+    labels: DataFrame,
     text: str = "text",
     label: str = "toxic",
     key: str = "doc_id",
@@ -164,24 +165,26 @@ def learn(
     max_entries: int = 400,
     min_texts: int = 4,
 ) -> ToxicityModel:
-    """Fit a model on labelled texts.
+    """Fit a model on the documents that have labels (key, 0 or 1).
 
-    At most max_texts texts are read (the bound on the sample: half of them toxic if there are as
-    many), those of the least hashed keys; rows with a null label or text are left out. An entry must
+    At most max_texts labels are used (the bound on the sample: half of them toxic if there are as
+    many), those of the least hashed keys; null labels and texts are left out, and of several labels
+    of one key the highest counts. Only the sample's texts move. An entry must
     be in min_texts toxic texts and its counts' likelihood ratio at least MIN_GAIN; the largest ratios come
     first, and no entry is the beginning of another. Two-word phrases around an entry that are found in
     non-toxic texts only, in min_texts at least, become exception phrases. Without labelled texts of
     both kinds the model has no entries, and every score is low.
     """
-    rows = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(
-        F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(
+        F.max(label).cast("int").alias("label")
     )
     order = F.xxhash64(F.col("key").cast("string"))
-    sample = (
-        rows.where("label = 1").orderBy(order, "key").limit(max_texts // 2)
-        .unionByName(rows.where("label = 0").orderBy(order, "key").limit(max_texts - max_texts // 2))
-    ).repartition(max(8, max_texts // 500), "key")
-    sample = materialise(sample, "toxic-sample")
+    chosen = rows.where("label = 1").orderBy(order, "key").limit(max_texts // 2).unionByName(
+        rows.where("label = 0").orderBy(order, "key").limit(max_texts - max_texts // 2)
+    )
+    texts = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    sample = texts.join(F.broadcast(chosen), "key")  # at most max_texts keys
+    sample = materialise(sample.repartition(max(8, max_texts // 500), "key"), "toxic-sample")
     totals = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
