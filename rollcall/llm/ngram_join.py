@@ -30,6 +30,8 @@ GROUP_ROWS, QUERY_ROWS = 48, 512
 COMMON = 64
 #: Such shingles are sent to every task; above this many, only those of a higher count are.
 MOST_COMMON = 1_000_000
+#: A table of so many keys at most (they are counted) is sent to every task; a larger one is joined by shuffles.
+SENT_ROWS = 1_000_000
 _WORDS_KEPT = 1_000_000
 
 
@@ -96,7 +98,7 @@ def _sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 k1.append(int.from_bytes(key[:8], "little", signed=True))
                 k2.append(int.from_bytes(key[8:], "little", signed=True))
                 prefix = len(s) - _need(len(s), percent) + 1
-                head.append(s[: prefix + max(64, len(s) // 8)])
+                head.append(s[: prefix + max(16, len(s) // 16)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _list_column(head)],
                 ["doc_id", "n", "k1", "k2", "head"],
@@ -144,6 +146,11 @@ def _common_shingles(prefixes: DataFrame) -> np.ndarray:
     return np.sort(np.asarray(rows.column("token").combine_chunks()).astype(np.int64).view(np.uint64))
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    """The frame, marked for broadcast if its rows, which are counted, are few."""
+    return F.broadcast(keys) if keys.limit(SENT_ROWS + 1).count() <= SENT_ROWS else keys
+
+
 def _full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node and its whole set, of the given nodes."""
 
@@ -153,7 +160,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 [batch.column(0), _list_column([shingle_set(v.as_py(), width) for v in batch.column(1)])], ["node", "tokens"]
             )
 
-    picked = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    picked = docs.join(_sent(nodes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return picked.select("doc_id", "text").mapInArrow(run, "node long, tokens array<long>")
 
 
@@ -246,7 +253,7 @@ def _grouped(nodes: DataFrame, by: list[str]) -> DataFrame:
 
 def _connect(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node, component for all nodes of the index (token, node, n)."""
-    nodes = index.groupBy("node").agg(F.min("token").alias("key"), F.first("n").alias("n"))
+    nodes = materialise(index.groupBy("node").agg(F.min("token").alias("key")), "nodes")
     # groups of similar ones: equal in the least of their shared prefix shingles; merged, then once more by their roots
     merged = materialise(_merge_round(nodes, sets, percent), "merged")
     roots = nodes.join(merged.select(F.col("component").alias("node")).distinct(), "node", "left_semi")
@@ -278,7 +285,7 @@ def _connect(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _merge_round(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     groups = _grouped(nodes, ["key"]).select("node", "g")
-    rows = groups.join(sets, "node").select("g", F.lit(0).alias("part"), F.lit(0).alias("kind"), "node", "tokens")
+    rows = sets.join(_sent(groups), "node").select("g", F.lit(0).alias("part"), F.lit(0).alias("kind"), "node", "tokens")
     found = _streamed(rows, _merge_members(percent), "a long, b long")
     return found.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
@@ -304,10 +311,10 @@ def _query_groups(index: DataFrame, member: DataFrame, percent: int, probe: bool
 def _opened(pairs: DataFrame, member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     load = pairs.groupBy("g").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("parts"))
     groups = _grouped(member, ["component"]).join(load, "g")
-    members = groups.join(sets, "node").select(
+    members = sets.join(_sent(groups.select("node", "g", "parts")), "node").select(
         "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "node", "tokens"
     )
-    queries = pairs.join(load, "g").join(sets.withColumnRenamed("node", "q"), "q").select(
+    queries = sets.withColumnRenamed("node", "q").join(_sent(pairs.join(load, "g")), "q").select(
         "g", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("q").alias("node"), "tokens"
     )
     return _streamed(members.unionByName(queries), _open_group(percent), "a long, b long")
@@ -327,24 +334,29 @@ def jaccard_components(
         raise ValueError("percent must be above 50 and at most 100")
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = materialise(_sketch(docs, width, percent), "sketch")
-    classes = sketch.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.first("head").alias("head"))
-    own = materialise(classes, "classes")
-    heads = own.select("node", "n", "head")
+    own = materialise(
+        sketch.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")), "classes"
+    )
+    # all but the least document of a class; the others' heads say the same
+    copied = own.where("node <> last").select("k1", "k2", "node")
+    copies = materialise(
+        sketch.select("doc_id", "k1", "k2").join(_sent(copied), ["k1", "k2"]).where("doc_id <> node").select("doc_id").distinct(), "copies"
+    )
+    heads = sketch.where("n > 0").join(_sent(copies), "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "n", "head")
     first = heads.select("node", "n", F.expr(f"slice(head, 1, cast(n - ceil({percent} * n / 100) + 1 as int))").alias("prefix"))
     common = _common_shingles(first)
-    prefixes = materialise(_prefixes(heads, common, width, percent, texts=False), "prefixes")
-    late = prefixes.where("prefix is null")
-    more = docs.join(late.select(F.col("node").alias("doc_id"), "n"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "n", "text")
-    prefixes = prefixes.where("prefix is not null").unionByName(
-        _prefixes(more.withColumnRenamed("doc_id", "node"), common, width, percent, texts=True)
+    known = materialise(_prefixes(heads, common, width, percent, texts=False), "prefixes")
+    late = known.where("prefix is null").select(F.col("node").alias("doc_id"), "n")
+    more = docs.join(_sent(late), "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "n", "text")
+    known = known.where("prefix is not null").unionByName(
+        materialise(_prefixes(more, common, width, percent, texts=True), "prefixes")
     )
-    tokens = materialise(prefixes.select("node", "n", F.explode("prefix").alias("token")), "tokens")
-    shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    index = materialise(tokens.join(shared, "token", "left_semi"), "index")
-    release(tokens)
+    tokens = known.select("node", "n", F.explode("prefix").alias("token"))
+    shared = materialise(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "shared")
+    index = materialise(tokens.join(_sent(shared), "token", "left_semi").distinct(), "index")
     sets = materialise(_full_sets(docs, index.select("node").distinct(), width), "sets")
     member = _connect(index, sets, percent)
-    linked = own.select("k1", "k2", "node").join(member, "node", "left").select(
+    linked = own.join(member, "node", "left").select(
         "k1", "k2", "node", F.coalesce("component", "node").alias("component")
     )
     # least member over all documents of a component, since a class is named by its least document
