@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Column expressions: identity, e-mail, page text, scores, decision ladders."""
