@@ -26,10 +26,9 @@ from rollcall.session import materialise, release
 
 #: Members of a group, about; queries that meet a group in one task, about.
 GROUP_ROWS, QUERY_ROWS = 48, 512
-#: A shingle in more prefixes than this is ranked behind all others.
-COMMON = 64
-#: Such shingles are sent to every task; above this many, only those of a higher count are.
-MOST_COMMON = 1_000_000
+#: Shingles found in several documents are ranked behind all others, by the magnitude of their count. Their
+#: list is sent to every task; it holds at most so many, the ones of the highest counts.
+MOST_COMMON = 2_000_000
 #: A table of so many keys at most (they are counted) is sent to every task; a larger one is joined by shuffles.
 SENT_ROWS = 1_000_000
 _WORDS_KEPT = 1_000_000
@@ -107,43 +106,51 @@ def _sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, head array<long>")
 
 
-def _prefixes(rows: DataFrame, common: np.ndarray, width: int, percent: int, texts: bool) -> DataFrame:
-    """node, n, prefix: the first shingles in the order (not common, hash). prefix is null where the head
-    doesn't reach that far; rows with texts instead of heads always have one."""
+def _prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, percent: int, texts: bool) -> DataFrame:
+    """node, n, prefix: the first shingles in the order (magnitude of the count, hash). prefix is null where a head
+    doesn't hold enough shingles of the first rank; rows with texts in place of heads always have one."""
     shared = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked_last = shared.value
+        known, magnitude = shared.value
         for batch in batches:
             out: list[list[int] | None] = []
             for size, value in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = shingle_set(value.as_py(), width) if texts else np.asarray(value.values).astype(np.int64).view(np.uint64)
                 want = size - _need(size, percent) + 1
-                at = np.searchsorted(ranked_last, s)
-                late = (at < len(ranked_last)) & (ranked_last[np.minimum(at, len(ranked_last) - 1)] == s) if len(ranked_last) else np.zeros(len(s), bool)
-                first = s[~late]
+                rank = np.zeros(len(s), np.uint8)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    rank = np.where(known[at] == s, magnitude[at], 0)
+                first = s[rank == 0]
                 if len(first) < want and len(s) == size:
-                    first = np.concatenate([first, s[late]])
+                    first = s[np.lexsort((s, rank))]
                 out.append(_signed(first[:want]).tolist() if len(first) >= want else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["node", "n", "prefix"])
 
     return rows.mapInArrow(run, "node long, n long, prefix array<long>")
 
 
-def _common_shingles(prefixes: DataFrame) -> np.ndarray:
-    """The shingles of more than COMMON prefixes, at most MOST_COMMON of them (then of a higher count), sorted."""
+def _common_shingles(prefixes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of two prefixes or more, sorted, and the magnitude (binary logarithm) of each one's count.
+
+    Beyond MOST_COMMON of them, those of the least magnitudes are left out: any such list gives right results.
+    """
     counts = materialise(
-        prefixes.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > COMMON), "common"
+        prefixes.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1")
+        .select("token", F.floor(F.log2("count")).cast("int").alias("magnitude")), "common"
     )
-    steps = counts.groupBy(F.floor(F.log2("count")).cast("int").alias("step")).count().collect()
     floor, room = 64, MOST_COMMON
-    for step, n in sorted(steps, reverse=True):
+    for step, n in sorted(counts.groupBy("magnitude").count().collect(), reverse=True):
         if n > room:
             break
         floor, room = step, room - n
-    rows = counts.where(F.floor(F.log2("count")) >= floor).select("token").toArrow()
+    rows = counts.where(F.col("magnitude") >= floor).toArrow().combine_chunks()
     release(counts)
-    return np.sort(np.asarray(rows.column("token").combine_chunks()).astype(np.int64).view(np.uint64))
+    token = np.asarray(rows.column("token").combine_chunks() if rows.num_rows else [], dtype=np.int64).view(np.uint64)
+    magnitude = np.asarray(rows.column("magnitude").combine_chunks() if rows.num_rows else [], dtype=np.uint8)
+    order = np.argsort(token)
+    return token[order], magnitude[order]
 
 
 def _sent(keys: DataFrame) -> DataFrame:
