@@ -26,17 +26,24 @@ def normal_name(name: Column) -> Column:
     return F.array_join(name_tokens(name), "")
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once and not once for each place where it stands."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def registered_domain(value: Column) -> Column:
     """The host's last two labels, or three below a generic second level of a two-letter country; null without a dot."""
     raw = F.lower(F.trim(value))
-    rest = F.when(raw.contains("//"), F.regexp_extract(raw, "^[^/]*//(.*)$", 1)).otherwise(raw)
+    rest = F.regexp_replace(raw, "^[^/]*//", "")
     host = F.regexp_extract(F.regexp_extract(rest, r"^([^/?#]*)", 1), r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1)
-    labels = F.split(F.regexp_replace(host, r"^www\.", ""), r"\.")
-    size = F.size(labels)
-    three = (size >= 3) & F.get(labels, size - 2).isin(*TWO_LEVEL_LABELS) & (F.length(F.get(labels, size - 1)) == 2)
-    kept = F.when(three, 3).otherwise(2)
-    joined = F.array_join(F.slice(labels, F.greatest(size - kept + 1, F.lit(1)), kept), ".")
-    return F.when((size >= 2) & ~host.startswith("["), joined)
+
+    def root(labels: Column) -> Column:
+        size = F.size(labels)
+        three = (size >= 3) & F.element_at(labels, -2).isin(*TWO_LEVEL_LABELS) & (F.length(F.element_at(labels, -1)) == 2)
+        kept = F.when(three, 3).otherwise(2)
+        return F.when((size >= 2) & ~F.get(labels, 0).startswith("["), F.array_join(F.slice(labels, F.greatest(size - kept + 1, F.lit(1)), kept), "."))
+
+    return let(F.split(F.regexp_replace(host, r"^www\.", ""), r"\."), root)
 
 
 def normal_reg_no(value: Column) -> Column:

@@ -83,7 +83,8 @@ def page_emails(pages: DataFrame) -> DataFrame:
     in_all = lambda arr: F.flatten(F.transform(F.filter(arr, lambda x: x.isNotNull()), lambda x: F.regexp_extract_all(x, F.lit(pattern), F.lit(1))))
     text = mail.deobfuscate(F.substring(visible_text(F.col("html")), 1, SCANNED))
     passes = ((0, 9, in_all(linked)), (1, 9, in_all(hidden)), (2, 6, all_matches(text, pattern)), (3, 4, all_matches(F.substring("html", 1, SCANNED), pattern)))
-    found = F.flatten(F.array(*(F.transform(arr, lambda v, n=n, c=c: F.struct(F.lit(n).alias("pass"), F.lit(c).alias("confidence"), v.alias("raw"))) for n, c, arr in passes)))
+    marked = lambda n, c: lambda v: F.struct(F.lit(n).alias("pass"), F.lit(c).alias("confidence"), v.alias("raw"))
+    found = F.flatten(F.array(*(F.transform(arr, marked(n, c)) for n, c, arr in passes)))
     rows = pages.select("page_id", F.explode(found).alias("f")).select(
         "page_id", "f.pass", "f.confidence", F.lower(F.regexp_replace(F.trim("f.raw"), r"^\.+|\.+$", "")).alias("value")
     )

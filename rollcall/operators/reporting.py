@@ -36,7 +36,7 @@ def histogram(rows: DataFrame, column: str, blank: str = "?") -> DataFrame:
 def user_statistics(users: DataFrame, audit: DataFrame, queue: DataFrame) -> DataFrame:
     """user_id, confirmed, rejected, last_at (of any action), claimed (pending rows held); 0 where there is nothing."""
     acts = audit.groupBy(F.col("actor_id").alias("user_id")).agg(
-        F.count_if(F.col("action") == "confirmed").alias("confirmed"), F.count_if(F.col("action") == "rejected").alias("rejected"), F.max("at").alias("last_at")
+        F.count_if(F.col("action") == "confirmed").alias("confirmed"), F.count_if(F.col("action") == "rejected").alias("rejected"), F.max("ts").alias("last_at")
     )
     held = queue.where("status = 'pending' AND claimed_by is not null").groupBy(F.col("claimed_by").alias("user_id")).agg(F.count("*").alias("claimed"))
     joined = users.join(acts, "user_id", "left").join(held, "user_id", "left")
@@ -46,7 +46,7 @@ def user_statistics(users: DataFrame, audit: DataFrame, queue: DataFrame) -> Dat
 
 def recent_audit(audit: DataFrame, queue: DataFrame, company: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     rows = audit.join(queue.select("review_id", "company_id"), "review_id").join(company.select("company_id", F.col("name").alias("company")), "company_id", "left")
-    return rows.orderBy(F.desc("at"), "audit_id").offset(offset).limit(limit).select("audit_id", "review_id", "action", "actor_id", "company", "at")
+    return rows.orderBy(F.desc("ts"), "audit_id").offset(offset).limit(limit).select("audit_id", "review_id", "action", "actor_id", "company", "ts")
 
 
 def month_key(at: Column) -> Column:
@@ -54,11 +54,11 @@ def month_key(at: Column) -> Column:
 
 
 def priced(events: DataFrame, prices: dict[str, int] | None = None) -> DataFrame:
-    """events (provider, units, at) with unit_cost, cost and month: units below 0 count as 0, unknown providers cost 0."""
+    """events (provider, units, ts) with unit_cost, cost and month: units below 0 count as 0, unknown providers cost 0."""
     table = events.sparkSession.createDataFrame(sorted((prices or UNIT_PRICES).items()), "provider string, price int")
     units = F.greatest(F.col("units"), F.lit(0))
     joined = events.join(F.broadcast(table), "provider", "left")  # eight rows
-    return joined.select(*events.columns, F.coalesce("price", F.lit(0)).alias("unit_cost"), (units * F.coalesce("price", F.lit(0))).alias("cost"), month_key(F.col("at")).alias("month"))
+    return joined.select(*events.columns, F.coalesce("price", F.lit(0)).alias("unit_cost"), (units * F.coalesce("price", F.lit(0))).alias("cost"), month_key(F.col("ts")).alias("month"))
 
 
 def cost_breakdown(costs: DataFrame, month: str) -> DataFrame:
@@ -77,7 +77,7 @@ def budget_report(costs: DataFrame, month: str, budget: int) -> DataFrame:
 
 def spent_until_budget(costs: DataFrame, budget: int) -> DataFrame:
     """The calls of each month that a budget lets through, in time: a call runs while what was spent before is below it."""
-    before = Window.partitionBy("month").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("month").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     return costs.withColumn("spent", F.coalesce(F.sum("cost").over(before), F.lit(0))).where(F.col("spent") < budget)
 
 
@@ -89,13 +89,13 @@ def report_text(stats: DataFrame) -> DataFrame:
 
 
 def throttle(failures: DataFrame, most: int = 5, window_seconds: int = 900) -> DataFrame:
-    """user_id, at (seconds), n, retry_after: failures within the window up to each one, and the seconds until the
+    """user_id, second, n, retry_after: failures within the window up to each one, and the seconds until the
     oldest of the last `most` leaves it (0 while there are fewer)."""
-    recent = Window.partitionBy("user_id").orderBy("at").rangeBetween(-window_seconds + 1, 0)
+    recent = Window.partitionBy("user_id").orderBy("second").rangeBetween(-window_seconds + 1, 0)
     rows = failures.withColumn("n", F.count("*").over(recent))
-    last = Window.partitionBy("user_id").orderBy("at", "event_id")
-    nth = F.lag("at", most - 1).over(last)
-    wait = F.when((F.col("n") >= most) & nth.isNotNull(), F.greatest(F.lit(0), nth + window_seconds - F.col("at"))).otherwise(0)
+    last = Window.partitionBy("user_id").orderBy("second", "event_id")
+    nth = F.lag("second", most - 1).over(last)
+    wait = F.when((F.col("n") >= most) & nth.isNotNull(), F.greatest(F.lit(0), nth + window_seconds - F.col("second"))).otherwise(0)
     return rows.withColumn("retry_after", wait.cast("long"))
 
 

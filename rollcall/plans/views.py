@@ -54,7 +54,7 @@ VIEWS: dict[str, str] = {
                o_orderkey % 3 = 0 AS selected_by_human, o_orderkey
         FROM {orders}""",
     "v_contact": """
-        SELECT concat('k', l_orderkey, '-', l_linenumber) AS contact_id, concat('c', l_suppkey) AS company_id,
+        SELECT concat('k', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', CAST(l_quantity AS int)) AS contact_id, concat('c', l_suppkey) AS company_id,
                CASE l_linenumber % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'phone' ELSE 'form' END AS type,
                CASE l_linenumber % 3 WHEN 0 THEN concat('a', l_suppkey, '@x.com') WHEN 1 THEN concat('+82-2-', l_partkey)
                     ELSE concat('https://x.com/contact/', l_partkey) END AS value,
@@ -78,18 +78,18 @@ VIEWS: dict[str, str] = {
     "v_cost_event": """
         SELECT event_id, CASE event_type WHEN 'click' THEN 'serper' WHEN 'view' THEN 'hunter' WHEN 'purchase' THEN 'zerobounce'
                     WHEN 'signup' THEN 'vision' ELSE 'nobody' END AS provider,
-               CAST(event_id % 7 AS int) - 1 AS units, ts AS at, user_id
+               CAST(event_id % 7 AS int) - 1 AS units, ts, user_id
         FROM {events}""",
     "v_audit": """
         SELECT concat('e', event_id) AS audit_id, concat('r', event_id) AS review_id,
                CASE event_id % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rejected' ELSE 'reclaim' END AS action,
-               concat('u', user_id % 9) AS actor_id, ts AS at
+               concat('u', user_id % 9) AS actor_id, ts
         FROM {events}""",
     "v_user": "SELECT DISTINCT concat('u', event_id % 12) AS user_id FROM {events}",
     "v_log": """
         SELECT concat('b', o_orderkey % 45, '@x.com') AS email, 'sent' AS status, o_orderdate AS sent_at, o_orderkey
         FROM {orders} WHERE o_orderkey % 40 = 7""",
-    "v_failure": "SELECT event_id, user_id, CAST(event_id * 37 % 100000 AS bigint) AS at FROM {events} WHERE event_id % 3 = 0",
+    "v_failure": "SELECT event_id, user_id, CAST(event_id * 37 % 100000 AS bigint) AS second FROM {events} WHERE event_id % 3 = 0",
     "v_html": """
         SELECT page_id, url, concat(html, '<a href="mailto:IR.Team', page_id % 40, '@firm', page_id % 30, '.com?subject=x">mail</a>',
                CASE WHEN page_id % 3 = 0 THEN concat('<a href="tel:+82-2-', 1000000 + page_id, '">call</a>') ELSE '' END,
@@ -147,6 +147,8 @@ def with_views(body: str, *names: str) -> str:
 
     for n in names:
         add(n)
+    if not order:
+        return body.strip()
     parts = [f"{n} AS ({_NAME.sub(r'\1', VIEWS[n])})" for n in order]
     head, rest = ("WITH RECURSIVE ", body.strip())
     if rest.upper().startswith("WITH "):
