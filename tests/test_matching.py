@@ -20,13 +20,13 @@ def _tiers(spark, rows, **k) -> dict:
 def test_every_tier(spark):
     rows = [
         ("a1", "Acme Corporation", "KR", "https://acme.com", None), ("a2", "Acme, Inc.", "KR", "http://www.acme.com/ir", None), ("a3", "Zeta", "KR", "acme.com", None),
-        ("a4", "Acme", "KR", None, None), ("a5", "Acme", "KR", "acme.co.kr", None), ("a6", "Acmee", "KR", None, None),
+        ("a4", "Acme", "KR", None, None), ("a5", "Acme", "KR", "acme.co.kr", None), ("d1", "Hanwha abcdef", "KR", None, None), ("d2", "Hanwha abcdxy", "KR", "hanwha.com", None),
         ("b1", "One", "KR", None, "124-81-00998"), ("b2", "Two", "KR", None, "1248100998"), ("b3", "One", "US", None, "1248100998"),
         ("c1", "Same Name", "KR", "same.com", "1"), ("c2", "Same Name", "KR", "same.com", "2"),
     ]
     got = _tiers(spark, rows)
     assert got[("a1", "a2")] == "auto" and got[("a1", "a3")] == "domain" and got[("a1", "a4")] == "lexical"
-    assert got[("a1", "a5")] == "keep_both" and got[("a4", "a6")] == "shortlist"
+    assert got[("a1", "a5")] == "keep_both" and got[("d1", "d2")] == "shortlist"
     assert got[("b1", "b2")] == "reg_no" and ("b1", "b3") not in got
     assert got[("c1", "c2")] == "keep_both"
     random.shuffle(rows)
