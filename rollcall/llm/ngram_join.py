@@ -31,6 +31,8 @@ GROUP_ROWS, QUERY_ROWS = 48, 512
 MOST_COMMON = 2_000_000
 #: A table of so many keys at most (they are counted) is sent to every task; a larger one is joined by shuffles.
 SENT_ROWS = 1_000_000
+#: The same for tables of bitmaps.
+SENT_BITMAPS = 100_000
 _WORDS_KEPT = 1_000_000
 
 
@@ -43,6 +45,8 @@ class _WordHash(dict):
 
 
 _HASH = _WordHash()
+#: Bits set in each byte.
+_ONES = np.array([bin(x).count("1") for x in range(256)], np.int64)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -153,22 +157,39 @@ def _common_shingles(prefixes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token[order], magnitude[order]
 
 
-def _sent(keys: DataFrame) -> DataFrame:
+def _sent(keys: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
     """The frame, marked for broadcast if its rows, which are counted, are few."""
-    return F.broadcast(keys) if keys.limit(SENT_ROWS + 1).count() <= SENT_ROWS else keys
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
+
+
+def _marks(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of a set, of at least four bits for each shingle: bit (hash mod size)."""
+    bits = 64
+    while bits < 4 * len(tokens):
+        bits *= 2
+    out = np.zeros(bits, bool)
+    out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little")
+
+
+def _folded(marks: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of the same set with fewer bits."""
+    while len(marks) > size:
+        marks = marks[: len(marks) // 2] | marks[len(marks) // 2 :]
+    return marks
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node and its whole set, of the given nodes."""
+    """node, its whole set, and the bitmap of it, of the given nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _list_column([shingle_set(v.as_py(), width) for v in batch.column(1)])], ["node", "tokens"]
-            )
+            sets = [shingle_set(v.as_py(), width) for v in batch.column(1)]
+            marks = pa.array([_marks(s).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), _list_column(sets), marks], ["node", "tokens", "marks"])
 
     picked = docs.join(_sent(nodes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return picked.select("doc_id", "text").mapInArrow(run, "node long, tokens array<long>")
+    return picked.select("doc_id", "text").mapInArrow(run, "node long, tokens array<long>, marks binary")
 
 
 def _streamed(rows: DataFrame, work, schema: str) -> DataFrame:
@@ -276,7 +297,7 @@ def _connect(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         n_pairs = pairs.count()
         if not last and n_pairs == 0:
             break
-        links = _opened(pairs, member, sets, percent)
+        links = _opened(materialise(_qualifying(pairs, member, sets, percent), "pairs"), member, sets, percent)
         roots_of = member.select(F.col("node"), F.col("component"))
         edges = (
             links.join(roots_of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
@@ -292,7 +313,7 @@ def _connect(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _merge_round(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     groups = _grouped(nodes, ["key"]).select("node", "g")
-    rows = sets.join(_sent(groups), "node").select("g", F.lit(0).alias("part"), F.lit(0).alias("kind"), "node", "tokens")
+    rows = sets.select("node", "tokens").join(_sent(groups), "node").select("g", F.lit(0).alias("part"), F.lit(0).alias("kind"), "node", "tokens")
     found = _streamed(rows, _merge_members(percent), "a long, b long")
     return found.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
@@ -315,6 +336,49 @@ def _query_groups(index: DataFrame, member: DataFrame, percent: int, probe: bool
     return pairs.where("cq > component").select("q", "g").distinct()
 
 
+def _qualifying(pairs: DataFrame, member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bound, from the bitmaps of the query and of the group's union, reaches the threshold.
+
+    A bit of the query that the union lacks stands for at least one shingle that no member has.
+    """
+    marks = sets.select("node", "marks")
+    placed = _grouped(member, ["component"]).join(pairs.select("g").distinct(), "g", "left_semi").select("node", "g").join(marks, "node")
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, union = None, np.empty(0, np.uint8)
+        for batch in batches:
+            done: list[tuple[int, bytes]] = []
+            for g, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                one = np.frombuffer(value, np.uint8)
+                if g != key:
+                    if key is not None:
+                        done.append((key, union.tobytes()))
+                    key, union = g, one
+                else:
+                    size = min(len(one), len(union))
+                    union = _folded(one, size) | _folded(union, size)
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.binary())], ["g", "union"])
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([union.tobytes()], pa.binary())], ["g", "union"])
+
+    unions = materialise(placed.select("g", "marks").repartition("g").sortWithinPartitions("g").mapInArrow(unite, "g long, union binary"), "unions")
+    queries = sets.select(F.col("node").alias("q"), F.size("tokens").alias("n"), "marks").join(pairs.select("q").distinct(), "q", "left_semi")
+    rows = pairs.join(_sent(queries, SENT_BITMAPS), "q").join(_sent(unions, SENT_BITMAPS), "g").select("q", "g", "n", "marks", "union")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, a, b in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+                size = min(len(x), len(y))
+                lacking = int(_ONES[_folded(x, size) & ~_folded(y, size)].sum())
+                keep.append(n - lacking >= _need(n, percent))
+            part = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(part.columns[:2], ["q", "g"])
+
+    return rows.mapInArrow(bound, "q long, g long")
+
+
 def _opened(pairs: DataFrame, member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     load = pairs.groupBy("g").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("parts"))
     groups = _grouped(member, ["component"]).join(load, "g")
