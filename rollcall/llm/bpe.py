@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 #: Words and pairs that a process remembers before it starts anew.
 WORDS_KEPT, PAIRS_KEPT = 400_000, 2_000_000
@@ -42,6 +43,7 @@ class WordBpe:
         self.rank = {(a, b): n for n, (a, b) in enumerate(merges)}
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.library = Tokenizer.from_file(path).normalizer, pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
         self.special_pattern = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)))
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
@@ -163,16 +165,27 @@ class WordBpe:
         # letters are lower-cased one by one, so a capital sigma at a word's end has no form of its own
         return regex.sub(r"\s+", " ", unicodedata.normalize("NFC", text)).replace("\u03a3", "\u03c3").lower()
 
+    def _split(self, text: str) -> list[str]:
+        """The words of a text without special strings.
+
+        Code points that this Python's tables don't know have a class of their own in each library;
+        a text with one of them is normalised and split by the tokenizers library.
+        """
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            normalizer, splitter = self.library
+            return [w for w, _ in splitter.pre_tokenize_str(normalizer.normalize_str(text))]
+        return self.pattern.findall(self._normal(text))
+
     def pieces(self, text: str) -> list[str | int]:
         """The words of a text, and the ids of its special strings."""
         if self.special and "<|" in text and (found := list(self.special_pattern.finditer(text))):
             out, at = [], 0
             for m in found:
-                out += self.pattern.findall(self._normal(text[at : m.start()]))
+                out += self._split(text[at : m.start()])
                 out.append(self.special[m[0]])
                 at = m.end()
-            return out + self.pattern.findall(self._normal(text[at:]))
-        return self.pattern.findall(self._normal(text))
+            return out + self._split(text[at:])
+        return self._split(text)
 
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text: the number of ids, the ids in decimal joined by spaces, and the decoded text."""
