@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions import dimensions as D
 from rollcall.functions import identity, industry, mail, pages, verify
-from rollcall.operators import golden, greedy, ledger, matching, outreach, queue, reporting
+from rollcall.operators import enrichment, golden, greedy, ledger, matching, outreach, queue, reporting
 from rollcall.plans.views import table, with_views
 from rollcall.sources import registers
 
@@ -787,3 +787,35 @@ def q_source_matrix(spark, sf_dir):
 )
 def q_dry_rows(spark, sf_dir):
     return registers.dry_rows(registers.segments(spark, ["대한민국", "US"], ["전체"], ["listed"]), "edgar").select("ord", "domain", "key")
+
+
+# ---------------------------------------------------------------- enrichment
+
+_SLUG = "array_to_string(list_filter(string_split_regex(lower(coalesce(name, '')), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN (" + _in(enrichment.NAME_STOPWORDS) + ")), '')"
+_COMPANY = "SELECT p_partkey AS key, concat(split_part(p_name, ' ', 1), ' ', split_part(p_name, ' ', 2), CASE p_partkey % 4 WHEN 0 THEN ' Group' WHEN 1 THEN ' Fund' ELSE ', Inc.' END) AS name, CASE p_partkey % 2 WHEN 0 THEN 'KR' ELSE 'US' END AS country FROM part"
+_HITS = """SELECT p_partkey AS key, 1 AS rank, concat('https://www.', replace(lower(p_name), ' ', ''), '.com/a') AS link FROM part
+    UNION ALL SELECT p_partkey, 2, concat(lower(split_part(p_name, ' ', 1)), 'x.kr') FROM part UNION ALL SELECT p_partkey, 3, 'https://news.example.org' FROM part"""
+
+
+@query(
+    f"""WITH comp AS ({_COMPANY}), hit AS ({_HITS}), w AS (SELECT key, {_SLUG} AS slug, CASE country WHEN 'KR' THEN '.kr' ELSE '.us' END AS tld FROM comp WHERE NOT regexp_matches(name, '(?i)\\bFUNDS?\\b')),
+    d AS (SELECT h.key, rank, slug, tld, {_domain('link')} AS domain FROM hit h JOIN w ON w.key = h.key), b AS (SELECT *, regexp_replace(split_part(domain, '.', 1), '[^a-z0-9]', '', 'g') AS brand FROM d)
+    SELECT key, first(domain ORDER BY (NOT ends_with(domain, tld))::INT, rank) AS domain FROM b
+    WHERE length(slug) >= 3 AND length(brand) >= 3 AND (brand = slug OR (length(slug) >= 4 AND starts_with(brand, slug)) OR (length(brand) >= 4 AND starts_with(slug, brand))) GROUP BY key"""
+)
+def q_resolve_domain(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return enrichment.resolve_domains(spark.sql(_COMPANY.replace("FROM part", "FROM {part}"), part=part), spark.sql(_HITS.replace("FROM part", "FROM {part}"), part=part))
+
+
+@query("SELECT key, unnest(['email', 'phone', 'form']) AS type, unnest([concat('ir@', d), '+82-2-0000-0000', concat('https://', d, '/contact')]) AS value, unnest([9, 6, 8]) AS tenths FROM (SELECT page_id AS key, coalesce(domain, 'example.com') AS d FROM v_probe)", "v_probe")
+def q_dry_contacts(spark, sf_dir):
+    return enrichment.dry_contacts(table(spark, sf_dir, "v_probe").withColumnRenamed("page_id", "key"))
+
+
+@query()
+def q_company_contacts(spark, sf_dir):
+    """No SQL: the parts have theirs; the merge over pages is tested on small rows."""
+    captured = table(spark, sf_dir, "v_html").withColumn("company", F.regexp_extract("url", "^https?://([^/?#]+)", 1))
+    found = enrichment.escalate(enrichment.company_contacts(captured))
+    return found.withColumns({"emails": F.array_join("emails", ","), "phones": F.array_join("phones", ",")})
