@@ -81,7 +81,7 @@ def fold(text: str) -> str:
                 if len(parts) > 2 and all(len(p) == 1 for p in parts):
                     core = "".join(parts)
                 letters = sum(map(str.isalpha, core))
-                if letters * 2 >= len(core) and len(core) <= 40:
+                if letters * 3 >= len(core) and len(core) <= 40:
                     core = core.translate(_SIGNS)
                 word = "".join(c if c.isalnum() else " " for c in core)
         words.append(word)
