@@ -26,8 +26,8 @@ from rollcall.session import materialise
 # Letters of other scripts that look like Latin ones, and the letters they look like.
 LOOK_ALIKES = dict(
     zip(
-        "абвгеёзікмнорстухцѕјԁԍһԛԝѵɑɡıαβεηικνορτυχωϲ",
-        "abbreezikmhopctyxusjdghqwvagiabehikvoptuxwc",
+        "абвгдеёзікмнорстухцѕјԁԍһԛԝѵɑɡıαβεηικνορτυχωϲ",
+        "abbrdeezikmhopctyxusjdghqwvagiabehikvoptuxwc",
         strict=False,
     )
 )
