@@ -1,25 +1,47 @@
-"""Token-set similarity of names, as a column expression."""
+"""Token-set similarity of names."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def common_subsequence(x: str, y: str) -> int:
+    """Length of the longest common subsequence, a row of the table at a time in the bits of one integer."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(x):
+        places[c] = places.get(c, 0) | 1 << k
+    whole = (1 << len(x)) - 1
+    row = whole
+    for c in y:
+        hit = row & places.get(c, 0)
+        row = ((row + hit) | (row - hit)) & whole
+    return len(x) - row.bit_count()
+
+
+def _nearest(part: int, whole: int) -> int:
+    """1000 * part / whole to the nearest integer, halves to even."""
+    q, r = divmod(1000 * part, whole)
+    return q + (2 * r > whole or (2 * r == whole and q % 2 == 1))
+
+
+def _tenths(i: str, x: str, y: str) -> int:
+    if not (i or x) or not (i or y):
+        return 0
+    if i and (not x or not y):
+        return 1000
+    ni, g = len(i), 1 if i else 0
+    l1, l2 = ni + g + len(x), ni + g + len(y)
+    # characters outside the common ones: I and its gap are common to both sides
+    best = _nearest(l1 + l2 - (len(x) + len(y) - 2 * common_subsequence(x, y)), l1 + l2)
+    return max(best, _nearest(2 * ni, ni + l1), _nearest(2 * ni, ni + l2)) if i else best
 
 
-def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two strings, one row of the table after the other."""
-    other, width = F.split(b, ""), F.length(b)
-
-    def next_row(row: Column, c: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            same = F.get(other, j - 1) == c
-            value = F.when(same, F.get(row, j - 1) + 1).otherwise(F.greatest(F.get(row, j), F.get(acc, j - 1)))
-            return F.concat(acc, F.array(value))
-
-        return F.aggregate(F.sequence(F.lit(1), width), F.array(F.lit(0)), cell)
-
-    last = F.aggregate(F.split(a, ""), F.array_repeat(F.lit(0), width + 1), next_row)
-    return F.when((F.length(a) == 0) | (width == 0), 0).otherwise(F.get(last, width))
+@F.pandas_udf(T.IntegerType())
+def _tenths_of(i: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([_tenths(*r) for r in zip(i, x, y, strict=True)], dtype="int32")
 
 
 def token_set_tenths(a: Column, b: Column) -> Column:
@@ -28,30 +50,8 @@ def token_set_tenths(a: Column, b: Column) -> Column:
     With I the shared tokens and D1, D2 those of one side only, each sorted and joined by spaces, the
     result is the best of the ratios of I+D1 with I+D2, of I with I+D1, and of I with I+D2; shared
     tokens and an empty rest give 1000, an empty side 0. A ratio is one less the share of characters
-    outside the longest common subsequence.
+    outside the longest common subsequence. Sets are built by Spark; only the subsequence, which no
+    built-in expression has, runs in Python, on Arrow batches.
     """
     joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), " ")
-    both, one, two = joined(F.array_intersect(a, b)), joined(F.array_except(a, b)), joined(F.array_except(b, a))
-    # bound once by a lambda, so that each string is built once
-    row = F.transform(F.array(F.struct(both.alias("i"), one.alias("x"), two.alias("y"))), _tenths)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.get(row, 0)).cast("int")
-
-
-def _tenths(s: Column) -> Column:
-    ni, nx, ny = F.length(s["i"]), F.length(s["x"]), F.length(s["y"])
-    gap = F.when(ni > 0, 1).otherwise(0)
-    l1, l2 = ni + gap + nx, ni + gap + ny
-    # characters outside the common ones: I and its gap are common to both sides
-    direct = _rounded(l1 + l2 - (nx + ny - 2 * common_subsequence(s["x"], s["y"])), l1 + l2)
-    with_one, with_two = _rounded(2 * ni, ni + l1), _rounded(2 * ni, ni + l2)
-    whole = (ni > 0) & ((nx == 0) | (ny == 0))
-    return F.when(whole, 1000).when(ni > 0, F.greatest(direct, with_one, with_two)).otherwise(direct)
-
-
-def _rounded(part: Column, whole: Column) -> Column:
-    """1000 * part / whole to the nearest integer, halves to even, in integer arithmetic."""
-    twice = 2000 * part
-    floor = F.floor((1000 * part) / F.nullif(whole, F.lit(0)))
-    rest = twice - 2 * floor * whole
-    up = (rest > whole) | ((rest == whole) & (floor % 2 == 1))
-    return floor + F.when(up, 1).otherwise(0)
+    return _tenths_of(joined(F.array_intersect(a, b)), joined(F.array_except(a, b)), joined(F.array_except(b, a)))
