@@ -169,7 +169,8 @@ def learn(
 
     At most max_texts labels are used (the bound on the sample: half of them toxic if there are as
     many), those of the least hashed keys; null labels and texts are left out, and of several labels
-    of one key the highest counts. Only the sample's texts move. An entry must
+    of one key the highest counts. The curve weighs each class by all its labels over those used, so the
+    scores are those of the true rate at any size. Only the sample's texts move. An entry must
     be in min_texts toxic texts and its counts' likelihood ratio at least MIN_GAIN; the largest ratios come
     first, and no entry is the beginning of another. Two-word phrases around an entry that are found in
     non-toxic texts only, in min_texts at least, become exception phrases. Without labelled texts of
@@ -179,9 +180,11 @@ def learn(
         F.max(label).cast("int").alias("label")
     )
     order = F.xxhash64(F.col("key").cast("string"))
-    chosen = rows.where("label = 1").orderBy(order, "key").limit(max_texts // 2).unionByName(
-        rows.where("label = 0").orderBy(order, "key").limit(max_texts - max_texts // 2)
+    bound = {1: max_texts // 2, 0: max_texts - max_texts // 2}
+    chosen = rows.where("label = 1").orderBy(order, "key").limit(bound[1]).unionByName(
+        rows.where("label = 0").orderBy(order, "key").limit(bound[0])
     )
+    weights = {r[0]: max(1.0, r[1] / bound[r[0]]) for r in rows.groupBy("label").count().collect() if bound[r[0]]}
     texts = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     sample = texts.join(F.broadcast(chosen), "key")  # at most max_texts keys
     sample = materialise(sample.repartition(max(8, max_texts // 500), "key"), "toxic-sample")
@@ -225,7 +228,7 @@ def learn(
             entries[new] = float(best["weight"])
     model = ToxicityModel(entries)
     model.exceptions = _learn_exceptions(sample, model, min_texts)
-    return _fit_curve(sample, model)
+    return _fit_curve(sample, model, weights)
 
 
 def _phrases(matcher: _Matcher, text: str) -> set[str]:
@@ -258,8 +261,8 @@ def _learn_exceptions(sample: DataFrame, model: ToxicityModel, min_texts: int) -
     return [r["phrase"].strip() for r in found]
 
 
-def _fit_curve(sample: DataFrame, model: ToxicityModel) -> ToxicityModel:
-    """Logistic regression on the features of the bounded sample, classes weighted by their root, lightly regularised."""
+def _fit_curve(sample: DataFrame, model: ToxicityModel, weights: dict[int, float]) -> ToxicityModel:
+    """Logistic regression on the features of the bounded sample, lightly regularised; a text of each class stands for as many as its weight."""
     packed = model.to_json()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,10 +274,11 @@ def _fit_curve(sample: DataFrame, model: ToxicityModel) -> ToxicityModel:
     got = sample.select("text", "label").mapInArrow(measure, "x array<double>, label int").collect()
     x = np.array([r[0] for r in got])
     y = np.array([r[1] for r in got], dtype=float)
-    w, penalty = np.zeros(x.shape[1]), np.array([1e-3] * (x.shape[1] - 1) + [0.0]) * len(y)
+    stands = np.where(y == 1, weights[1], weights[0])
+    w, penalty = np.zeros(x.shape[1]), np.array([1e-3] * (x.shape[1] - 1) + [0.0]) * stands.sum()
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x.T * (stands * p * (1 - p))) @ x + np.diag(penalty + 1e-9), x.T @ (stands * (y - p)) - penalty * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break

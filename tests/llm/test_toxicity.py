@@ -64,3 +64,20 @@ def test_nothing_to_learn_from(spark):
     nulls = spark.createDataFrame([(1, None), (None, 1), (3, 7)], "doc_id long, toxic int")
     assert not learn(docs, nulls).entries
     assert score_toxicity(docs.where("false"), model).collect() == []
+
+
+def test_a_bound_sample_keeps_the_true_rate(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for k in range(3000):
+        toxic = int(k % 10 == 0)
+        words = [rng.choice(PLAIN) for _ in range(20)]
+        if toxic or rng.random() < 0.2:
+            words.insert(rng.randrange(20), "idiot")
+        rows.append((k, " ".join(words)))
+        labels.append((k, toxic))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    for most in (12_000, 400):  # unbound, and half of the sample toxic
+        scored = score_toxicity(docs, learn(docs, labels, max_texts=most))
+        mean, top = scored.agg(F.avg("score"), F.max("score")).first()
+        assert abs(mean - 0.1) < 0.03 and top < 0.5
