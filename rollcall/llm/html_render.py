@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist select map".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist select map".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
-    "h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption tr ul".split()
+    "h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption tr ul xmp plaintext".split()
 )
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure hr".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre xmp plaintext table ul ol dl figure hr".split())
 CLOSES_P = BLOCK - frozenset("body html li dd dt legend optgroup option caption tr".split())
 #: A start tag closes the open elements of the first set, up to the nearest of the second.
 IMPLIED_END = {
@@ -44,6 +44,9 @@ IMPLIED_END = {
 }
 #: Elements beyond which an end tag looks no further.
 SCOPE = frozenset("table td th caption html template".split())
+SECTIONS = frozenset("thead tbody tfoot".split())
+#: What an SVG image holds but does not draw where it stands.
+UNDRAWN = frozenset("defs symbol metadata desc clippath mask pattern marker".split())
 #: What may stand in a head; anything else begins the body.
 HEAD = frozenset("base link meta noscript script style template title".split())
 #: Deeper elements are laid out as part of the one at this depth.
@@ -96,9 +99,11 @@ def parse(page: str) -> Node:
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at) if tag != "plaintext" else None
             if tag in ("textarea", "title"):
                 node.children.append(html.unescape(page[at : end.start() if end else n]))
+            elif tag in ("xmp", "plaintext"):
+                node.children.append(page[at : end.start() if end else n])
             at = end.end() if end else n
         elif len(stack) < MAX_DEPTH and not rest.endswith("/") or tag in BLOCK:
             if len(stack) < 4 * MAX_DEPTH:
@@ -128,12 +133,27 @@ def _imply(stack: list[Node], tag: str) -> None:
                 del stack[k:]
                 if tag not in ("tr", "tbody", "thead", "tfoot"):
                     break
+    if tag in ("tr", "td", "th") or tag in SECTIONS:
+        _clear(stack, tag)
     if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
         row = Node("tr", {})
         stack[-1].children.append(row)
         stack.append(row)
 
 
+def _clear(stack: list[Node], tag: str) -> None:
+    """Close what stands, open, between a part of a table and the part it belongs in, such as a form around rows."""
+    at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in ("table", "template")), 0)
+    if not at or stack[at].tag != "table":
+        return
+    at += 1
+    if tag not in SECTIONS and at < len(stack) and stack[at].tag in SECTIONS:
+        at += 1
+    if tag in ("td", "th") and at < len(stack) and stack[at].tag == "tr":
+        at += 1
+    del stack[at:]
+
+
 def _close(stack: list[Node], tag: str, only_open: bool = False) -> None:
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag == tag:
@@ -218,9 +238,11 @@ def _render(node: Node, page: _Page, lists: int, pre: bool, seen: bool) -> None:
             else:
                 page.text(child)
             continue
-        if not _visible(child):
+        if not _visible(child) or node.tag == "semantics" and child.tag.startswith("annotation"):
             continue
         tag = child.tag
+        if node.tag in ("mfrac", "mtr", "mtable"):
+            page.text(" ")
         if tag == "br":
             page.line(keep=True)
         elif tag == "hr":
@@ -239,9 +261,11 @@ def _render(node: Node, page: _Page, lists: int, pre: bool, seen: bool) -> None:
             page.line() if lists else page.apart()
             _list(child, page, lists, seen)
             page.line() if lists else page.apart()
+        elif tag == "svg":
+            _drawing(child, page, lists, seen)
         elif tag in BLOCK:
             page.apart() if tag in SPACED else page.line()
-            _render(child, page, lists, pre or tag in ("pre", "textarea"), seen)
+            _render(child, page, lists, pre or tag in ("pre", "xmp", "plaintext", "textarea"), seen)
             page.apart() if tag in SPACED else page.line()
         elif tag in ("td", "th"):  # outside a table
             page.text(" ")
@@ -251,6 +275,21 @@ def _render(node: Node, page: _Page, lists: int, pre: bool, seen: bool) -> None:
             _render(child, page, lists, pre or tag == "textarea", seen)
 
 
+def _drawing(node: Node, page: _Page, lists: int, seen: bool) -> None:
+    """The texts of an SVG image, apart by spaces; HTML inside it is laid out as such."""
+    for child in node.children:
+        if isinstance(child, str) or child.tag in UNDRAWN or not _visible(child):
+            continue
+        if child.attributes.get("display") == "none" or child.attributes.get("visibility") in ("hidden", "collapse"):
+            continue
+        if child.tag in ("text", "foreignobject"):
+            page.text(" ")
+            _render(child, page, lists, False, seen)
+            page.text(" ")
+        else:
+            _drawing(child, page, lists, seen)
+
+
 def _list(node: Node, page: _Page, lists: int, seen: bool) -> None:
     start = node.attributes.get("start", "1")
     number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
@@ -280,10 +319,21 @@ def _rows(node: Node) -> Iterator[Node]:
         if isinstance(child, Node) and _visible(child):
             if child.tag == "tr":
                 yield child
-            elif child.tag in ("tbody", "thead", "tfoot"):
+            elif child.tag in SECTIONS:
                 yield from _rows(child)
 
 
+def _loose(node: Node) -> Iterator[Node | str]:
+    """What a table or its sections hold beside rows; a browser shows it before the table, whether the section is hidden or not."""
+    for child in node.children:
+        if isinstance(child, str):
+            yield child
+        elif child.tag in SECTIONS or child.tag == "colgroup":
+            yield from _loose(child)
+        elif child.tag not in ("tr", "col"):
+            yield child
+
+
 def _cell(node: Node, seen: bool) -> list[str]:
     inner = _Page()
     _render(node, inner, 0, False, seen)
@@ -299,7 +349,7 @@ def _span(node: Node, name: str) -> int:
 def _table(node: Node, page: _Page, seen: bool) -> None:
     """Caption, stray text, then rows; a cell of several lines makes its row as high; spans leave cells empty."""
     loose = Node("div", {})
-    loose.children = [c for c in node.children if isinstance(c, str) or c.tag not in ("tr", "tbody", "thead", "tfoot", "colgroup", "col")]
+    loose.children = list(_loose(node))
     _render(loose, page, 0, False, seen)
     page.line()
     grid: list[dict[int, list[str]]] = []

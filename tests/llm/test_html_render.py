@@ -43,3 +43,17 @@ def test_table_of_pages(spark):
     assert extract_text(df).where("text is null").count() == 1
     assert extract_text(df.where("false")).collect() == []
     assert extract_text(df.select("page_id", "html"), text="html").columns == ["page_id", "html"]
+
+
+def test_all_that_a_browser_shows():
+    pages = {
+        "<table><tbody><form><tr><td>a<td>b</tr><tr><td>c<td>d</tr></form></tbody></table>": "a  b\nc  d",
+        "<table><tbody>stray<div>box</div><tr><td>a</table>": "stray\nbox\na",
+        "<table><thead><form>f<td>a<td>b</table>end": "f\na  b\n\nend",
+        "<table><tr><td><table><tbody><form><tr><td>in</table>out<td>b</table>": "in   b\nout",
+        "<p>x <svg><title>t</title><defs><text>no</text></defs><g><text>one</text><text display='none'>no</text><text>two</text></g></svg> y": "x one two y",
+        "<math><semantics><mrow><mi>a</mi><mo>+</mo><mn>1</mn></mrow><annotation>no</annotation></semantics></math>": "a+1",
+        "<p>p<xmp><b>&amp;</b>\n  k</xmp>q": "p\n\n<b>&amp;</b>\n  k\n\nq",
+        "a<plaintext><i>b</plaintext>\n c": "a\n\n<i>b</plaintext>\n c",
+    }
+    assert {p: render(p) for p in pages} == pages
