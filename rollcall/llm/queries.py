@@ -60,12 +60,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from rollcall.llm.lm_score import fit, score_documents
+    from rollcall.llm.lm_score import cross_entropy_difference
 
-    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    models = fit(documents.join(good, "doc_id", "left"))
-    return score_documents(spark, documents, models)
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
