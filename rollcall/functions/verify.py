@@ -23,28 +23,42 @@ def email_format_ok(email: Column) -> Column:
     return (F.size(parts) == 2) & F.coalesce(F.get(parts, 1), F.lit("")).contains(".")
 
 
-def email_validation(email: Column, company_domain: Column, has_mx: Column, smtp_result: Column, vendor_result: Column) -> Column:
-    """struct(status, domain_match, smtp, provider): format, MX, domain, SMTP, then a vendor; each may only correct the one before."""
+def email_validation(email: Column, company_domain: Column, has_mx: Column, smtp_result: Column, vendor_result: Column, vendor: str = "vendor") -> Column:
+    """struct(status, domain_match, smtp, provider): format, MX, domain, SMTP, then a vendor; each may only correct the one before.
+
+    A company without a domain asks for no match; one whose domain has no normal form matches no address. provider
+    is who decided: nobody (null) of a malformed address, "mx", "smtp", or the vendor's name.
+    """
     good = email_format_ok(email)
     mx = good & F.coalesce(has_mx, F.lit(False))
     own = identity.registered_domain(F.substring_index(email, "@", -1))
     wanted = identity.registered_domain(company_domain)
-    match = good & F.coalesce(own == wanted, F.lit(False))
-    base = F.when(~mx, "invalid").when(match | wanted.isNull(), "valid").otherwise("risky")
+    given = F.coalesce(company_domain, F.lit("")) != ""
+    match = good & given & own.eqNullSafe(wanted)
+    base = F.when(~mx, "invalid").when(match | ~given, "valid").otherwise("risky")
     smtp = F.when(mx & (smtp_result == "deliverable"), True).when(mx & (smtp_result == "undeliverable"), False)
     after = F.when(smtp == F.lit(False), "invalid").when(smtp & (base == "risky"), "valid").otherwise(base)
     asked = after != "invalid"
     last = F.when(asked & (vendor_result == "bad"), "invalid").when(asked & (vendor_result == "ok") & (after == "risky"), "valid").otherwise(after)
-    provider = F.when(asked & vendor_result.isin("bad", "ok"), "vendor").when(smtp.isNotNull(), "smtp").otherwise("mx")
+    provider = F.when(~good, F.lit(None)).when(asked & vendor_result.isin("bad", "ok"), vendor).when(smtp.isNotNull(), "smtp").otherwise("mx")
     return F.struct(last.alias("status"), match.alias("domain_match"), smtp.alias("smtp"), provider.alias("provider"))
 
 
-def registry_status(registry: Column, status: Column, inactive: Column) -> Column:
-    """True, false, or null where the registry doesn't say."""
-    s = F.lower(F.trim(status))
+# The words of a register for companies that exist, and for those that are gone.
+REGISTERED = ("active", "registered", "open")
+DEFUNCT = ("dissolved", "liquidation", "receivership", "administration", "converted-closed", "insolvency-proceedings", "removed", "closed")
+
+
+def registry_status(registry: Column, status: Column, inactive: Column, registry_id: Column | None = None) -> Column:
+    """True, false, or null where the registry doesn't say, or where an id is given that it cannot look up."""
+    s, name = F.lower(F.trim(status)), F.lower(F.trim(registry))
+    number = F.lit("x/x") if registry_id is None else F.trim(registry_id)
+    safe = r"[A-Za-z0-9._-]+"
+    own = F.lit(True) if registry_id is None else F.coalesce(number.rlike(f"^{safe}$"), F.lit(False))
+    split = F.coalesce(number.rlike(f"^{safe}/{safe}$"), F.lit(False))
     return (
-        F.when(registry == "companies_house", F.when(s == "active", True).when(s.isin("dissolved", "liquidation", "closed", "removed", "converted-closed"), False))
-        .when(registry == "opencorporates", ~inactive)
+        F.when((name == "companies_house") & own, F.when(s.isin(*DEFUNCT), False).when(s.isin(*REGISTERED), True))
+        .when((name == "opencorporates") & split, ~inactive)
     )
 
 
@@ -64,10 +78,33 @@ def vendor_verdict(words: dict[str, str], said: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(said)), F.lit("unknown"))
 
 
-def response_verdict(status: Column, length: Column, body: Column) -> Column:
-    """blocked, challenge, weak or strong, of a captured response."""
-    low = F.lower(F.coalesce(body, F.lit("")))
+# Words of challenge pages, and the length below which a page without other proof counts as one.
+CHALLENGE_WORDS = (
+    "Access Denied", "sec-if-cpt-container", "Powered and protected by Akamai", "Just a moment...", "Checking your browser", "cf-chl-bypass",
+    "Attention Required! | Cloudflare", "<title>Bot Challenge</title>", "DataDome", "captcha", "Please enable JS and disable any ad blocker",
+    "The requested URL was rejected", "Request unsuccessful. Incapsula",
+)
+SMALL_BODY = 3000
+
+
+def response_verdict(status: Column, body: Column, found: Column | None = None, unresolved: Column | None = None, bad_sizes: tuple[int, ...] = (), tolerance: int = 20) -> Column:
+    """blocked, challenge, weak_ok or strong_ok, of a captured response.
+
+    A status of 0 (or none) or of 400 and above blocks; then words of challenge pages, then known sizes of such. found:
+    whether something that was asked for is in the page (null where nothing was asked for), which decides whatever the
+    size, though only weakly with an unresolved session; without it a small page is a challenge.
+    """
+    text = F.coalesce(body, F.lit(""))
+    low, size, code = F.lower(text), F.length(text), F.coalesce(status, F.lit(0))
+    said, known = F.lit(False), F.lit(False)
+    for word in CHALLENGE_WORDS:
+        said = said | low.contains(word.lower())
+    for bad in bad_sizes:
+        known = known | (F.abs(size - bad) <= tolerance)
+    asked = F.lit(None).cast("boolean") if found is None else found
+    open_ = F.lit(False) if unresolved is None else F.coalesce(unresolved, F.lit(False))
     return (
-        F.when(status.isin(401, 403, 429), "blocked").when(low.contains("captcha") | low.contains("just a moment"), "challenge")
-        .when((status >= 400) | (length < 3000), "weak").otherwise("strong")
+        F.when((code == 0) | (code >= 400), "blocked").when(said | known, "challenge")
+        .when(asked & open_, "weak_ok").when(asked, "strong_ok").when(~asked, "challenge")
+        .when(size < SMALL_BODY, "challenge").otherwise("weak_ok")
     )

@@ -54,29 +54,31 @@ def golden_records(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return grouped.select("survivor_key", "canonical_name", "canonical_domain", absorbed.alias("absorbed_keys"))
 
 
-def apply_golden(ledger: DataFrame, golden: DataFrame, merged_by: str, at: Column) -> DataFrame:
-    """The ledger after the merges.
+def apply_golden(ledger: DataFrame, golden: DataFrame, merged_by: str, at: Column, reason: str = "auto") -> DataFrame:
+    """The ledger after the merges; a column canonical_name is added where the ledger has none.
 
     A survivor that is itself a duplicate is refused with its whole cluster. Absorbed rows point at
-    their survivor; rows that pointed at an absorbed row are pointed at its survivor, with the reason
-    marked. A survivor takes the canonical name, and the canonical domain if it has none. Rows that
-    already point at their survivor don't change, so applying twice is applying once.
+    their survivor; a row that is a duplicate already keeps its merge. Rows that pointed at a row absorbed now
+    are pointed at its survivor, with this merge's reason, marked. A survivor takes the canonical name, and the
+    canonical domain if it has none; other rows keep both. Applying twice is applying once.
     """
-    roots = ledger.where("duplicate_of is null").select(F.col("key").alias("survivor_key"))
-    accepted = materialise(golden.join(roots, "survivor_key", "left_semi"), "golden")
-    to = accepted.select(F.explode("absorbed_keys").alias("key"), F.col("survivor_key").alias("into"))
+    known = ledger if "canonical_name" in ledger.columns else ledger.withColumn("canonical_name", F.lit(None).cast("string"))
+    roots = known.where("duplicate_of is null").select("key")
+    accepted = materialise(golden.join(roots.withColumnRenamed("key", "survivor_key"), "survivor_key", "left_semi"), "golden")
+    pairs = accepted.select(F.explode("absorbed_keys").alias("key"), F.col("survivor_key").alias("into")).where("key <> into")
+    to = pairs.join(roots, "key", "left_semi")
     parents = to.select(F.col("key").alias("duplicate_of"), F.col("into").alias("rechained"))
-    named = accepted.select(F.col("survivor_key").alias("key"), "canonical_name", F.col("canonical_domain").alias("new_domain"))
-    joined = ledger.drop("canonical_name").join(to, "key", "left").join(parents, "duplicate_of", "left").join(named, "key", "left")
-    target = F.coalesce("into", "rechained", "duplicate_of")
-    moved = target.isNotNull() & ~target.eqNullSafe(F.col("duplicate_of"))
-    reason = F.when(F.col("into").isNotNull(), F.lit("auto")).otherwise(F.concat(F.coalesce("merge_reason", F.lit("auto")), F.lit(" (rechained)")))
+    named = accepted.select(F.col("survivor_key").alias("key"), F.col("canonical_name").alias("new_name"), F.col("canonical_domain").alias("new_domain"), F.lit(True).alias("survives"))
+    joined = known.join(to, "key", "left").join(parents, "duplicate_of", "left").join(named, "key", "left")
+    moved, survives = F.coalesce("into", "rechained").isNotNull(), F.coalesce("survives", F.lit(False))
+    why = F.when(F.col("into").isNotNull(), F.lit(reason)).otherwise(F.lit(f"{reason} (rechained)"))
     set_if = lambda value, old: F.when(moved, value).otherwise(F.col(old))
     new = {
-        "duplicate_of": target,
-        "merge_reason": set_if(reason, "merge_reason"),
+        "duplicate_of": F.coalesce("into", "rechained", "duplicate_of"),
+        "merge_reason": set_if(why, "merge_reason"),
         "merged_by": set_if(F.lit(merged_by), "merged_by"),
         "merged_at": set_if(at, "merged_at"),
-        "domain": F.coalesce(identity.blank_to_null(F.col("domain")), "new_domain"),
+        "canonical_name": F.when(survives, F.col("new_name")).otherwise(F.col("canonical_name")),
+        "domain": F.when(survives & (F.coalesce("domain", F.lit("")) == ""), F.coalesce("new_domain", "domain")).otherwise(F.col("domain")),
     }
-    return joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in ledger.columns if c != "canonical_name"), "canonical_name")
+    return joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in known.columns))

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from rollcall.session import materialise, release
 
 
-def greedy_distinct(rows: DataFrame, order: str, keys: tuple[str, ...] = ("key", "domain"), max_rounds: int = 200) -> DataFrame:
+def greedy_distinct(rows: DataFrame, order: str, keys: tuple[str, ...] = ("key", "domain")) -> DataFrame:
     """The rows that a sequential pass in the given order (unique, not null) would keep.
 
     Rounds settle all rows at once: an undecided row that is first among the undecided rows of each of
     its values stays, and the rows that share a value with it go. Null values are shared with nobody.
-    The number of rounds follows the longest chain of rows that block one another, not the number of rows.
+    The number of rounds follows the longest chain of rows that block one another, not the number of rows; the
+    first undecided row always stays, so each round settles some and the last one ends it.
     """
     left = materialise(rows.select(order, *keys), "undecided")
     kept: DataFrame | None = None
-    for _ in range(max_rounds):
+    while True:
         firsts = left
         for k in keys:
             least = left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_first_{k}"))
@@ -35,4 +36,3 @@ def greedy_distinct(rows: DataFrame, order: str, keys: tuple[str, ...] = ("key",
         left = new
         if left.isEmpty():
             return rows.join(kept.select(order), order, "left_semi")
-    raise RuntimeError(f"rows block one another in chains of more than {max_rounds}")

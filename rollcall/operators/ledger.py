@@ -19,15 +19,19 @@ def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def save_discovered(ledger: DataFrame, found: DataFrame, at: Column) -> DataFrame:
-    """New keys are inserted; known ones keep what identifies them and take the time of this crawl, and values they lacked."""
-    new = found.select("key", *(F.col(c).alias(f"_{c}") for c in found.columns if c != "key"), F.lit(True).alias("_seen"))
-    both = ledger.join(new, "key", "full_outer")
+    """New keys are inserted; a known key's row stays as it is but for last_crawled_at, the time of this crawl.
+
+    Of several found rows of one key any is inserted; columns that found lacks are null in new rows.
+    """
+    new = found.dropDuplicates(["key"]).select("key", *(F.col(c).alias(f"_{c}") for c in found.columns if c != "key"), F.lit(True).alias("_seen"))
+    both = ledger.withColumn("_known", F.lit(True)).join(new, "key", "full_outer")
     held = set(found.columns) - {"key"}
+    inserted = F.col("_known").isNull()
     return both.select(
         *(
             F.when(F.col("_seen"), at).otherwise(F.col(c)).alias(c) if c == "last_crawled_at"
-            else F.coalesce(c, F.when(F.col("_seen"), at)).alias(c) if c == "first_seen"
-            else F.coalesce(c, f"_{c}").alias(c) if c in held
+            else F.when(inserted, at).otherwise(F.col(c)).alias(c) if c == "first_seen" and c not in held
+            else F.when(inserted, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in held
             else F.col(c)
             for c in ledger.columns
         )

@@ -135,20 +135,30 @@ def inline_duplicates(new: DataFrame, ledger: DataFrame) -> DataFrame:
     return found.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("survivor"))
 
 
-def inline_lexical(new: DataFrame, ledger: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
-    """Pairs of a new row with ledger rows (or smaller new keys) of its name block, tiers lexical and shortlist only.
+def inline_lexical(new: DataFrame, ledger: DataFrame, order: str = "key", max_block: int = MAX_BLOCK) -> DataFrame:
+    """Pairs of a new row with ledger rows, or with new rows before it, of its name block: lexical or shortlist by score alone.
 
-    The block is the lower-case country and the first six letters; blocks of max_block ledger rows or more are skipped.
+    Only rows known by name (`name:` keys) take part. The block is the lower-case country and the first letters of the
+    name. A new row that finds max_block rows in its block, of the ledger and of those before it in `order` (unique), is
+    compared with none of them.
     """
-    def keyed(df: DataFrame) -> DataFrame:
-        prefix = F.nullif(F.substring(F.array_join("tokens", ""), 1, PREFIX), F.lit(""))
-        return df.withColumn("block", F.concat_ws("|", F.lower("country"), prefix)).where(prefix.isNotNull())
-
-    n, old = keyed(normalised(new)), keyed(normalised(ledger))
-    full = old.groupBy("block").count().where(F.col("count") >= max_block).select("block")
-    n_open = n.join(full, "block", "left_anti").select(F.col("key").alias("x"), "block")
-    peers = old.select(F.col("key").alias("y"), "block", F.lit(0).alias("is_new")).union(n.select(F.col("key").alias("y"), "block", F.lit(1).alias("is_new")))
-    pairs = n_open.join(peers, "block").where("(is_new = 0 AND x <> y) OR (is_new = 1 AND y < x)")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    found = scored(pairs, n.unionByName(old).drop("block").dropDuplicates(["key"]), use_reg=False)
-    return found.where(F.col("tier").isin("lexical", "shortlist")).select(F.col("a").alias("key_a"), F.col("b").alias("key_b"), "name_score", "tier")
+    def keyed(df: DataFrame, *more: str) -> DataFrame:
+        named = df.where(F.col("key").startswith("name:"))
+        tokens = identity.name_tokens(F.col("name"))
+        made = named.select("key", *more, F.lower(F.trim(F.coalesce("country", F.lit("")))).alias("country"), tokens.alias("tokens"))
+        return made.where(F.size("tokens") > 0).withColumn("prefix", F.substring(F.array_join("tokens", ""), 1, PREFIX))
+
+    block = ["country", "prefix"]
+    old = keyed(ledger)
+    held = old.groupBy(*block).agg(F.count("*").alias("held"))
+    arrived = keyed(new, F.col(order).alias("_order")).join(held, block, "left").where(F.coalesce("held", F.lit(0)) < max_block)
+    rank = F.row_number().over(Window.partitionBy(*block).orderBy("_order"))  # limited below, and so before the shuffle
+    asking = arrived.withColumn("n", rank).where(F.col("n") <= max_block).where(F.col("n") + F.coalesce("held", F.lit(0)) <= max_block)
+    x = asking.select(*block, F.col("key").alias("x"), F.col("tokens").alias("tx"), "n")
+    peers = old.select(*block, F.col("key").alias("y"), F.col("tokens").alias("ty"), F.lit(0).alias("m")).union(
+        asking.select(*block, F.col("key").alias("y"), F.col("tokens").alias("ty"), F.col("n").alias("m"))
+    )
+    pairs = x.join(peers, block).where("x <> y and m < n")
+    found = pairs.withColumn("name_score", token_set_tenths(F.col("tx"), F.col("ty"))).where(F.col("name_score") >= MEDIUM)
+    one = found.groupBy(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).agg(F.max("name_score").alias("name_score"))
+    return one.withColumn("tier", F.when(F.col("name_score") >= STRONG, "lexical").otherwise("shortlist"))

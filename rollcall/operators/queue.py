@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rollcall.functions.dimensions import COUNTRIES
 
 LISTED = ("listed", "unlisted", "unknown")
+STATUSES = ("pending", "confirmed", "rejected")
 
 
 def split_csv(value: Column) -> Column:
@@ -133,22 +134,43 @@ def enqueue(queue: DataFrame, offered: DataFrame) -> DataFrame:
     return both.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in queue.columns))
 
 
-def set_status(queue: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The queue after decisions (review_id, status, user_id, selected): rows that another user holds don't change.
+def decide(queue: DataFrame, decisions: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(queue, audit rows) after decisions (review_id, status, user_id, user_name, selected).
 
-    A terminal status releases the claim. Decisions must name distinct rows.
+    A decision is refused, and changes nothing, where its status is none, another user holds the row, or its selection
+    is not among the candidates. A terminal status releases the claim. Who decided, and when, is noted, and an audit
+    row written, for decisions of a user; others only change the status. Decisions must name distinct rows.
     """
-    d = decisions.select("review_id", F.col("status").alias("d_status"), F.col("user_id").alias("d_user"), F.col("selected").alias("d_selected"))
+    d = decisions.select(
+        "review_id", F.col("status").alias("d_status"), F.col("user_id").alias("d_user"), F.col("user_name").alias("d_name"), F.col("selected").alias("d_selected")
+    )
     joined = queue.join(d, "review_id", "left")
-    allowed = F.col("d_status").isNotNull() & (F.col("claimed_by").isNull() | (F.col("claimed_by") == F.col("d_user")))
-    terminal = F.col("d_status").isin("confirmed", "rejected")
+    own = F.col("claimed_by").isNull() | F.coalesce(F.col("claimed_by") == F.col("d_user"), F.lit(False))
+    offered = F.col("d_selected").isNull() | F.coalesce(F.array_contains(parse_candidates(F.col("candidates")), F.col("d_selected")), F.lit(False))
+    marked = joined.withColumn("_taken", F.coalesce(F.col("d_status").isin(*STATUSES), F.lit(False)) & own & offered)
+    taken, terminal = F.col("_taken"), F.col("d_status").isin("confirmed", "rejected")
+    chosen, by_user = taken & F.col("d_selected").isNotNull(), taken & (F.col("d_user").isNotNull() | F.col("d_name").isNotNull())
+    set_if = lambda when, value, old: F.when(when, value).otherwise(F.col(old))
     changed = {
-        "status": F.when(allowed, F.col("d_status")).otherwise(F.col("status")),
-        "claimed_by": F.when(allowed & terminal, F.lit(None)).otherwise(F.col("claimed_by")),
-        "selected": F.when(allowed, F.coalesce("d_selected", "selected")).otherwise(F.col("selected")),
-        "selected_by_human": F.when(allowed & F.col("d_selected").isNotNull(), F.lit(True)).otherwise(F.col("selected_by_human")),
+        "status": set_if(taken, F.col("d_status"), "status"),
+        "claimed_by": set_if(taken & terminal, F.lit(None), "claimed_by"),
+        "selected": set_if(chosen, F.col("d_selected"), "selected"),
+        "selected_by_human": set_if(chosen, F.lit(True), "selected_by_human"),
     }
-    return joined.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in queue.columns))
+    noted = {"claimed_at": (taken & terminal, F.lit(None)), "assignee": (by_user, F.col("d_name")), "assignee_id": (by_user, F.col("d_user")), "reviewed_at": (by_user, at)}
+    changed |= {c: set_if(when, value, c) for c, (when, value) in noted.items() if c in queue.columns}
+    after = marked.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in queue.columns))
+    audit = marked.where(by_user).select(
+        "review_id", F.col("d_user").alias("actor_id"), F.coalesce("d_name", F.lit("")).alias("actor_name"), F.col("d_status").alias("action"),
+        F.coalesce("d_selected", "selected").alias("selected"), at.alias("ts"),
+    )
+    return after, audit
+
+
+def set_status(queue: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The queue after decisions (review_id, status, user_id, selected); see decide."""
+    named = decisions if "user_name" in decisions.columns else decisions.withColumn("user_name", F.lit(None).cast("string"))
+    return decide(queue, named, F.current_timestamp())[0]
 
 
 def reclaim(queue: DataFrame, user_id: str) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions import dimensions as D
 from rollcall.functions import identity, industry, mail, pages, verify
-from rollcall.operators import enrichment, golden, greedy, ledger, matching, outreach, queue, reporting
+from rollcall.operators import enrichment, golden, greedy, leads, ledger, matching, outreach, queue, reporting, workbench
 from rollcall.plans.views import table, with_views
 from rollcall.sources import registers
 
@@ -21,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-MONTH, BUDGET, NOW = "2024-01", 20_000, "1995-06-17 12:00:00"
+MONTH, BUDGET, NOW, SEND_NOW = "2024-01", 20_000, "1995-06-17 12:00:00", "2001-07-25 12:00:00"
 
 
 def query(sql: str | None = None, *views: str):
@@ -235,17 +235,29 @@ def q_golden(spark, sf_dir):
     return _golden(spark, sf_dir).select("survivor_key", "canonical_name", "canonical_domain", F.array_join("absorbed_keys", ",").alias("absorbed"))
 
 
+#: A ledger with earlier merges: every ninth base row has been absorbed by the one before it, which has a canonical name.
+_EARLIER = """earlier AS (SELECT key, CASE WHEN page_id % 6 = 5 THEN '' ELSE domain END AS domain,
+      CASE WHEN key LIKE 'p%' AND page_id % 9 = 4 THEN concat('p', page_id - 1) END AS duplicate_of, CASE WHEN key LIKE 'p%' AND page_id % 9 = 4 THEN 'manual' END AS merge_reason,
+      CASE WHEN key LIKE 'p%' AND page_id % 9 = 3 THEN concat('Earlier ', page_id) END AS canonical_name
+    FROM v_member JOIN (SELECT key, page_id FROM v_discovered) USING (key))"""
+
+
 @query(
-    f"""{_GOLDEN} SELECT m.key, CASE WHEN g.survivor_key <> m.key THEN g.survivor_key END AS duplicate_of,
-      CASE WHEN g.survivor_key <> m.key THEN 'auto' END AS merge_reason, CASE WHEN g.survivor_key = m.key THEN g.canonical_name END AS canonical_name,
-      coalesce(nullif(trim(m.domain), ''), CASE WHEN g.survivor_key = m.key THEN g.canonical_domain END) AS domain
-    FROM v_member m LEFT JOIN comp c ON c.key = m.key LEFT JOIN gold g ON g.cluster = c.cluster""",
+    f"""{_GOLDEN}, {_EARLIER}, ok AS (SELECT g.* FROM gold g JOIN earlier e ON e.key = g.survivor_key WHERE e.duplicate_of IS NULL),
+    ab AS (SELECT e.key, ok.survivor_key AS target FROM (SELECT survivor_key, unnest(keys) AS key FROM ok) ok JOIN earlier e ON e.key = ok.key WHERE e.key <> ok.survivor_key AND e.duplicate_of IS NULL)
+    SELECT e.key, coalesce(ab.target, up.target, e.duplicate_of) AS duplicate_of,
+      CASE WHEN ab.target IS NOT NULL THEN 'auto' WHEN up.target IS NOT NULL THEN 'auto (rechained)' ELSE e.merge_reason END AS merge_reason,
+      CASE WHEN ok.survivor_key IS NOT NULL THEN ok.canonical_name ELSE e.canonical_name END AS canonical_name,
+      CASE WHEN ok.canonical_domain IS NOT NULL AND coalesce(e.domain, '') = '' THEN ok.canonical_domain ELSE e.domain END AS domain
+    FROM earlier e LEFT JOIN ab ON ab.key = e.key LEFT JOIN ab up ON up.key = e.duplicate_of LEFT JOIN ok ON ok.survivor_key = e.key""",
     "v_discovered", "v_member",
 )
 def q_merge_apply(spark, sf_dir):
-    none = F.lit(None).cast("string")
-    before = table(spark, sf_dir, "v_member").select(
-        "key", "domain", none.alias("duplicate_of"), none.alias("merge_reason"), none.alias("merged_by"), F.lit(None).cast("timestamp").alias("merged_at")
+    absorbed = "key like 'p%' AND page_id % 9 = 4"
+    before = table(spark, sf_dir, "v_member").join(table(spark, sf_dir, "v_discovered").select("key", "page_id"), "key").selectExpr(
+        "key", "CASE WHEN page_id % 6 = 5 THEN '' ELSE domain END AS domain", f"CASE WHEN {absorbed} THEN concat('p', page_id - 1) END AS duplicate_of",
+        f"CASE WHEN {absorbed} THEN 'manual' END AS merge_reason", "CAST(NULL AS string) AS merged_by", "CAST(NULL AS timestamp) AS merged_at",
+        "CASE WHEN key like 'p%' AND page_id % 9 = 3 THEN concat('Earlier ', page_id) END AS canonical_name",
     )
     after = golden.apply_golden(before, _golden(spark, sf_dir), "auto", F.lit(NOW).cast("timestamp"))
     return after.select("key", "duplicate_of", "merge_reason", "canonical_name", "domain")
@@ -261,20 +273,21 @@ def q_inline_duplicates(spark, sf_dir):
 
 
 _LEXICAL = (
-    f"WITH {_NORM}, pre AS (SELECT key, concat_ws('|', lower(country), left(array_to_string(tok, ''), 6)) AS block FROM norm WHERE array_to_string(tok, '') <> ''), "
-    "prs AS (SELECT DISTINCT least(n.key, o.key) AS a, greatest(n.key, o.key) AS b FROM pre n JOIN pre o USING (block) WHERE n.key LIKE 'q%' AND (o.key LIKE 'p%' OR o.key < n.key)), "
+    f"WITH {_NORM}, pre AS (SELECT key, concat_ws('|', lower(country), left(array_to_string(tok, ''), 6)) AS block, key LIKE 'q%' AS fresh FROM norm WHERE array_to_string(tok, '') <> '' AND right(key, 1) <> '3'), "
+    "ranked AS (SELECT *, CASE WHEN fresh THEN row_number() OVER (PARTITION BY block, fresh ORDER BY key) ELSE 0 END AS n, count(*) FILTER (NOT fresh) OVER (PARTITION BY block) AS held FROM pre), "
+    "prs AS (SELECT DISTINCT least(n.key, o.key) AS a, greatest(n.key, o.key) AS b FROM ranked n JOIN ranked o USING (block) WHERE n.fresh AND n.n + n.held <= 1000 AND n.key <> o.key AND o.n < n.n), "
     + _SCORED[_SCORED.index("  sided AS") :].strip()
 )
 
 
 @query(
-    f"{_LEXICAL} SELECT a AS key_a, b AS key_b, name_score, CASE WHEN name_score >= 900 THEN 'lexical' ELSE 'shortlist' END AS tier FROM scored "
-    "WHERE (da IS NULL OR db IS NULL) AND name_score >= 840",
+    f"{_LEXICAL} SELECT concat('name:', a) AS key_a, concat('name:', b) AS key_b, name_score, CASE WHEN name_score >= 900 THEN 'lexical' ELSE 'shortlist' END AS tier FROM scored WHERE name_score >= 840",
     "v_discovered",
 )
 def q_inline_lexical(spark, sf_dir):
-    d = table(spark, sf_dir, "v_discovered")
-    return matching.inline_lexical(d.where("key like 'q%'"), d.where("key like 'p%'"))
+    # rows whose id ends in 3 are known by domain, and so take no part
+    d = table(spark, sf_dir, "v_discovered").withColumn("key", F.concat(F.when(F.col("key").rlike("3$"), "dom:").otherwise("name:"), "key"))
+    return matching.inline_lexical(d.where("key rlike ':q'"), d.where("key rlike ':p'"))
 
 
 def _discovery(spark, sf_dir) -> DataFrame:
@@ -366,17 +379,33 @@ def q_enqueue_state(spark, sf_dir):
     return queue.enqueue(q, known.unionByName(fresh)).select("review_id", "status", "selected", "selected_by_human")
 
 
+_DECISIONS = """d AS (SELECT review_id, CASE WHEN o_orderkey % 16 = 1 THEN 'gone' WHEN o_orderkey % 2 = 0 THEN 'confirmed' ELSE 'pending' END AS st, CASE WHEN o_orderkey % 5 <> 0 THEN 'u4' END AS usr,
+      CASE WHEN o_orderkey % 3 = 0 THEN vals[1] WHEN o_orderkey % 7 = 0 THEN 'x@y.z' END AS sel FROM (SELECT *, CASE WHEN json_valid(candidates) THEN from_json(candidates, '["VARCHAR"]') ELSE [] END AS vals FROM v_queue WHERE o_orderkey % 8 < 3)),
+    j AS (SELECT q.*, d.st, d.sel, d.usr, coalesce(d.st IN ('pending', 'confirmed', 'rejected'), false) AND (claimed_by IS NULL OR coalesce(claimed_by = usr, false))
+      AND (sel IS NULL OR coalesce(list_contains(CASE WHEN json_valid(candidates) THEN from_json(candidates, '["VARCHAR"]') ELSE [] END, sel), false)) AS ok FROM v_queue q LEFT JOIN d ON d.review_id = q.review_id)"""
+
+
+def _decided(spark, sf_dir):
+    q = table(spark, sf_dir, "v_queue")
+    d = q.where("o_orderkey % 8 < 3").withColumn("vals", queue.parse_candidates(F.col("candidates"))).selectExpr(
+        "review_id", "CASE WHEN o_orderkey % 16 = 1 THEN 'gone' WHEN o_orderkey % 2 = 0 THEN 'confirmed' ELSE 'pending' END AS status", "CASE WHEN o_orderkey % 5 <> 0 THEN 'u4' END AS user_id",
+        "CAST(NULL AS string) AS user_name", "CASE WHEN o_orderkey % 3 = 0 THEN get(vals, 0) WHEN o_orderkey % 7 = 0 THEN 'x@y.z' END AS selected",
+    )
+    return queue.decide(q, d, F.lit(NOW).cast("timestamp"))
+
+
 @query(
-    """WITH d AS (SELECT review_id, CASE WHEN o_orderkey % 2 = 0 THEN 'confirmed' ELSE 'pending' END AS st, 'u4' AS usr, CASE WHEN o_orderkey % 3 = 0 THEN 'x@y.z' END AS sel FROM v_queue WHERE o_orderkey % 8 < 3)
-    SELECT q.review_id, CASE WHEN ok THEN st ELSE status END AS status, CASE WHEN ok AND st = 'confirmed' THEN NULL ELSE claimed_by END AS claimed_by,
-      CASE WHEN ok THEN coalesce(sel, selected) ELSE selected END AS selected, CASE WHEN ok AND sel IS NOT NULL THEN true ELSE selected_by_human END AS selected_by_human
-    FROM (SELECT q.*, d.st, d.sel, d.review_id IS NOT NULL AND (claimed_by IS NULL OR claimed_by = usr) AS ok FROM v_queue q LEFT JOIN d ON d.review_id = q.review_id) q""",
+    f"""WITH {_DECISIONS} SELECT review_id, CASE WHEN ok THEN st ELSE status END AS status, CASE WHEN ok AND st = 'confirmed' THEN NULL ELSE claimed_by END AS claimed_by,
+      CASE WHEN ok THEN coalesce(sel, selected) ELSE selected END AS selected, CASE WHEN ok AND sel IS NOT NULL THEN true ELSE selected_by_human END AS selected_by_human FROM j""",
     "v_queue",
 )
 def q_set_status(spark, sf_dir):
-    q = table(spark, sf_dir, "v_queue")
-    d = q.where("o_orderkey % 8 < 3").selectExpr("review_id", "CASE WHEN o_orderkey % 2 = 0 THEN 'confirmed' ELSE 'pending' END AS status", "'u4' AS user_id", "CASE WHEN o_orderkey % 3 = 0 THEN 'x@y.z' END AS selected")
-    return queue.set_status(q, d).select("review_id", "status", "claimed_by", "selected", "selected_by_human")
+    return _decided(spark, sf_dir)[0].select("review_id", "status", "claimed_by", "selected", "selected_by_human")
+
+
+@query(f"WITH {_DECISIONS} SELECT review_id, usr AS actor_id, st AS action, coalesce(sel, selected) AS selected FROM j WHERE ok AND usr IS NOT NULL", "v_queue")
+def q_decision_audit(spark, sf_dir):
+    return _decided(spark, sf_dir)[1].select("review_id", "actor_id", "action", "selected")
 
 
 @query("SELECT review_id, CASE WHEN claimed_by = 'u4' AND status = 'pending' THEN NULL ELSE claimed_by END AS claimed_by FROM v_queue", "v_queue")
@@ -424,7 +453,7 @@ def q_provider_breakdown(spark, sf_dir):
 
 @query(
     f"WITH {_PRICED}, t AS (SELECT coalesce(sum(cost), 0)::BIGINT AS total FROM priced WHERE month = '{MONTH}') "
-    f"SELECT '{MONTH}' AS month, total, greatest(0, {BUDGET} - total) AS remaining, (total * 1000 // {BUDGET})::BIGINT AS permille, total >= {BUDGET} AS over FROM t",
+    f"SELECT '{MONTH}' AS month, total, {BUDGET}::BIGINT AS budget, greatest(0, {BUDGET} - total) AS remaining, round_even(total / {BUDGET} * 100, 1) AS pct, total >= {BUDGET} AS over FROM t",
     "v_cost_event",
 )
 def q_budget_report(spark, sf_dir):
@@ -456,9 +485,9 @@ def q_lead_countries(spark, sf_dir):
 
 
 @query(
-    """SELECT name AS a, country AS b, industry AS c, listed AS d, homepage AS e, email AS f, phone AS g, form_url AS h, CASE WHEN is_active THEN 'O' ELSE 'X' END AS i,
-    CASE WHEN has_email AND status = 'valid' THEN 'e-mail' WHEN has_email THEN 'e-mail (check)' WHEN has_form THEN 'form' ELSE 'none' END AS j,
-    CASE WHEN coalesce(smtp, false) THEN 'O' ELSE 'X' END AS k, status AS l FROM v_lead""",
+    """SELECT country AS a, name AS b, coalesce(phone, '') AS c, CASE WHEN has_email THEN email ELSE '' END AS d, CASE WHEN has_form THEN form_url ELSE 'X' END AS e,
+    coalesce(homepage, domain, '') AS f, '' AS g, '' AS h, industry AS i, CASE WHEN has_email THEN CASE WHEN status = 'valid' THEN 'O' ELSE 'X' END WHEN has_form THEN '사이트 내 문의폼' ELSE 'X' END AS j,
+    CASE WHEN site_alive THEN 'O' ELSE 'X' END AS k, '' AS l FROM v_lead""",
     "v_lead",
 )
 def q_export_rows(spark, sf_dir):
@@ -479,12 +508,12 @@ def q_recipients(spark, sf_dir):
     return _recipients(spark, sf_dir)
 
 
-_SENT = f"(SELECT count(*) FROM v_log WHERE status = 'sent' AND sent_at >= date_trunc('day', TIMESTAMP '{NOW}'))"
+_SENT = f"(SELECT count(*) FROM v_log WHERE status = 'sent' AND sent_at >= date_trunc('day', TIMESTAMP '{SEND_NOW}'))"
 
 
 @query(f"WITH {_RECIPIENTS} SELECT *, concat('e_', left(sha1(email), 38)) AS send_id FROM todo ORDER BY email LIMIT greatest(0, 120 - {_SENT})", "v_queue", "v_company", "v_log")
 def q_send_batch(spark, sf_dir):
-    return outreach.batch(_recipients(spark, sf_dir), table(spark, sf_dir, "v_log"), F.lit(NOW).cast("timestamp"), quota=120)
+    return outreach.batch(_recipients(spark, sf_dir), table(spark, sf_dir, "v_log"), F.lit(SEND_NOW).cast("timestamp"), quota=120)
 
 
 @query(
@@ -492,13 +521,13 @@ def q_send_batch(spark, sf_dir):
     "v_queue", "v_company", "v_log",
 )
 def q_send_preview(spark, sf_dir):
-    found = outreach.preview(_recipients(spark, sf_dir), table(spark, sf_dir, "v_log"), F.lit(NOW).cast("timestamp"))
+    found = outreach.preview(_recipients(spark, sf_dir), table(spark, sf_dir, "v_log"), F.lit(SEND_NOW).cast("timestamp"))
     return found.withColumn("sample", F.array_join("sample", ","))
 
 
 @query(
-    """WITH f AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY second RANGE BETWEEN 899 PRECEDING AND CURRENT ROW) AS n, lag(second, 4) OVER (PARTITION BY user_id ORDER BY second, event_id) AS nth FROM v_failure)
-    SELECT event_id, n, (CASE WHEN n >= 5 AND nth IS NOT NULL THEN greatest(0, nth + 900 - second) ELSE 0 END)::BIGINT AS retry_after FROM f""",
+    """WITH f AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY second RANGE BETWEEN 899 PRECEDING AND CURRENT ROW) AS n, min(second) OVER (PARTITION BY user_id ORDER BY second RANGE BETWEEN 899 PRECEDING AND CURRENT ROW) AS oldest FROM v_failure)
+    SELECT event_id, n, (CASE WHEN n >= 5 THEN greatest(1, oldest + 900 - second) ELSE 0 END)::BIGINT AS retry_after FROM f""",
     "v_failure",
 )
 def q_login_throttle(spark, sf_dir):
@@ -634,27 +663,32 @@ def q_existence(spark, sf_dir):
 
 @query(
     f"""WITH a AS (SELECT *, len(string_split(email, '@')) = 2 AND contains(split_part(email, '@', 2), '.') AS good, {_domain("split_part(email, '@', -1)")} AS own, {_domain('company_domain')} AS wanted FROM v_mail_probe),
-    b AS (SELECT *, good AND has_mx AS mx, good AND coalesce(own = wanted, false) AS domain_match FROM a),
-    c AS (SELECT *, CASE WHEN NOT mx THEN 'invalid' WHEN domain_match OR wanted IS NULL THEN 'valid' ELSE 'risky' END AS base, CASE WHEN mx AND smtp_result = 'deliverable' THEN true WHEN mx AND smtp_result = 'undeliverable' THEN false END AS smtp FROM b),
+    b AS (SELECT *, good AND has_mx AS mx, good AND coalesce(company_domain, '') <> '' AND own IS NOT DISTINCT FROM wanted AS domain_match FROM a),
+    c AS (SELECT *, CASE WHEN NOT mx THEN 'invalid' WHEN domain_match OR coalesce(company_domain, '') = '' THEN 'valid' ELSE 'risky' END AS base, CASE WHEN mx AND smtp_result = 'deliverable' THEN true WHEN mx AND smtp_result = 'undeliverable' THEN false END AS smtp FROM b),
     d AS (SELECT *, CASE WHEN smtp = false THEN 'invalid' WHEN smtp AND base = 'risky' THEN 'valid' ELSE base END AS after FROM c)
     SELECT page_id, CASE WHEN after <> 'invalid' AND vendor_result = 'bad' THEN 'invalid' WHEN after = 'risky' AND vendor_result = 'ok' THEN 'valid' ELSE after END AS status, domain_match, smtp,
-      CASE WHEN after <> 'invalid' AND vendor_result IN ('bad', 'ok') THEN 'vendor' WHEN smtp IS NOT NULL THEN 'smtp' ELSE 'mx' END AS provider FROM d""",
+      CASE WHEN NOT good THEN NULL WHEN after <> 'invalid' AND vendor_result IN ('bad', 'ok') THEN 'zerobounce' WHEN smtp IS NOT NULL THEN 'smtp' ELSE 'mx' END AS provider FROM d""",
     "v_mail_probe",
 )
 def q_email_validation(spark, sf_dir):
     p = table(spark, sf_dir, "v_mail_probe")
-    r = verify.email_validation(*(F.col(c) for c in ("email", "company_domain", "has_mx", "smtp_result", "vendor_result")))
+    r = verify.email_validation(*(F.col(c) for c in ("email", "company_domain", "has_mx", "smtp_result", "vendor_result")), vendor="zerobounce")
     return p.select("page_id", r.alias("r")).select("page_id", "r.*")
 
 
+#: Words of a register, by o_orderkey % 12.
+_STATES = ("active", "registered", "open", "dissolved", "liquidation", "receivership", "administration", "converted-closed", "insolvency-proceedings", "removed", "closed", "voluntary-arrangement")
+
+
 @query(
-    """SELECT o_orderkey, CASE reg WHEN 'companies_house' THEN CASE st WHEN 'active' THEN true WHEN 'dissolved' THEN false END WHEN 'opencorporates' THEN NOT gone END AS active
-    FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'companies_house' WHEN 1 THEN 'opencorporates' ELSE 'other' END AS reg, CASE o_orderkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'dissolved' ELSE 'odd' END AS st,
+    f"""SELECT o_orderkey, CASE reg WHEN 'companies_house' THEN CASE WHEN o_orderkey % 12 < 3 THEN true WHEN o_orderkey % 12 < 11 THEN false END WHEN 'opencorporates' THEN NOT gone END AS active
+    FROM (SELECT o_orderkey, CASE o_orderkey % 7 % 3 WHEN 0 THEN 'companies_house' WHEN 1 THEN 'opencorporates' ELSE 'other' END AS reg,
           CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS gone FROM orders)"""
 )
 def q_registry_active(spark, sf_dir):
+    states = ", ".join(f"' {x.title()} '" for x in _STATES)
     p = table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey", "CASE o_orderkey % 3 WHEN 0 THEN 'companies_house' WHEN 1 THEN 'opencorporates' ELSE 'other' END AS reg", "CASE o_orderkey % 4 WHEN 0 THEN ' Active' WHEN 1 THEN 'dissolved' ELSE 'odd' END AS st",
+        "o_orderkey", "CASE o_orderkey % 7 % 3 WHEN 0 THEN 'Companies_House' WHEN 1 THEN 'opencorporates' ELSE 'other' END AS reg", f"get(array({states}), cast(o_orderkey % 12 as int)) AS st",
         "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS gone",
     )
     return p.select("o_orderkey", verify.registry_status(F.col("reg"), F.col("st"), F.col("gone")).alias("active"))
@@ -706,7 +740,7 @@ def q_industry_keywords(spark, sf_dir):
 # ---------------------------------------------------------------- ledger changes and sources
 
 @query(
-    f"""SELECT coalesce(o.key, n.key) AS key, coalesce(o.name, n.name) AS name, coalesce(o.domain, n.domain) AS domain, CASE WHEN n.key IS NOT NULL THEN TIMESTAMP '{NOW}' END AS last_crawled_at
+    f"""SELECT coalesce(o.key, n.key) AS key, CASE WHEN o.key IS NULL THEN n.name ELSE o.name END AS name, CASE WHEN o.key IS NULL THEN n.domain ELSE o.domain END AS domain, CASE WHEN n.key IS NOT NULL THEN TIMESTAMP '{NOW}' END AS last_crawled_at
     FROM (SELECT * FROM v_member WHERE key LIKE 'p%') o FULL JOIN (SELECT replace(key, 'q', CASE WHEN page_id % 4 = 0 THEN 'p' ELSE 'q' END) AS key, name, domain FROM v_discovered WHERE key LIKE 'q%') n ON n.key = o.key""",
     "v_member", "v_discovered",
 )
@@ -766,6 +800,96 @@ def q_populate_candidates(spark, sf_dir):
     return ledger.populate_candidates(known, found).drop("name_score")
 
 
+# ---------------------------------------------------------------- workbench and leads
+
+#: The uncertain candidates as a workbench: a third each pending, merged and separated; some keys have left the ledger.
+_BENCH = f"""{_TIERS}, bench AS (SELECT sha1(concat(least(key_a, key_b), chr(0), greatest(key_a, key_b))) AS id, least(key_a, key_b) AS key_a, greatest(key_a, key_b) AS key_b, tier, name_score FROM tiers
+      WHERE tier IN ('domain', 'lexical', 'shortlist')),
+    work AS (SELECT *, CASE WHEN left(id, 1) < '9' THEN 'pending' WHEN left(id, 1) < 'd' THEN 'merged' ELSE 'separated' END AS status FROM bench),
+    book AS (SELECT key, name, country, domain FROM v_discovered WHERE page_id % 7 <> 3)"""
+
+
+def _bench(spark, sf_dir) -> DataFrame:
+    found = _candidates(spark, sf_dir).where(F.col("tier").isin("domain", "lexical", "shortlist"))
+    a, b = F.least("key_a", "key_b"), F.greatest("key_a", "key_b")
+    first = F.substring("id", 1, 1)
+    rows = found.select(identity.pair_id(F.col("key_a"), F.col("key_b")).alias("id"), a.alias("key_a"), b.alias("key_b"), "tier", "name_score")
+    return rows.withColumn("status", F.when(first < "9", "pending").when(first < "d", "merged").otherwise("separated"))
+
+
+def _book(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "v_discovered").where("page_id % 7 <> 3").select("key", "name", "country", "domain")
+
+
+_ITEM = """SELECT w.id, w.key_a, w.key_b, w.tier, w.name_score, w.status, a.name AS name_a, b.name AS name_b, coalesce(nullif(a.country, ''), nullif(b.country, ''), '') AS country,
+      a.domain AS domain_a, b.domain AS domain_b, a.key IS NULL OR b.key IS NULL AS stale"""
+
+
+@query(f"{_BENCH} {_ITEM} FROM work w LEFT JOIN book a ON a.key = w.key_a LEFT JOIN book b ON b.key = w.key_b", "v_discovered")
+def q_candidate_items(spark, sf_dir):
+    return workbench.candidate_items(_bench(spark, sf_dir), _book(spark, sf_dir))
+
+
+@query(
+    f"{_BENCH}, pg AS (SELECT * FROM work WHERE status = 'pending' ORDER BY name_score DESC, id LIMIT 50 OFFSET 10) {_ITEM} FROM pg w LEFT JOIN book a ON a.key = w.key_a LEFT JOIN book b ON b.key = w.key_b",
+    "v_discovered",
+)
+def q_candidate_page(spark, sf_dir):
+    return workbench.list_candidates(_bench(spark, sf_dir), _book(spark, sf_dir), offset=10)
+
+
+@query(
+    f"{_BENCH} SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'merged') AS merged, count(*) FILTER (status = 'separated') AS separated, count(*) AS total FROM work",
+    "v_discovered",
+)
+def q_candidate_summary(spark, sf_dir):
+    return workbench.summary(_bench(spark, sf_dir))
+
+
+@query(
+    f"""{_BENCH} SELECT id, key_a, key_b, tier, name_score, status, CASE WHEN said THEN tier = 'domain' END AS llm_same, CASE WHEN said THEN name_score / 1000 END AS llm_confidence,
+      CASE WHEN said THEN concat('seen ', left(id, 4)) END AS llm_reason, CASE WHEN said THEN 'm1' END AS llm_model FROM (SELECT *, status = 'pending' AND right(id, 1) < '8' AS said FROM work)""",
+    "v_discovered",
+)
+def q_candidate_verdicts(spark, sf_dir):
+    w = _bench(spark, sf_dir)
+    said = w.where("right(id, 1) < '8'").select("id", (F.col("tier") == "domain").alias("same"), (F.col("name_score") / 1000).alias("confidence"), F.concat(F.lit("seen "), F.substring("id", 1, 4)).alias("reason"), F.lit("m1").alias("model"))
+    return workbench.add_verdicts(w, said)
+
+
+@query(
+    f"""{_BENCH} SELECT id, key_a, key_b, tier, name_score, CASE WHEN status = 'pending' AND right(id, 1) < '4' THEN 'separated' ELSE status END AS status,
+      CASE WHEN status = 'pending' AND right(id, 1) < '4' THEN concat('u', right(id, 1)) END AS decided_by FROM work""",
+    "v_discovered",
+)
+def q_candidate_separate(spark, sf_dir):
+    w = _bench(spark, sf_dir).withColumn("decided_by", F.lit(None).cast("string"))
+    return workbench.decide_separate(w, w.where("right(id, 1) < '4'").select("id", F.concat(F.lit("u"), F.expr("right(id, 1)")).alias("decided_by")), F.lit(NOW).cast("timestamp"))
+
+
+@query(
+    """WITH d AS (SELECT company_id AS key, listed, concat('s', c_custkey, '.com') AS domain FROM v_company WHERE c_custkey % 6 <> 0),
+    q AS (SELECT company_id, r.candidates, r.selected FROM (SELECT company_id, arg_min({'candidates': candidates, 'selected': selected}, o_orderkey) AS r FROM v_queue GROUP BY company_id)),
+    c AS (SELECT company_id, vals, CASE WHEN coalesce(list_contains(vals, selected), false) THEN selected ELSE vals[1] END AS chosen FROM (SELECT *, CASE WHEN json_valid(candidates) THEN from_json(candidates, '["VARCHAR"]') ELSE [] END AS vals FROM q)),
+    e AS (SELECT k.company_id, k.contact_id, k.value, row_number() OVER (PARTITION BY k.company_id ORDER BY coalesce(k.value = c.chosen, false) DESC,
+        CASE WHEN coalesce(k.value = c.chosen, false) THEN '' ELSE CASE role WHEN 'ir' THEN 'a' WHEN 'general' THEN 'b' ELSE 'c' END END,
+        CASE WHEN coalesce(k.value = c.chosen, false) OR role NOT IN ('ir', 'general') THEN 0 ELSE -tenths END, CASE WHEN coalesce(k.value = c.chosen, false) OR role NOT IN ('ir', 'general') THEN '' ELSE k.value END, k.contact_id) AS r
+      FROM v_contact k LEFT JOIN c ON c.company_id = k.company_id WHERE k.type = 'email'),
+    p AS (SELECT company_id, arg_min(value, contact_id) AS phone FROM v_contact WHERE type = 'phone' GROUP BY 1), f AS (SELECT company_id, arg_min(value, contact_id) AS form_url FROM v_contact WHERE type = 'form' GROUP BY 1)
+    SELECT co.company_id, co.name, coalesce(d.listed, 'unknown') AS listed, d.domain, e.value AS email, p.phone, f.form_url, CASE WHEN e.value IS NOT NULL THEN coalesce(v.status, 'unknown') END AS status, v.mx, v.smtp
+    FROM v_company co LEFT JOIN d ON d.key = co.company_id LEFT JOIN e ON e.company_id = co.company_id AND e.r = 1 LEFT JOIN p ON p.company_id = co.company_id LEFT JOIN f ON f.company_id = co.company_id
+      LEFT JOIN v_validation v ON v.contact_id = e.contact_id""",
+    "v_company", "v_queue", "v_contact", "v_validation",
+)
+def q_load_leads(spark, sf_dir):
+    c = table(spark, sf_dir, "v_company").withColumn("key", F.col("company_id"))
+    d = c.where("c_custkey % 6 <> 0").select("key", "listed", F.concat(F.lit("s"), F.col("c_custkey").cast("string"), F.lit(".com")).alias("domain"))
+    q = table(spark, sf_dir, "v_queue").groupBy("company_id").agg(F.min_by(F.struct("candidates", "selected"), "o_orderkey").alias("r")).select("company_id", "r.*")
+    contacts = table(spark, sf_dir, "v_contact").withColumn("confidence", F.col("tenths"))
+    found = leads.load_leads(c, d, contacts, q, table(spark, sf_dir, "v_validation"))
+    return found.select("company_id", "name", "listed", "domain", "email", "phone", "form_url", "status", "mx", "smtp")
+
+
 @query(
     "SELECT (row_number() OVER (ORDER BY c.o, i.o, l.o) - 1)::INT AS ord, concat(c.v, '/', i.v, '/', l.v) AS label FROM (VALUES (0, 'KR'), (1, 'US'), (2, 'Atlantis')) c(o, v), (VALUES (0, '전체'), (1, '건설')) i(o, v), (VALUES (0, 'listed'), (1, 'unlisted')) l(o, v)"
 )
@@ -782,11 +906,28 @@ def q_source_matrix(spark, sf_dir):
     return registers.source_matrix(spark, registers.segments(spark, ["KR", "US", "Atlantis"], ["전체", "건설"], ["listed"]))
 
 
+_SEG = "(VALUES (0, '대한민국', '대한민국', 'kr'), (1, 'US', 'us', 'us')) s(ord, country, cc, iso), (VALUES (0), (1)) n(i)"
+
+
 @query(
-    "SELECT s.o AS ord, concat(iso, '-firm', i, '.com') AS domain, concat('reg:sec:', iso, '-', s.o, '-', i) AS key FROM (VALUES (0, 'kr'), (1, 'us')) s(o, iso), (VALUES (1), (2)) n(i)"
+    f"""SELECT source, ord, name, domain, coalesce(registry, '') AS registry, listed, coalesce(market, '') AS market, CASE WHEN registry IS NULL THEN concat('dom:', domain) ELSE concat('reg:', registry, ':', lower(registry_id)) END AS key FROM (
+      SELECT 'edgar' AS source, ord, concat('전체 EDGAR Corp ', i) AS name, concat('us-edgar', i, '.com') AS domain, 'sec' AS registry, printf('CIK%07d', i) AS registry_id, 'unknown' AS listed, NULL AS market FROM {_SEG}
+      UNION ALL SELECT 'dart', ord, concat('전체 디에이알티 ', i), concat('kr-dart', i, '.co.kr'), 'dart', printf('KR%08d', i), 'unknown', NULL FROM {_SEG}
+      UNION ALL SELECT 'companies_house', ord, concat('전체 CH Ltd ', i), concat('gb-ch', i, '.co.uk'), 'companies_house', printf('GB%08d', i), 'unknown', NULL FROM {_SEG}
+      UNION ALL SELECT 'gleif', ord, concat('전체 GLEIF Co ', i), concat(cc, '-lei', i, '.com'), 'lei', concat('LEI-', cc, '-', i), 'unknown', NULL FROM {_SEG}
+      UNION ALL SELECT 'wikidata', ord, concat('전체 위키데이터 ', i), concat(cc, '-wiki', i, '.com'), 'wikidata', concat('Q-', cc, '-', i), 'unknown', NULL FROM {_SEG}
+      UNION ALL SELECT 'opencorporates', ord, concat('전체 OpenCorp ', i), concat(cc, '-oc', i, '.com'), 'opencorporates', concat(cc, '/', printf('%06d', i)), 'unknown', NULL FROM {_SEG}
+      UNION ALL SELECT 'search', ord, concat('전체 서치기업 ', i), concat(cc, '-search', i, '.com'), NULL, NULL, 'unknown', NULL FROM {_SEG}
+      UNION ALL SELECT 'sgx', ord, concat('전체 SGX 상장사 ', i), concat(cc, '-sgx', i, '.com'), 'sgx', printf('SGX%04d', i), 'listed', 'SGX' FROM {_SEG}
+      UNION ALL SELECT 'dummy', ord, concat('전체 더미기업 ', i), concat(cc, '-firm', i, '.com'), NULL, NULL, 'unknown', NULL FROM {_SEG})"""
 )
 def q_dry_rows(spark, sf_dir):
-    return registers.dry_rows(registers.segments(spark, ["대한민국", "US"], ["전체"], ["listed"]), "edgar").select("ord", "domain", "key")
+    segs = registers.segments(spark, ["대한민국", "US"], ["전체"], ["unknown"])
+    out = None
+    for source in ("edgar", "dart", "companies_house", "gleif", "wikidata", "opencorporates", "search", "sgx", "dummy"):
+        some = registers.dry_rows(segs, source).select(F.lit(source).alias("source"), "ord", "name", "domain", F.coalesce("registry", F.lit("")).alias("registry"), "listed", F.coalesce("market", F.lit("")).alias("market"), "key")
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
 # ---------------------------------------------------------------- enrichment

@@ -70,7 +70,8 @@ VIEWS: dict[str, str] = {
                s.s_suppkey % 4 <> 0 AS has_email, s.s_suppkey % 3 = 0 AS has_phone, s.s_suppkey % 5 <> 0 AS has_form,
                CASE WHEN s.s_suppkey % 4 <> 0 THEN CASE s.s_suppkey % 3 WHEN 0 THEN 'valid' WHEN 1 THEN 'risky' ELSE 'invalid' END END AS status,
                CASE s.s_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS smtp,
-               concat('https://s', s.s_suppkey, '.com') AS homepage,
+               CASE WHEN s.s_suppkey % 6 <> 0 THEN concat('https://s', s.s_suppkey, '.com') END AS homepage,
+               CASE WHEN s.s_suppkey % 7 <> 0 THEN concat('s', s.s_suppkey, '.com') END AS domain, s.s_suppkey % 8 <> 0 AS site_alive,
                CASE WHEN s.s_suppkey % 4 <> 0 THEN concat('ir@s', s.s_suppkey, '.com') END AS email,
                CASE WHEN s.s_suppkey % 3 = 0 THEN concat('+82', s.s_suppkey) END AS phone,
                CASE WHEN s.s_suppkey % 5 <> 0 THEN concat('https://s', s.s_suppkey, '.com/contact') END AS form_url

@@ -24,9 +24,12 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, **extra: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one is made and set."""
+    """The folder in spark.checkpoint.dir; where that is unset, a local master gets a temporary one, and any other
+    raises: executors on several hosts would not see one another's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

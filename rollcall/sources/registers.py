@@ -6,6 +6,8 @@ JSON or HTML text) and gives discovered companies.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,20 @@ SOURCES = (
     ("sgx", "SG", True), ("idx", "ID", True), ("bursa", "MY", True), ("hose", "VN", True), ("hnx", "VN", True),
     ("gleif", None, True), ("wikidata", None, True), ("opencorporates", None, False), ("search", "*", False),
 )
-_DRY = {"edgar": "sec", "dart": "dart", "companies_house": "companies_house", "gleif": "gleif", "wikidata": "wikidata", "opencorporates": "opencorporates"}
+# The rows of a dry run. Name, domain, registry and its id; {i} counts from 0, {cc} is the country as it is
+# given, in lower case.
+DRY_ROWS = {
+    "edgar": ("{industry} EDGAR Corp {i}", "us-edgar{i}.com", "sec", "CIK{i:7}"),
+    "dart": ("{industry} 디에이알티 {i}", "kr-dart{i}.co.kr", "dart", "KR{i:8}"),
+    "companies_house": ("{industry} CH Ltd {i}", "gb-ch{i}.co.uk", "companies_house", "GB{i:8}"),
+    "gleif": ("{industry} GLEIF Co {i}", "{cc}-lei{i}.com", "lei", "LEI-{cc}-{i}"),
+    "wikidata": ("{industry} 위키데이터 {i}", "{cc}-wiki{i}.com", "wikidata", "Q-{cc}-{i}"),
+    "opencorporates": ("{industry} OpenCorp {i}", "{cc}-oc{i}.com", "opencorporates", "{cc}/{i:6}"),
+    "search": ("{industry} 서치기업 {i}", "{cc}-search{i}.com", None, None),
+    "dummy": ("{industry} 더미기업 {i}", "{cc}-firm{i}.com", None, None),
+}
+EXCHANGES = ("pse", "set", "sgx", "idx", "bursa", "hose", "hnx")
+DRY_ROWS |= {x: ("{industry} " + x.upper() + " 상장사 {i}", "{cc}-" + x + "{i}.com", x, x.upper() + "{i:4}") for x in EXCHANGES}
 
 
 def segments(spark: SparkSession, countries: list[str], industries: list[str], listed: list[str]) -> DataFrame:
@@ -36,15 +51,29 @@ def source_matrix(spark: SparkSession, segs: DataFrame) -> DataFrame:
     return segs.join(F.broadcast(table), serves & ~(F.col("broad_only") & industry.is_specific(F.col("industry")))).select("ord", "source", "priority")
 
 
+def _filled(shape: str | None, **values: Column) -> Column:
+    """A shape with its fields filled in; {i:7} is i with leading zeros, seven digits at least."""
+    if shape is None:
+        return F.lit(None).cast("string")
+    out = []
+    for plain, field, width in re.findall(r"([^{}]+)|\{(\w+)(?::(\d+))?\}", shape):
+        value = values[field].cast("string") if field else F.lit(plain)
+        out.append(F.when(F.length(value) < int(width), F.lpad(value, int(width), "0")).otherwise(value) if width else value)
+    return F.concat(*out)
+
+
 def dry_rows(segs: DataFrame, source: str, n: int = 2) -> DataFrame:
-    """n deterministic companies for each segment, as a dry run of the source gives."""
-    rows = segs.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
-    iso = identity.normal_country(F.col("country"))
-    name = F.concat(F.upper(iso), F.lit(" "), F.col("industry"), F.lit(f" {source} "), F.col("i").cast("string"))
-    number = F.concat(iso, F.lit("-"), F.col("ord").cast("string"), F.lit("-"), F.col("i").cast("string"))
-    domain = F.concat(iso, F.lit("-firm"), F.col("i").cast("string"), F.lit(".com"))
-    registry = F.lit(_DRY.get(source)).cast("string")
-    made = rows.select("ord", name.alias("name"), "country", registry.alias("registry"), F.when(registry.isNotNull(), number).alias("registry_id"), domain.alias("domain"))
+    """n deterministic companies for each segment, as a dry run of the source gives: ord, name, country, listed, registry,
+    registry_id, domain, market, key. An exchange's companies are listed, and their market is the exchange."""
+    rows = segs.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    cc = F.lower(F.trim(F.coalesce(F.nullif("country", F.lit("")), F.lit("xx"))))
+    exchange = source in EXCHANGES
+    name, domain, registry, number = DRY_ROWS[source]
+    fill = lambda shape: _filled(shape, industry=F.col("industry"), i=F.col("i"), cc=cc)
+    made = rows.select(
+        "ord", fill(name).alias("name"), "country", (F.lit("listed") if exchange else F.col("listed")).alias("listed"), F.lit(registry).cast("string").alias("registry"),
+        fill(number).alias("registry_id"), fill(domain).alias("domain"), F.lit(source.upper() if exchange else None).cast("string").alias("market"),
+    )
     return made.withColumn("key", identity.canonical_key(*(F.col(c) for c in ("registry", "registry_id", "domain", "name", "country"))))
 
 
@@ -116,11 +145,26 @@ def sgx_rows(captured: DataFrame, payload: str = "payload") -> DataFrame:
     return flat.where(kind.isin("stocks", "reits", "businesstrusts")).select(first_text(F.col("r"), "nc", "code", "symbol").alias("symbol"), first_text(F.col("r"), "n", "name").alias("name"))
 
 
+# Parts of page titles that name no company (letters and digits only), and what stands between parts.
+TITLE_NOISE = (
+    "investorrelations", "investorrelation", "investors", "investor", "ir", "relations", "home", "homepage",
+    "officialwebsite", "officialsite", "official", "website", "welcome", "about", "aboutus", "company",
+    "companyprofile", "profile", "contact", "contactus", "main", "mainpage", "overview", "investorscorner",
+    "corporate",
+)
+TITLE_BREAK = r"\s*(?:::|[|:：•·—–]|\s-\s)\s*"
+
+
 def company_name(title: Column, domain: Column) -> Column:
-    """The longest part of a page title that isn't noise (the first of equals), else the domain's capitalised root."""
-    parts = F.filter(F.transform(F.split(title, r"\s*[|\-–—:·]\s+|\s+[|\-–—:·]\s*"), F.trim), lambda p: (p != "") & ~F.lower(p).isin("home", "homepage", "official site", "welcome", "홈", "공식"))
+    """The longest part of a page title that isn't noise (the first of equals), else the domain's capitalised root.
+
+    A part counts only if it holds an ASCII letter or digit.
+    """
+    plain = lambda p: F.regexp_replace(F.lower(p), "[^a-z0-9]", "")
+    parts = F.filter(F.transform(F.split(title, TITLE_BREAK), F.trim), lambda p: (plain(p) != "") & ~plain(p).isin(*TITLE_NOISE))
     best = F.aggregate(parts, F.lit(""), lambda a, p: F.when(F.length(p) > F.length(a), p).otherwise(a))
-    return F.when(best != "", best).otherwise(F.initcap(F.substring_index(domain, ".", 1)))
+    root = F.substring_index(domain, ".", 1)
+    return F.when(best != "", best).otherwise(F.concat(F.upper(F.substring(root, 1, 1)), F.lower(F.substring(root, 2, 255))))
 
 
 # Header spellings of imported sheets and the fields they name.
