@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist select map".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist map".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption tr ul xmp plaintext".split()
@@ -49,17 +50,19 @@ SECTIONS = frozenset("thead tbody tfoot".split())
 UNDRAWN = frozenset("defs symbol metadata desc clippath mask pattern marker".split())
 #: What may stand in a head; anything else begins the body.
 HEAD = frozenset("base link meta noscript script style template title".split())
-#: Deeper elements are laid out as part of the one at this depth.
-MAX_DEPTH = 200
+#: Form controls: boxes of their own within a line.
+CONTROLS = frozenset("button input select textarea".split())
+#: Columns are padded up to this width; what a wider cell holds is shown whole, past the column's end.
 MAX_COLUMN = 80
+#: The most columns that the standard lets a cell span.
+MAX_SPAN = 1000
 
-_TAG = re.compile(
-    r"<!--(?:>|->|.*?--!?>|.*\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_MARKUP = re.compile(r"<(?:(?P<comment>!--)|[!?]|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*))")
+_COMMENT_END = re.compile(r"--!?>")
+_IN_TAG = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 
 
 class Node:
@@ -69,46 +72,142 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
+class _Ends:
+    """Where tags end: at the first ">" outside quotes or, of tags with a quote that never ends, at the first one.
+
+    No stretch of the page is searched twice in vain: a search that found nothing, and the places from which
+    quotes led to the end of the page, are remembered. So the time is in proportion to the page.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.size = page, len(page)
+        self.known: dict[str, tuple[int, int]] = {}
+        self.vain: set[int] = set()
+
+    def _next(self, what: str, at: int) -> int:
+        """The next of ">", or of ">" and quotes (what: ""), or the page's size."""
+        start, found = self.known.get(what, (0, -1))
+        if not start <= at <= found:
+            if what:
+                found = self.page.find(what, at)
+            else:
+                m = _IN_TAG.search(self.page, at)
+                found = m.start() if m else -1
+            found = self.size if found < 0 else found
+            self.known[what] = at, found
+        return found
+
+    def after(self, at: int) -> int:
+        """The place of the next ">", or the page's size."""
+        return self._next(">", at)
+
+    def of(self, at: int) -> int:
+        """The place of the ">" that ends the tag whose name ends at `at`; some ">" must follow."""
+        opened: list[int] = []
+        q = at
+        while True:
+            q = self._next("", q)
+            if q == self.size or q in self.vain:
+                break
+            if self.page[q] == ">":
+                return q
+            opened.append(q)
+            q = self.page.find(self.page[q], q + 1) + 1
+            if not q:
+                break
+        self.vain.update(opened)
+        return self._next(">", at)
+
+
+class _Open:
+    """The open elements, and where those of each name stand."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.deepest = [root], {}, 1
+
+    def top(self) -> Node:
+        return self.stack[-1]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+        self.deepest = max(self.deepest, len(self.stack))
+
+    def cut(self, k: int) -> None:
+        """Close the k-th element (never the first) and all inside it."""
+        while len(self.stack) > max(1, k):
+            self.at[self.stack.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost of these; 0 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+
 def parse(page: str) -> Node:
     """The tree of a page. Text is str; unclosed and misnested tags are closed where the standard implies."""
+    return _parsed(page)[0]
+
+
+def _parsed(page: str) -> tuple[Node, int]:
+    """The tree, and its depth."""
     root = Node("html", {})
-    stack = [root]
-    at, n = 0, len(page)
-    while at < n:
-        found = _TAG.search(page, at)
-        text = page[at : found.start() if found else n]
-        if text:
-            if stack[-1].tag == "head" and not text.isspace():
-                stack.pop()
-            stack[-1].children.append(html.unescape(text) if "&" in text else text)
-        if not found:
+    stack, ends = _Open(root), _Ends(page)
+    at = begin = 0
+    n = len(page)
+
+    def text(stop: int) -> None:
+        value = page[begin:stop]
+        if value:
+            if stack.top().tag == "head" and not value.isspace():
+                stack.cut(len(stack.stack) - 1)
+            stack.top().children.append(html.unescape(value) if "&" in value else value)
+
+    while True:
+        at = page.find("<", at)
+        if at >= 0 and ends.after(at) == n:  # no tag ends any more; a comment or the like hides what follows it
+            at = min((k for k in (page.find("<!", at), page.find("<?", at)) if k >= 0), default=-1)
+        if at < 0:
             break
-        at = found.end()
-        tag = (found[2] or found[5] or "").lower()
+        found = _MARKUP.match(page, at)
+        if not found:
+            at += 1
+            continue
+        tag = (found["tag"] or "").lower()
         if not tag:
+            text(at)
+            if found["comment"]:
+                empty = next((x for x in (">", "->") if page.startswith(x, at + 4)), None)
+                m = None if empty else _COMMENT_END.search(page, at + 4)
+                at = at + 4 + len(empty) if empty else m.end() if m else n
+            else:
+                at = page.find(">", at) + 1 or n
+            begin = at
             continue
-        if found[1] or found[4]:
+        end = ends.of(found.end())
+        text(at)
+        rest = page[found.end() : end]
+        at = begin = end + 1
+        if found["end"]:
             _close(stack, tag)
             continue
-        rest = found[3] if found[2] else found[6]
         _imply(stack, tag)
         if tag == "html":
             continue
-        node = Node(tag, _attributes(rest) if rest and "=" in rest or "hidden" in rest else {})
-        stack[-1].children.append(node)
+        node = Node(tag, _attributes(rest) if rest and not rest.isspace() else {})
+        stack.top().children.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at) if tag != "plaintext" else None
+            m = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at) if tag != "plaintext" else None
             if tag in ("textarea", "title"):
-                node.children.append(html.unescape(page[at : end.start() if end else n]))
+                node.children.append(html.unescape(page[at : m.start() if m else n]))
             elif tag in ("xmp", "plaintext"):
-                node.children.append(page[at : end.start() if end else n])
-            at = end.end() if end else n
-        elif len(stack) < MAX_DEPTH and not rest.endswith("/") or tag in BLOCK:
-            if len(stack) < 4 * MAX_DEPTH:
-                stack.append(node)
-    return root
+                node.children.append(page[at : m.start() if m else n])
+            at = begin = m.end() if m else n
+        elif not rest.endswith("/") or tag in BLOCK:
+            stack.push(node)
+    text(n)
+    return root, stack.deepest
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -118,56 +217,60 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _imply(stack: list[Node], tag: str) -> None:
+def _imply(stack: _Open, tag: str) -> None:
     """Close what the start tag implies the end of, and open what it implies the start of."""
-    if stack[-1].tag == "head" and tag not in HEAD:
-        stack.pop()
+    if stack.top().tag == "head" and tag not in HEAD:
+        stack.cut(len(stack.stack) - 1)
     if tag in CLOSES_P:
         _close(stack, "p", only_open=True)
     if tag in IMPLIED_END:
         ends, until = IMPLIED_END[tag]
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in until:
+        edge = stack.last(until)
+        while (k := stack.last(ends)) > edge:
+            stack.cut(k)
+            if tag not in ("tr", "tbody", "thead", "tfoot"):
                 break
-            if stack[k].tag in ends:
-                del stack[k:]
-                if tag not in ("tr", "tbody", "thead", "tfoot"):
-                    break
     if tag in ("tr", "td", "th") or tag in SECTIONS:
         _clear(stack, tag)
-    if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+    if tag in ("td", "th") and stack.top().tag in ("table", "tbody", "thead", "tfoot"):
         row = Node("tr", {})
-        stack[-1].children.append(row)
-        stack.append(row)
+        stack.top().children.append(row)
+        stack.push(row)
 
 
-def _clear(stack: list[Node], tag: str) -> None:
+def _clear(stack: _Open, tag: str) -> None:
     """Close what stands, open, between a part of a table and the part it belongs in, such as a form around rows."""
-    at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in ("table", "template")), 0)
-    if not at or stack[at].tag != "table":
+    at, open_ = stack.last(("table", "template")), stack.stack
+    if not at or open_[at].tag != "table":
         return
     at += 1
-    if tag not in SECTIONS and at < len(stack) and stack[at].tag in SECTIONS:
+    if tag not in SECTIONS and at < len(open_) and open_[at].tag in SECTIONS:
         at += 1
-    if tag in ("td", "th") and at < len(stack) and stack[at].tag == "tr":
+    if tag in ("td", "th") and at < len(open_) and open_[at].tag == "tr":
         at += 1
-    del stack[at:]
+    stack.cut(at)
 
 
-def _close(stack: list[Node], tag: str, only_open: bool = False) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == tag:
-            del stack[k:]
-            return
-        if stack[k].tag in SCOPE and tag not in SCOPE and tag not in ("tr", "tbody", "thead", "tfoot"):
-            break
+def _close(stack: _Open, tag: str, only_open: bool = False) -> None:
+    k = stack.last((tag,))
+    edge = 0 if tag in SCOPE or tag in ("tr", "tbody", "thead", "tfoot") else stack.last(SCOPE)
+    if k > edge:
+        stack.cut(k)
+        return
     if tag == "p" and not only_open:  # an end tag without its start is an empty paragraph
-        stack[-1].children.append(Node("p", {}))
+        stack.top().children.append(Node("p", {}))
     if tag == "br":
-        stack[-1].children.append(Node("br", {}))
+        stack.top().children.append(Node("br", {}))
+
+
+def _style(node: Node, name: str) -> str | None:
+    """The last value that the element's own style gives the property."""
+    found = [m[2].lower() for m in _STYLE.finditer(node.attributes.get("style", "")) if m[1].lower() == name]
+    return found[-1] if found else None
 
 
 def _visible(node: Node) -> bool:
+    """Whether the element is laid out at all."""
     if node.tag in UNSEEN:
         return False
     if not node.attributes:
@@ -177,7 +280,13 @@ def _visible(node: Node) -> bool:
         return False
     if node.tag == "dialog" and "open" not in a:
         return False
-    return not ("style" in a and _HIDDEN_STYLE.search(a["style"]))
+    return _style(node, "display") != "none"
+
+
+def _seen(node: Node, outside: bool) -> bool:
+    """Whether the element's own text can be seen: visibility is inherited, and a visible part of a hidden one is seen."""
+    value = _style(node, "visibility") if "style" in node.attributes else None
+    return outside if value in (None, "inherit", "unset") else value not in ("hidden", "collapse")
 
 
 def _width(text: str) -> int:
@@ -224,13 +333,36 @@ class _Page:
         self.gap = True
 
 
+def _chosen(node: Node) -> list[Node | str]:
+    """What a closed details element, or a list of choices, shows of its children."""
+    if node.tag == "details" and "open" not in node.attributes:
+        return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
+    if node.tag == "select":
+        options: list[Node] = []
+        waiting = list(reversed(node.children))
+        while waiting:
+            c = waiting.pop()
+            if isinstance(c, Node) and c.tag == "option":
+                options.append(c)
+            elif isinstance(c, Node):
+                waiting.extend(reversed(c.children))
+        if "multiple" in node.attributes or node.attributes.get("size", "1") not in ("", "0", "1"):
+            return options
+        marked = [c for c in options if "selected" in c.attributes]
+        return marked[-1:] or options[:1]
+    return node.children
+
+
 def _render(node: Node, page: _Page, lists: int, pre: bool, seen: bool) -> None:
-    for child in node.children:
+    for child in _chosen(node):
         if isinstance(child, str):
             if not seen:
                 continue
             if pre:
                 head, *more = child.split("\n")
+                if page.space and page.parts:
+                    page.parts.append(" ")
+                page.space = False
                 page.parts.append(head)
                 for x in more:
                     page.line(keep=True)
@@ -240,54 +372,60 @@ def _render(node: Node, page: _Page, lists: int, pre: bool, seen: bool) -> None:
             continue
         if not _visible(child) or node.tag == "semantics" and child.tag.startswith("annotation"):
             continue
-        tag = child.tag
-        if node.tag in ("mfrac", "mtr", "mtable"):
+        tag, own = child.tag, _seen(child, seen)
+        if node.tag in ("mfrac", "mtr", "mtable") or tag in CONTROLS:
             page.text(" ")
         if tag == "br":
             page.line(keep=True)
         elif tag == "hr":
             page.apart()
         elif tag == "img":
-            if child.attributes.get("alt"):
+            if own and child.attributes.get("alt"):
                 page.text(child.attributes["alt"])
         elif tag == "input":
-            if child.attributes.get("type", "").lower() in ("submit", "button", "reset"):
+            if own and child.attributes.get("type", "").lower() in ("submit", "button", "reset"):
                 page.text(child.attributes.get("value", ""))
+        elif tag == "select":
+            for option in _chosen(child):
+                page.text(" ")
+                _render(option, page, lists, False, _seen(option, own))
         elif tag == "table":
             page.apart()
-            _table(child, page, seen)
+            _table(child, page, own)
             page.apart()
         elif tag in ("ul", "ol", "menu", "dir"):
             page.line() if lists else page.apart()
-            _list(child, page, lists, seen)
+            _list(child, page, lists, own)
             page.line() if lists else page.apart()
         elif tag == "svg":
-            _drawing(child, page, lists, seen)
+            _drawing(child, page, lists, own)
         elif tag in BLOCK:
             page.apart() if tag in SPACED else page.line()
-            _render(child, page, lists, pre or tag in ("pre", "xmp", "plaintext", "textarea"), seen)
+            _render(child, page, lists, pre or tag in ("pre", "xmp", "plaintext", "textarea"), own)
             page.apart() if tag in SPACED else page.line()
         elif tag in ("td", "th"):  # outside a table
             page.text(" ")
-            _render(child, page, lists, pre, seen)
+            _render(child, page, lists, pre, own)
             page.text(" ")
         else:
-            _render(child, page, lists, pre or tag == "textarea", seen)
+            _render(child, page, lists, pre or tag == "textarea", own)
+        if tag in CONTROLS:
+            page.text(" ")
 
 
 def _drawing(node: Node, page: _Page, lists: int, seen: bool) -> None:
     """The texts of an SVG image, apart by spaces; HTML inside it is laid out as such."""
     for child in node.children:
-        if isinstance(child, str) or child.tag in UNDRAWN or not _visible(child):
-            continue
-        if child.attributes.get("display") == "none" or child.attributes.get("visibility") in ("hidden", "collapse"):
+        if isinstance(child, str) or child.tag in UNDRAWN or not _visible(child) or child.attributes.get("display") == "none":
             continue
+        value = child.attributes.get("visibility")
+        own = _seen(child, seen if value in (None, "inherit") else value not in ("hidden", "collapse"))
         if child.tag in ("text", "foreignobject"):
             page.text(" ")
-            _render(child, page, lists, False, seen)
+            _render(child, page, lists, False, own)
             page.text(" ")
         else:
-            _drawing(child, page, lists, seen)
+            _drawing(child, page, lists, own)
 
 
 def _list(node: Node, page: _Page, lists: int, seen: bool) -> None:
@@ -296,15 +434,17 @@ def _list(node: Node, page: _Page, lists: int, seen: bool) -> None:
     outer = page.first, page.rest
     for child in node.children:
         if isinstance(child, str):
-            page.text(child)
+            if seen:
+                page.text(child)
         elif child.tag == "li" and _visible(child):
             page.line()
+            own = _seen(child, seen)
             value = child.attributes.get("value", "")
             number = int(value) if re.fullmatch(r"-?\d{1,9}", value) else number
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            page.first, page.rest = outer[1] + mark, outer[1] + " " * len(mark)
-            _render(child, page, lists + 1, False, seen)
+            page.first, page.rest = outer[1] + (mark if own else " " * len(mark)), outer[1] + " " * len(mark)
+            _render(child, page, lists + 1, False, own)
             page.line()
             page.first, page.rest = outer[1], outer[1]
         elif _visible(child):
@@ -314,24 +454,34 @@ def _list(node: Node, page: _Page, lists: int, seen: bool) -> None:
     page.first, page.rest = outer[1], outer[1]
 
 
-def _rows(node: Node) -> Iterator[Node]:
-    for child in node.children:
-        if isinstance(child, Node) and _visible(child):
-            if child.tag == "tr":
-                yield child
-            elif child.tag in SECTIONS:
-                yield from _rows(child)
+def _rows(node: Node, seen: bool) -> list[tuple[Node, bool]]:
+    """The rows of a table and its sections, and whether each can be seen."""
+    found: list[tuple[Node, bool]] = []
+    waiting = [(c, seen) for c in reversed(node.children)]
+    while waiting:
+        child, outside = waiting.pop()
+        if isinstance(child, str) or not _visible(child):
+            continue
+        if child.tag == "tr":
+            found.append((child, _seen(child, outside)))
+        elif child.tag in SECTIONS:
+            waiting.extend((c, _seen(child, outside)) for c in reversed(child.children))
+    return found
 
 
-def _loose(node: Node) -> Iterator[Node | str]:
+def _loose(node: Node) -> list[Node | str]:
     """What a table or its sections hold beside rows; a browser shows it before the table, whether the section is hidden or not."""
-    for child in node.children:
+    found: list[Node | str] = []
+    waiting = list(reversed(node.children))
+    while waiting:
+        child = waiting.pop()
         if isinstance(child, str):
-            yield child
+            found.append(child)
         elif child.tag in SECTIONS or child.tag == "colgroup":
-            yield from _loose(child)
+            waiting.extend(reversed(child.children))
         elif child.tag not in ("tr", "col"):
-            yield child
+            found.append(child)
+    return found
 
 
 def _cell(node: Node, seen: bool) -> list[str]:
@@ -343,20 +493,21 @@ def _cell(node: Node, seen: bool) -> list[str]:
 
 def _span(node: Node, name: str) -> int:
     value = node.attributes.get(name, "1")
-    return max(1, min(1000, int(value))) if re.fullmatch(r"\d{1,4}", value) else 1
+    return max(1, int(value)) if re.fullmatch(r"\d{1,5}", value) else 1
 
 
 def _table(node: Node, page: _Page, seen: bool) -> None:
     """Caption, stray text, then rows; a cell of several lines makes its row as high; spans leave cells empty."""
     loose = Node("div", {})
-    loose.children = list(_loose(node))
+    loose.children = _loose(node)
     _render(loose, page, 0, False, seen)
     page.line()
     grid: list[dict[int, list[str]]] = []
-    taken: set[tuple[int, int]] = set()
-    for r, row in enumerate(_rows(node)):
+    rows = _rows(node, seen)
+    taken: list[list[tuple[int, int]]] = [[] for _ in rows]  # of each row the columns that cells above it reach into
+    for r, (row, own) in enumerate(rows):
         cells: dict[int, list[str]] = {}
-        column = 0
+        column, spans = 0, sorted(taken[r], reverse=True)
         for cell in row.children:
             if isinstance(cell, str):
                 if cell.isspace() or not cell:
@@ -366,11 +517,12 @@ def _table(node: Node, page: _Page, seen: bool) -> None:
                 cell = wrap
             if not _visible(cell):
                 continue
-            while (r, column) in taken:
-                column += 1
-            cells[column] = _cell(cell, seen)
-            wide, high = _span(cell, "colspan"), _span(cell, "rowspan")
-            taken.update((r + i, column + k) for i in range(1, high) for k in range(wide))
+            while spans and spans[-1][0] <= column:
+                column = max(column, spans.pop()[1])
+            cells[column] = _cell(cell, _seen(cell, own))
+            wide, high = min(MAX_SPAN, _span(cell, "colspan")), min(_span(cell, "rowspan"), len(rows) - r)
+            for i in range(1, high):
+                taken[r + i].append((column, column + wide))
             column += wide
         grid.append(cells)
     widths: dict[int, int] = {}
@@ -392,7 +544,9 @@ def _table(node: Node, page: _Page, seen: bool) -> None:
 def render(page: str) -> str:
     """The visible text of a page, laid out; empty for a page without any."""
     out = _Page()
-    _render(parse(page), out, 0, False, True)
+    root, depth = _parsed(page)
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 2_000 + 4 * depth))
+    _render(root, out, 0, False, True)
     out.line()
     lines = out.lines
     while lines and not lines[0]:
@@ -405,16 +559,13 @@ def extract_text(pages: DataFrame, html_column: str = "html", text: str = "text"
     """Adds the laid-out visible text of each page; null of a null page, empty of one without text.
 
     Every row stays, and all other columns pass unchanged; an existing column of that name is replaced.
-    Whole pages are read, of any length; nesting beyond MAX_DEPTH is laid out at that depth.
+    Whole pages are read, of any length and depth.
     """
     frame = pages.drop(text) if text != html_column else pages.withColumnRenamed(html_column, "_html")
     source = html_column if text != html_column else "_html"
     at = frame.columns.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sys
-
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * MAX_DEPTH))
         for batch in batches:
             values = [None if v is None else render(v) for v in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.string())], [*batch.schema.names, text])
