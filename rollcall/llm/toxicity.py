@@ -81,7 +81,7 @@ def fold(text: str) -> str:
                 if len(parts) > 2 and all(len(p) == 1 for p in parts):
                     core = "".join(parts)
                 letters = sum(map(str.isalpha, core))
-                if letters * 3 >= len(core) and len(core) <= 40:
+                if letters * 3 >= len(core):
                     core = core.translate(_SIGNS)
                 word = "".join(c if c.isalnum() else " " for c in core)
         words.append(word)
@@ -149,7 +149,7 @@ def _candidates(text: str) -> set[str]:
     """What could be an entry: each word, and each of its beginnings."""
     found = set()
     for word in set(fold(text).split()):
-        found.add(f" {word[: 2 * MAX_ENTRY]} ")
+        found.add(f" {word} ")
         for n in range(MIN_ENTRY, min(len(word), MAX_ENTRY)):
             found.add(f" {word[:n]}")
     return found
@@ -164,6 +164,7 @@ def learn(
     max_texts: int = 12_000,
     max_entries: int = 400,
     min_texts: int = 4,
+    max_exceptions: int = 1000,
 ) -> ToxicityModel:
     """Fit a model on the documents that have labels (key, 0 or 1).
 
@@ -173,7 +174,8 @@ def learn(
     scores are those of the true rate at any size. Only the sample's texts move. An entry must
     be in min_texts toxic texts and its counts' likelihood ratio at least MIN_GAIN; the largest ratios come
     first, and no entry is the beginning of another. Two-word phrases around an entry that are found in
-    non-toxic texts only, in min_texts at least, become exception phrases. Without labelled texts of
+    non-toxic texts only, in min_texts at least, become exception phrases (max_entries and max_exceptions bound
+    the model, the most telling first). Without labelled texts of
     both kinds the model has no entries, and every score is low.
     """
     rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(
@@ -227,7 +229,7 @@ def learn(
         if len(entries) < max_entries and not any(new.startswith(e) or e.startswith(new) for e in entries):
             entries[new] = float(best["weight"])
     model = ToxicityModel(entries)
-    model.exceptions = _learn_exceptions(sample, model, min_texts)
+    model.exceptions = _learn_exceptions(sample, model, min_texts, max_exceptions)
     return _fit_curve(sample, model, weights)
 
 
@@ -238,7 +240,7 @@ def _phrases(matcher: _Matcher, text: str) -> set[str]:
     return {f" {a} {b} " for a, b, x, y in zip(words, words[1:], hit, hit[1:], strict=False) if x or y}
 
 
-def _learn_exceptions(sample: DataFrame, model: ToxicityModel, min_texts: int) -> list[str]:
+def _learn_exceptions(sample: DataFrame, model: ToxicityModel, min_texts: int, most: int) -> list[str]:
     if not model.entries:
         return []
     packed = model.to_json()
@@ -256,7 +258,7 @@ def _learn_exceptions(sample: DataFrame, model: ToxicityModel, min_texts: int) -
     found = (
         sample.select("text", "label").mapInArrow(count, "phrase string, label int")
         .groupBy("phrase").agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
-        .where((F.col("toxic") == 0) & (F.col("n") >= min_texts)).orderBy(F.desc("n"), "phrase").limit(1000).collect()
+        .where((F.col("toxic") == 0) & (F.col("n") >= min_texts)).orderBy(F.desc("n"), "phrase").limit(most).collect()
     )
     return [r["phrase"].strip() for r in found]
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rollcall.llm.toxicity import ToxicityModel, _Matcher, fold, held_out, learn, score_toxicity
@@ -81,3 +83,29 @@ def test_a_bound_sample_keeps_the_true_rate(spark):
         scored = score_toxicity(docs, learn(docs, labels, max_texts=most))
         mean, top = scored.agg(F.avg("score"), F.max("score")).first()
         assert abs(mean - 0.1) < 0.03 and top < 0.5
+
+
+def test_long_words_are_folded_and_learned():
+    assert fold("1d1ot" + "x" * 60) == " idiot" + "x" * 60 + " "
+    assert fold("a" * 5000 + "1" + "b" * 5000) == " " + "a" * 5000 + "i" + "b" * 5000 + " "
+
+
+def _slow_features(model: ToxicityModel, text: str) -> list[float]:
+    """The same by plain searches for each entry and phrase."""
+    folded = fold(text)
+    places = [(k, k + len(p) - 1, p, w) for p, w in model.entries.items() for k in range(len(folded)) if folded.startswith(p, k)]
+    excused = [(k, k + len(fold(p)) - 1) for p in model.exceptions for k in range(len(folded)) if folded.startswith(fold(p), k)]
+    left = [x for x in places if not any(a <= x[0] and x[1] <= b for a, b in excused)]
+    total = sum(max(w for k, _, _, w in left if k == at) for at in {x[0] for x in left})
+    words = max(1, len(folded.split()))
+    return [total / math.sqrt(words), math.log1p(sum({p: w for _, _, p, w in left}.values())), math.log1p(100.0 * total / words), 1.0]
+
+
+def test_the_automaton_finds_what_plain_searches_find():
+    rng = random.Random(12)
+    entries = {" idiot ": 3.0, " idio": 1.5, " scum": 2.0, " moron ": 4.0, " clown ": 2.5, " a b ": 1.0}
+    model = ToxicityModel(entries, ["clown fish", "idiot proof", "the moron"], [0.5, 1.0, 0.2, -2.0])
+    words = ["idiot", "1d1ot", "idiotic", "scum", "5cum!", "moron", "m.o.r.o.n", "clown", "fish", "proof", "the", "a", "b", "table", "ідіоt", ""]
+    for _ in range(500):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))
+        assert np.allclose(_Matcher(model).features(text), _slow_features(model, text)), text
