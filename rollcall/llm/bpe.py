@@ -24,8 +24,6 @@ from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 #: Words and pairs that a process remembers before it starts anew.
 WORDS_KEPT, PAIRS_KEPT = 400_000, 2_000_000
-#: Longer words are merged exactly at once.
-LONGEST_GUESS = 200
 
 
 class WordBpe:
@@ -103,10 +101,9 @@ class WordBpe:
 
     def guess(self, word: str) -> list[int] | None:
         """The longest entries from the left; an entry with the suffix only at the end. None if they don't cover the word."""
-        marked = word + self.suffix
         out, at, n = [], 0, len(word)
         while at < n:
-            token = self.ids.get(marked[at:])
+            token = self.ids.get(word[at:] + self.suffix) if n - at <= self.longest else None
             if token is not None:
                 out.append(token)
                 return out
@@ -139,7 +136,7 @@ class WordBpe:
         if len(self.good) + len(self.bad) > PAIRS_KEPT:
             self.good = self.bad = np.empty(0, np.int64)
         spelled = ["".join(map(self.letters.__getitem__, w.encode())) for w in words]
-        guesses = [self.guess(s) if len(s) <= LONGEST_GUESS else None for s in spelled]
+        guesses = [self.guess(s) for s in spelled]
         # every adjacent pair of every guess, one array
         flat = np.fromiter((t for g in guesses if g for t in g), np.int64)
         owner = np.repeat(np.arange(len(guesses)), [len(g) if g else 0 for g in guesses])
