@@ -53,3 +53,30 @@ def test_empty(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 0)], "vec_id long, embedding array<float>, label int")
     assert [tuple(r) for r in near_duplicates(df).collect()] == [(1, 0, 1, True)]
     assert near_duplicates(df.where("false")).collect() == []
+
+
+def test_dense_groups_find_their_links_with_each_other(spark):
+    rng = np.random.default_rng(3)
+    u = rng.standard_normal(24)
+    u /= np.linalg.norm(u)
+    w = rng.standard_normal(24)
+    w -= (w @ u) * u
+    v = 0.984 * u + np.sqrt(1 - 0.984**2) * w / np.linalg.norm(w)
+    rows = []
+    for k in range(600):
+        x = (u if k < 300 else v) + rng.standard_normal(24) * 0.02 / np.sqrt(24)
+        rows.append((k, x.tolist(), 1))
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.98
+    assert near[:300, 300:].mean() > 0.9
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {k: (int(near[k].sum()) - 1, 0) for k in range(600)}
+
+
+def test_ties_repeated_rows_and_a_hub_label(spark):
+    rows = [(k, [1.0, float(k % 3)], 1) for k in range(60)] + [(6, [1.0, 0.0], 1)] * 5 + [(100, [1.0, 0.0], 2)]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(got) == 66
+    assert {(r.n_links, r.component_id) for r in got if r.vec_id < 60 and r.vec_id % 3 == 1} == {(19, 1)}
+    assert {(r.n_links, r.component_id) for r in got if r.vec_id < 60 and r.vec_id % 3 == 0} == {(24, 0)} and [tuple(r) for r in got if r.vec_id == 100] == [(100, 0, 100, True)]
