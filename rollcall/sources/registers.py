@@ -90,6 +90,57 @@ def edgar_tickers(captured: DataFrame, payload: str = "payload") -> DataFrame:
     return rows.where(F.col("cik").isNotNull() & F.lower("exchange").isin("", "nasdaq", "nyse", "cboe", "otc"))
 
 
+def edgar_companies(universe: DataFrame, submissions: DataFrame, prefixes: tuple[str, ...] | None = None, payload: str = "payload") -> DataFrame:
+    """The universe (cik, name, exchange, and what else it holds) joined with the companies' captured submissions (cik, payload).
+
+    cik, name, domain, listed (null where no exchange is named), market, address, region (the state), phone, ir_url, ticker,
+    sic. Companies without a submission, or whose SIC code has none of the prefixes, are left out.
+    """
+    street = "struct<street1: string, street2: string, city: string, stateOrCountry: string, zipCode: string>"
+    shape = f"name string, sic string, website string, investorWebsite string, phone string, tickers array<string>, addresses struct<business: {street}>"
+    said = submissions.select("cik", F.from_json(payload, shape).alias("s")).where("s is not null").dropDuplicates(["cik"])
+    rows = universe.join(said, "cik").where(industry.matches_prefix(F.col("s.sic"), prefixes))
+    exchange = F.lower(F.coalesce("exchange", F.lit("")))
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    business = [F.col(f"s.addresses.business.{f}") for f in ("street1", "street2", "city", "stateOrCountry", "zipCode")]
+    return rows.select(
+        "cik", F.coalesce(F.nullif("s.name", F.lit("")), "name").alias("name"),
+        identity.registered_domain(F.coalesce(F.nullif("s.investorWebsite", F.lit("")), "s.website")).alias("domain"),
+        F.when(exchange == "otc", "unlisted").when(exchange != "", "listed").alias("listed"), F.nullif(F.upper(exchange), F.lit("")).alias("market"),
+        identity.join_address(*business).alias("address"), text("s.addresses.business.stateOrCountry").alias("region"),
+        text("s.phone").alias("phone"), text("s.investorWebsite").alias("ir_url"), text(F.get("s.tickers", 0)).alias("ticker"), F.col("s.sic").alias("sic"),
+    )
+
+
+def dart_universe(captured: DataFrame, payload: str = "payload") -> DataFrame:
+    """at (place in the list), corp_code, corp_name of the companies of a code list (XML) that have a stock code."""
+    shape = "list array<struct<corp_code: string, corp_name: string, stock_code: string>>"
+    rows = captured.select(F.posexplode(F.from_xml(payload, shape)["list"]).alias("at", "c")).select(
+        "at", F.trim("c.corp_code").alias("corp_code"), F.coalesce(F.trim("c.corp_name"), F.lit("")).alias("corp_name"), F.trim("c.stock_code").alias("stock")
+    )
+    return rows.where((F.coalesce("stock", F.lit("")) != "") & (F.coalesce("corp_code", F.lit("")) != "")).drop("stock")
+
+
+# The register's classes of companies, whether they are listed, and on which board.
+DART_LISTED = {"Y": "listed", "K": "listed", "N": "listed", "E": "unlisted"}
+DART_MARKET = {"Y": "KOSPI", "K": "KOSDAQ", "N": "KONEX"}
+
+
+def dart_companies(universe: DataFrame, details: DataFrame, prefixes: tuple[str, ...] | None = None, payload: str = "payload") -> DataFrame:
+    """The universe (corp_code, corp_name) joined with the companies' captured details (corp_code, payload): those whose
+    status is 000 and whose KSIC code has one of the prefixes."""
+    names = "status corp_name hm_url induty_code adres bizr_no stock_code phn_no ir_url corp_name_eng corp_cls".split()
+    said = details.select("corp_code", F.from_json(payload, ", ".join(f"{n} string" for n in names)).alias("d")).dropDuplicates(["corp_code"])
+    rows = universe.join(said, "corp_code").where((F.col("d.status") == "000") & industry.matches_prefix(F.col("d.induty_code"), prefixes))
+    look = lambda t: F.try_element_at(F.create_map(*(F.lit(x) for kv in t.items() for x in kv)), F.coalesce("d.corp_cls", F.lit("")))
+    text = lambda n: F.nullif(F.trim(F.col(f"d.{n}")), F.lit(""))
+    return rows.select(
+        F.col("corp_code").alias("registry_id"), F.coalesce(F.nullif("d.corp_name", F.lit("")), "corp_name").alias("name"), identity.registered_domain(F.col("d.hm_url")).alias("domain"),
+        F.coalesce(look(DART_LISTED), F.lit("unknown")).alias("listed"), look(DART_MARKET).alias("market"), text("adres").alias("address"), text("bizr_no").alias("reg_no"),
+        text("stock_code").alias("ticker"), text("phn_no").alias("phone"), text("ir_url").alias("ir_url"), text("corp_name_eng").alias("name_eng"), F.col("d.induty_code").alias("ksic"),
+    )
+
+
 def companies_house_items(captured: DataFrame, prefixes: tuple[str, ...] | None = None, payload: str = "payload") -> DataFrame:
     """registry_id, name, address, label of active companies whose SIC codes match; the label of the first unambiguous code."""
     shape = "items array<struct<company_number: string, company_name: string, company_status: string, sic_codes: array<string>, registered_office_address: struct<address_line_1: string, locality: string, postal_code: string>>>"
@@ -130,9 +181,9 @@ def opencorporates_companies(captured: DataFrame, payload: str = "payload") -> D
     return rows.where(~F.coalesce("inactive", F.lit(False))).select(F.concat_ws("/", "jurisdiction_code", "company_number").alias("registry_id"), "name")
 
 
-def listing_rows(captured: DataFrame, pattern: str, html: str = "html") -> DataFrame:
-    """symbol, name of an exchange's listing page: the first row of each symbol. Groups 1 and 2 of the pattern are the two."""
-    pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("symbol"), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("name"))
+def listing_rows(captured: DataFrame, pattern: str, html: str = "html", symbol: int = 1, name: int = 2) -> DataFrame:
+    """symbol, name of an exchange's listing page: the first row of each symbol. Two groups of the pattern are the two."""
+    pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(symbol)).alias("symbol"), F.regexp_extract_all(html, F.lit(pattern), F.lit(name)).alias("name"))
     rows = captured.select(F.posexplode(pairs).alias("at", "p")).select("at", F.trim("p.symbol").alias("symbol"), F.trim(F.replace(F.replace("p.name", F.lit("&amp;"), F.lit("&")), F.lit("&#39;"), F.lit("'"))).alias("name"))
     return rows.where("symbol <> ''").groupBy("symbol").agg(F.min_by("name", "at").alias("name"))
 
@@ -145,6 +196,26 @@ def sgx_rows(captured: DataFrame, payload: str = "payload") -> DataFrame:
     return flat.where(kind.isin("stocks", "reits", "businesstrusts")).select(first_text(F.col("r"), "nc", "code", "symbol").alias("symbol"), first_text(F.col("r"), "n", "name").alias("name"))
 
 
+def idx_rows(captured: DataFrame, payload: str = "payload") -> DataFrame:
+    """symbol, name of the exchange's profile pages (page, payload): of each symbol the first row, by page and place."""
+    flat = captured.select("page", F.posexplode(F.from_json(F.get_json_object(payload, "$.data"), "array<string>")).alias("at", "r"))
+    rows = flat.select("page", "at", first_text(F.col("r"), "KodeEmiten", "code", "symbol").alias("symbol"), first_text(F.col("r"), "NamaEmiten", "name", "companyName").alias("name"))
+    first = rows.where("symbol is not null and name is not null").groupBy("symbol").agg(F.min_by("name", F.struct("page", "at")).alias("name"))
+    return first
+
+
+# How the exchanges' listing pages write a row, and which group is the symbol and which the name.
+LISTING_ROW = (r"(?s)<a[^>]*>\s*([A-Z0-9.\-]{1,12})\s*</a>\s*</td>\s*<td[^>]*>\s*([^<]{2,120}?)\s*</td>", 1, 2)
+PSE_ROW = (r"(?s)cmDetail\('(\d+)','(\d+)'\);return false;\">([^<]+)</a></td>\s*<td[^>]*><a[^>]*>([^<]+)</a>", 4, 3)
+
+
+def exchange_rows(captured: DataFrame, exchange: str, html: str = "html") -> DataFrame:
+    """symbol, name, registry, market, listed of an exchange's captured listing page, by the pattern of that exchange."""
+    pattern, symbol, name = PSE_ROW if exchange == "pse" else LISTING_ROW
+    found = listing_rows(captured, pattern, html, symbol, name)
+    return found.select("symbol", "name", F.lit(exchange).alias("registry"), F.lit(exchange.upper()).alias("market"), F.lit("listed").alias("listed"))
+
+
 # Parts of page titles that name no company (letters and digits only), and what stands between parts.
 TITLE_NOISE = (
     "investorrelations", "investorrelation", "investors", "investor", "ir", "relations", "home", "homepage",
