@@ -139,3 +139,13 @@ def industry_prefixes(spark: SparkSession, table: dict[str, tuple[str, ...]]) ->
     """label, prefix: the unambiguous industries of a code table under their taxonomy labels, without denied prefixes."""
     pairs = {(TO_TAXONOMY[k], p) for k, prefixes in table.items() if k in TO_TAXONOMY for p in prefixes if p not in DENIED_PREFIXES}
     return spark.createDataFrame(sorted(pairs), "label string, prefix string")
+
+
+# Fixed value: labels that say too little, so that a classifier is asked.
+AMBIGUOUS_LABELS = (UNCLASSIFIED, "기타 제조")
+
+
+def korean_names() -> dict[str, str]:
+    """ISO code of each country to its first alias in Hangul, or to the code where it has none."""
+    hangul = lambda a: any("가" <= c <= "힣" for c in a)
+    return {iso: next((a for a in aliases if hangul(a)), iso) for iso, _, aliases in COUNTRIES}
