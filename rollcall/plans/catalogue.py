@@ -294,9 +294,17 @@ def _discovery(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "v_discovered").select((F.col("page_id") * 2 + F.col("key").startswith("q").cast("int")).alias("seq"), identity.normal_name(F.col("name")).alias("k"), "domain")
 
 
-@query()
+@query(
+    f"""WITH rows_ AS (SELECT *, row_number() OVER (ORDER BY seq) AS i FROM (SELECT page_id * 2 + (key LIKE 'q%')::INT AS seq, nullif(array_to_string({_TOKENS.format(x='name')}, ''), '') AS k, domain FROM v_discovered)),
+    pass_ AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS ks, []::VARCHAR[] AS ds, NULL::BIGINT AS seq, NULL::VARCHAR AS k, NULL::VARCHAR AS domain
+      UNION ALL SELECT r.i, CASE WHEN ok AND r.k IS NOT NULL THEN list_append(ks, r.k) ELSE ks END, CASE WHEN ok AND r.domain IS NOT NULL THEN list_append(ds, r.domain) ELSE ds END,
+        CASE WHEN ok THEN r.seq END, r.k, r.domain
+      FROM (SELECT p.ks, p.ds, r.*, NOT (r.k IS NOT NULL AND list_contains(p.ks, r.k)) AND NOT (r.domain IS NOT NULL AND list_contains(p.ds, r.domain)) AS ok FROM pass_ p JOIN rows_ r ON r.i = p.i + 1) r)
+    SELECT seq, k, domain FROM pass_ WHERE seq IS NOT NULL""",
+    "v_discovered",
+)
 def q_greedy_discovery(spark, sf_dir):
-    """No SQL: each row depends on which earlier ones stayed. The tests compare it with a sequential pass."""
+    """Each row depends on which earlier ones stayed: the SQL is a sequential pass."""
     return greedy.greedy_distinct(_discovery(spark, sf_dir), "seq", ("k", "domain"))
 
 
