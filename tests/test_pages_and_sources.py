@@ -78,7 +78,7 @@ def test_import_and_search(spark, tmp_path):
     assert sorted(r.key for r in registers.read_import(spark, str(path)).collect()) == ["dom:acme.com", "name:kr:삼성"]
     hits = [("q1", 1, 1, "Acme | Home", "https://acme.com"), ("q1", 1, 2, "Gov", "https://x.gov"), ("q1", 2, 1, "Acme", "https://www.acme.com/a"), ("q1", 3, 1, "Late", "https://late.com"), ("q2", 1, 1, "Beta - official", "https://beta.io")]
     df = spark.createDataFrame(hits, "query string, page int, rank int, title string, link string")
-    assert sorted((r.domain, r.name) for r in registers.search_hits(df).collect()) == [("acme.com", "Acme"), ("beta.io", "official")]
+    assert sorted((r.domain, r.name) for r in registers.search_hits(df).collect()) == [("acme.com", "Acme"), ("beta.io", "Beta")]
 
 
 def test_blank_runs_stop_a_sheet(spark):

@@ -11,21 +11,23 @@ from rollcall.operators import golden, ledger, matching, queue, reporting
 from rollcall.operators.components import connected_components
 from rollcall.sources import registers
 
-AT = F.lit("2024-01-02 00:00:00").cast("timestamp")
+
+def _at():
+    return F.lit("2024-01-02 00:00:00").cast("timestamp")
 
 
 def test_merge_keeps_earlier_merges_and_names(spark):
     rows = [("a", "A", None, None, None, None), ("b", " b.com ", None, None, None, None), ("c", "", "b", "old", "u", "Kept C"), ("d", None, None, None, None, "Earlier D"), ("e", None, "d", "old", "u", None)]
     before = spark.createDataFrame([(k, d, o, m, u, n) for k, d, o, m, u, n in rows], "key string, domain string, duplicate_of string, merge_reason string, merged_by string, canonical_name string").withColumn("merged_at", F.lit(None).cast("timestamp"))
     merge = spark.createDataFrame([("a", "Golden", "g.com", ["b", "c"]), ("e", "No", "n.com", ["d"])], "survivor_key string, canonical_name string, canonical_domain string, absorbed_keys array<string>")
-    once = golden.apply_golden(before, merge, "auto", AT)
+    once = golden.apply_golden(before, merge, "auto", _at())
     got = {r.key: r for r in once.collect()}
     assert (got["a"].duplicate_of, got["a"].canonical_name, got["a"].domain) == (None, "Golden", "A")
     assert (got["b"].duplicate_of, got["b"].merge_reason, got["b"].domain) == ("a", "auto", " b.com ")
     # c was a duplicate of b before: it is pointed at a, once, as a child and not as a row absorbed now
     assert (got["c"].duplicate_of, got["c"].merge_reason, got["c"].canonical_name) == ("a", "auto (rechained)", "Kept C")
     assert (got["d"].duplicate_of, got["d"].canonical_name, got["e"].duplicate_of, got["e"].merge_reason) == (None, "Earlier D", "d", "old")
-    assert sorted(map(str, golden.apply_golden(once, merge, "auto", AT).collect())) == sorted(map(str, once.collect()))
+    assert sorted(map(str, golden.apply_golden(once, merge, "auto", _at()).collect())) == sorted(map(str, once.collect()))
 
 
 def test_decisions_are_refused_or_audited(spark):
@@ -34,7 +36,7 @@ def test_decisions_are_refused_or_audited(spark):
         "review_id string, status string, claimed_by string, candidates string, selected string, selected_by_human boolean",
     ).withColumn("reviewed_at", F.lit(None).cast("timestamp"))
     d = spark.createDataFrame([("r1", "confirmed", "u1", "Ann", "b@x.com"), ("r2", "confirmed", "u1", None, "z@x.com"), ("r3", "rejected", "u1", None, None), ("r4", "pending", None, None, None)], "review_id string, status string, user_id string, user_name string, selected string")
-    after, audit = queue.decide(q, d, AT)
+    after, audit = queue.decide(q, d, _at())
     got = {r.review_id: r for r in after.collect()}
     assert (got["r1"].status, got["r1"].claimed_by, got["r1"].selected, got["r1"].selected_by_human) == ("confirmed", None, "b@x.com", True) and got["r1"].reviewed_at
     assert (got["r2"].status, got["r2"].selected, got["r3"].status, got["r3"].claimed_by, got["r4"].reviewed_at) == ("pending", None, "pending", "u2", None)
@@ -54,7 +56,7 @@ def test_export_columns(spark):
 def test_known_companies_stay_as_they_are(spark):
     old = spark.createDataFrame([("a", None, None)], "key string, name string, last_crawled_at timestamp")
     new = spark.createDataFrame([("a", "New"), ("b", "B")], "key string, name string")
-    got = {r.key: r for r in ledger.save_discovered(old, new, AT).collect()}
+    got = {r.key: r for r in ledger.save_discovered(old, new, _at()).collect()}
     assert got["a"].name is None and got["a"].last_crawled_at == got["b"].last_crawled_at == datetime.datetime(2024, 1, 2) and got["b"].name == "B"
 
 
