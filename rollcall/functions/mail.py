@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Keywords of the local part, most specific role first.
+# Keywords of the local part, most specific role first; anything else is general.
 ROLE_KEYS = (
     ("ir", ("ir", "investor", "investors", "investorrelations", "투자")),
     ("hr", ("hr", "recruit", "recruiting", "recruitment", "career", "careers", "jobs", "humanresources", "인사", "채용")),
     ("press", ("press", "media", "pr", "news", "pressroom", "newsroom", "mediarelations", "publicrelations", "홍보", "보도")),
-    ("general", ("contact", "contactus", "info", "inquiry", "enquiry", "hello", "help", "support", "sales", "office", "admin", "mail", "master", "webmaster", "문의")),
 )
 # Endings of files, and domains that stand in for real ones.
 ASSET_ENDINGS = ("jpg", "jpeg", "png", "gif", "bmp", "webp", "svg", "ico", "css", "js", "pdf", "zip", "mp4", "mp3", "woff", "woff2", "ttf", "eot")
@@ -18,13 +17,16 @@ PLACEHOLDER_DOMAINS = (
     "example.com", "example.org", "example.net", "domain.com", "yourdomain.com", "yourcompany.com", "company.com", "sentry.io",
     "sentry-cdn.com", "wix.com", "wixpress.com",
 )
-#: The address pattern.
+# The address pattern, how a local part is split, and the disguises of the two signs.
 ADDRESS = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}"
+LOCAL_SPLIT = r"[._\-]+|(?<=[a-z])(?=\d)|(?<=\d)(?=[a-z])"
+DISGUISED_AT = r"(?i)\s*[(\[{]\s*(?:at|골뱅이)\s*[)\]}]\s*"
+DISGUISED_DOT = r"(?i)\s*[(\[{]\s*(?:dot|닷|점)\s*[)\]}]\s*"
 
 
 def local_tokens(local: Column) -> Column:
     """Parts between separators and at the borders of letters and digits."""
-    return F.filter(F.split(local, r"[._\-]+|(?<=[a-z])(?=\d)|(?<=\d)(?=[a-z])"), lambda t: t != "")
+    return F.filter(F.split(local, LOCAL_SPLIT), lambda t: t != "")
 
 
 def role(email: Column) -> Column:
@@ -32,7 +34,7 @@ def role(email: Column) -> Column:
     local = F.lower(F.substring_index(F.coalesce(email, F.lit("")), "@", 1))
     tokens = local_tokens(local)
     found = F.lit("general")
-    for name, keys in reversed(ROLE_KEYS[:3]):
+    for name, keys in reversed(ROLE_KEYS):
         hit = F.arrays_overlap(tokens, F.array(*(F.lit(k) for k in keys if k.isascii())))
         for k in keys:
             if not k.isascii():
@@ -57,8 +59,8 @@ def is_junk(address: Column) -> Column:
 def deobfuscate(text: Column) -> Column:
     """(at), [dot] and the like, and the full-width sign, back to @ and a dot."""
     plain = F.replace(text, F.lit("＠"), F.lit("@"))
-    plain = F.regexp_replace(plain, r"(?i)\s*[(\[{]\s*(?:at|골뱅이)\s*[)\]}]\s*", "@")
-    return F.regexp_replace(plain, r"(?i)\s*[(\[{]\s*(?:dot|닷|점)\s*[)\]}]\s*", ".")
+    plain = F.regexp_replace(plain, DISGUISED_AT, "@")
+    return F.regexp_replace(plain, DISGUISED_DOT, ".")
 
 
 def decode_protected(payload: Column) -> Column:

@@ -13,7 +13,7 @@ NAME_STOPWORDS = (
     "sa", "ag", "gmbh", "bhd", "pte", "pcl", "tbk", "co.,ltd", "incorporated", "enterprise", "enterprises", "international", "global",
     "industries", "industry",
 )
-#: Names of funds and vehicles that have no site of their own.
+# Fixed value: the pattern of names of funds and vehicles that have no site of their own.
 FUND_NAMES = r"(?i)투자신탁|증권투자회사|투자목적회사|유동화전문|펀드|\bETFs?\b|\bUCITS\b|\bSICAV\b|\bFUNDS?\b|INVESTMENT TRUST|TDF\s*20\d\d"
 
 
