@@ -35,6 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_dir(spark)}/rollcall-{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
@@ -42,7 +52,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     recomputation, and adaptive execution knows the sizes of what it joins.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rollcall-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,5 +63,4 @@ def release(df: DataFrame) -> None:
     paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     for path in paths:
         if "/rollcall-" in path:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            remove_folder(spark, path)
