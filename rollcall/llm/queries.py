@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.session import materialise, new_folder, remove_folder
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -87,6 +89,28 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_trees(thread_by_turn(rows)))
 
 
+def op11_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.token_orc import document_digests, write_tokens
+
+    path = new_folder(spark, "token-files")
+    write_tokens(_table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"), end_id=2)
+    found = materialise(document_digests(spark, path), "token-digests")
+    remove_folder(spark, path)
+    return found
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.divergence import audit_sources
+
+    return audit_sources(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"), components=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -100,6 +124,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe,
         op9_embedding_near_dup,
         op10_chat_format,
+        op11_token_orc,
+        op12_source_divergence,
+        op13_embedding_whitening,
     )
 }
 
@@ -147,10 +174,42 @@ FROM e GROUP BY conv_id
 """
 
 
+#: Whole numbers beyond 63 bits are HUGEINT; terms are compared by their UTF-8 bytes, as DuckDB compares texts.
+_OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+o AS MATERIALIZED (SELECT lang, source, t, count(*) AS n FROM (SELECT lang, source, unnest(w) AS t FROM d) GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, t FROM (SELECT lang, unnest(list_distinct(w)) AS t FROM d) GROUP BY lang, t HAVING count(*) >= 3),
+c AS MATERIALIZED (SELECT o.* FROM o SEMI JOIN k ON o.lang = k.lang AND o.t = k.t),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+p AS MATERIALIZED (
+  SELECT s.lang, s.source, k.t, coalesce(c.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (s.total + v.v))::HUGEINT AS p
+  FROM s JOIN k ON s.lang = k.lang JOIN v ON v.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.t = k.t
+), q AS MATERIALIZED (
+  SELECT x.lang, x.t, (1 + 1000000000::HUGEINT * (x.n + 1) // (y.total + v.v))::HUGEINT AS q
+  FROM (SELECT lang, t, sum(n) AS n FROM c GROUP BY ALL) x JOIN (SELECT lang, sum(total) AS total FROM s GROUP BY lang) y ON x.lang = y.lang JOIN v ON v.lang = x.lang
+), f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source AS s1, b.source AS s2, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+             FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL) x
+  ON x.lang = a.lang AND x.s1 = a.source AND x.s2 = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.t, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN q ON p.lang = q.lang AND p.t = q.t WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f) WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def _oracles() -> dict[str, str]:
     from rollcall.llm.quality import JUDGE_SQL
 
-    return {"op3_ngram_jaccard": _OP3_SQL, "op6_quality_rules": JUDGE_SQL, "op10_chat_format": _OP10_SQL}
+    return {"op3_ngram_jaccard": _OP3_SQL, "op6_quality_rules": JUDGE_SQL, "op10_chat_format": _OP10_SQL, "op12_source_divergence": _OP12_SQL}
 
 
 ORACLE_SQL: dict[str, str] = _oracles()
