@@ -39,6 +39,12 @@ def _tenths(i: str, x: str, y: str) -> int:
     return max(best, _nearest(2 * ni, ni + l1), _nearest(2 * ni, ni + l2)) if i else best
 
 
+def set_ratio_tenths(a: frozenset[str], b: frozenset[str]) -> int:
+    """token_set_tenths of two sets of words."""
+    both = a & b
+    return _tenths(*(" ".join(sorted(x)) for x in (both, a - both, b - both)))
+
+
 @F.pandas_udf(T.IntegerType())
 def _tenths_of(i: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([_tenths(*r) for r in zip(i, x, y, strict=True)], dtype="int32")

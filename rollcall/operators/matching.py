@@ -135,6 +135,13 @@ def inline_duplicates(new: DataFrame, ledger: DataFrame) -> DataFrame:
     return found.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("survivor"))
 
 
+def name_blocks(rows: DataFrame, *more: str) -> DataFrame:
+    """key, country (lower case), tokens, prefix (the block) and more of the rows known by name: `name:` keys with words."""
+    named = rows.where(F.col("key").startswith("name:"))
+    made = named.select("key", *more, F.lower(F.trim(F.coalesce("country", F.lit("")))).alias("country"), identity.name_tokens(F.col("name")).alias("tokens"))
+    return made.where(F.size("tokens") > 0).withColumn("prefix", F.substring(F.array_join("tokens", ""), 1, PREFIX))
+
+
 def inline_lexical(new: DataFrame, ledger: DataFrame, order: str = "key", max_block: int = MAX_BLOCK) -> DataFrame:
     """Pairs of a new row with ledger rows, or with new rows before it, of its name block: lexical or shortlist by score alone.
 
@@ -142,16 +149,10 @@ def inline_lexical(new: DataFrame, ledger: DataFrame, order: str = "key", max_bl
     name. A new row that finds max_block rows in its block, of the ledger and of those before it in `order` (unique), is
     compared with none of them.
     """
-    def keyed(df: DataFrame, *more: str) -> DataFrame:
-        named = df.where(F.col("key").startswith("name:"))
-        tokens = identity.name_tokens(F.col("name"))
-        made = named.select("key", *more, F.lower(F.trim(F.coalesce("country", F.lit("")))).alias("country"), tokens.alias("tokens"))
-        return made.where(F.size("tokens") > 0).withColumn("prefix", F.substring(F.array_join("tokens", ""), 1, PREFIX))
-
     block = ["country", "prefix"]
-    old = keyed(ledger)
+    old = name_blocks(ledger)
     held = old.groupBy(*block).agg(F.count("*").alias("held"))
-    arrived = keyed(new, F.col(order).alias("_order")).join(held, block, "left").where(F.coalesce("held", F.lit(0)) < max_block)
+    arrived = name_blocks(new.withColumn("_order", F.col(order)), "_order").join(held, block, "left").where(F.coalesce("held", F.lit(0)) < max_block)
     rank = F.row_number().over(Window.partitionBy(*block).orderBy("_order"))  # limited below, and so before the shuffle
     asking = arrived.withColumn("n", rank).where(F.col("n") <= max_block).where(F.col("n") + F.coalesce("held", F.lit(0)) <= max_block)
     x = asking.select(*block, F.col("key").alias("x"), F.col("tokens").alias("tx"), "n")
