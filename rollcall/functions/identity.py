@@ -51,11 +51,15 @@ def normal_reg_no(value: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.trim(value)), _NOT_NAME, ""), F.lit(""))
 
 
+def known_country(country: Column) -> Column:
+    """Lower-case ISO code of a known alias, else null."""
+    known = F.create_map(*(F.lit(x) for iso, _, aliases in COUNTRIES for a in aliases for x in (a, iso.lower())))
+    return F.try_element_at(known, F.lower(F.trim(F.coalesce(country, F.lit("")))))
+
+
 def normal_country(country: Column) -> Column:
     """Lower-case ISO code of a known alias, else the trimmed text in lower case."""
-    raw = F.lower(F.trim(F.coalesce(country, F.lit(""))))
-    known = F.create_map(*(F.lit(x) for iso, _, aliases in COUNTRIES for a in aliases for x in (a, iso.lower())))
-    return F.coalesce(F.try_element_at(known, raw), raw)
+    return F.coalesce(known_country(country), F.lower(F.trim(F.coalesce(country, F.lit("")))))
 
 
 def clamp_key(key: Column) -> Column:

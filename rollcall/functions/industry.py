@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from rollcall.functions import dimensions as D
 
 
-def matches_prefix(code: Column, prefixes: tuple[str, ...] | None) -> Column:
+def matches_prefix(code: Column, prefixes: tuple[str, ...] | Column | None) -> Column:
+    """Whether a code begins with one of the prefixes, which may be a column of arrays; without prefixes every row does."""
     if prefixes is None:
         return F.lit(True)
+    if isinstance(prefixes, Column):
+        return prefixes.isNull() | F.coalesce((code != "") & F.exists(prefixes, lambda p: code.startswith(p)), F.lit(False))
     found = F.lit(False)
     for p in prefixes:
         found = found | code.startswith(p)

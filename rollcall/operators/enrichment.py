@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions import identity, pages
+from rollcall.sources.scans import hit_domain
 
 # Words of a company's name that say nothing about its domain.
 NAME_STOPWORDS = (
@@ -33,12 +34,32 @@ def name_matches(slug: Column, domain: Column) -> Column:
     return F.coalesce((F.length(slug) >= 3) & (F.length(brand) >= 3) & ((brand == slug) | begins), F.lit(False))
 
 
-def resolve_domains(companies: DataFrame, hits: DataFrame) -> DataFrame:
-    """key, domain: of a company's search hits (key, rank, link) the first that matches its name, one of its country's domain first."""
-    wanted = companies.where(~is_fund(F.col("name"))).select("key", name_slug(F.col("name")).alias("slug"), F.concat(F.lit("."), identity.normal_country(F.col("country"))).alias("tld"))
-    rows = hits.join(wanted, "key").withColumn("domain", identity.registered_domain(F.col("link"))).where(name_matches(F.col("slug"), F.col("domain")))
-    order = F.struct((~F.col("domain").endswith(F.col("tld"))).cast("int"), "rank")
-    return rows.groupBy("key").agg(F.min_by("domain", order).alias("domain"))
+def resolve_domains(companies: DataFrame, hits: DataFrame, order: str = "key", quota: int = 500, providers: tuple[str, ...] = ("default",)) -> DataFrame:
+    """key, provider, domain (null: none found) of the companies that a domain is searched for.
+
+    companies: key, name, name_eng, country, domain and the order in which they come (unique). Left out are those that have a
+    domain, those whose name in either language is a fund's, those whose country has no provider, and those whose name has
+    less than three Latin letters or digits for a domain to match (the English name stands in for such a one). Of the rest the
+    first `quota` are searched for. Korean companies are looked up with 'naver' alone if it is among the providers,
+    all others with 'default'.
+
+    hits: key, provider, rank, link (and display_link): of a company's hits the first whose domain matches its name, one of
+    its country's domain first; portals' domains don't count.
+    """
+    iso = identity.known_country(F.col("country"))
+    default = F.lit("default") if "default" in providers else F.lit(None).cast("string")
+    provider = F.when(F.coalesce(iso == "kr", F.lit(False)), "naver").otherwise(default) if "naver" in providers else default
+    have = lambda c: F.col(c) if c in companies.columns else F.lit(None).cast("string")
+    own, english = name_slug(F.col("name")), name_slug(have("name_eng"))
+    slug = F.when(F.length(own) >= 3, own).when(F.coalesce(have("name_eng"), F.lit("")) != "", english)
+    wanted = companies.where((F.coalesce(have("domain"), F.lit("")) == "") & ~is_fund(F.col("name")) & ~is_fund(have("name_eng")))
+    wanted = wanted.select("key", F.col(order).alias("_order"), slug.alias("slug"), provider.alias("provider"), F.concat(F.lit("."), iso).alias("tld"))
+    wanted = wanted.where("provider is not null and length(slug) >= 3").orderBy("_order").limit(max(quota, 0))
+    rows = hits.withColumn("domain", hit_domain(hits)).select("key", F.col("provider").alias("_from"), "rank", "domain").join(wanted, "key")
+    rows = rows.where((F.col("_from") == F.col("provider")) & name_matches(F.col("slug"), F.col("domain")))
+    first = F.struct((~F.coalesce(F.col("domain").endswith(F.col("tld")), F.lit(False))).cast("int"), "rank")
+    best = rows.groupBy("key").agg(F.min_by("domain", first).alias("domain"))
+    return wanted.select("key", "provider").join(best, "key", "left").select("key", "provider", "domain")
 
 
 def company_contacts(captured: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ STATUSES = ("pending", "confirmed", "rejected")
 
 
 def split_csv(value: Column) -> Column:
-    return F.filter(F.transform(F.split(value, ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(value, ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def country_match_set(tokens: Sequence[str]) -> list[str]:

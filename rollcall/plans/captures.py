@@ -24,35 +24,49 @@ def _packed(rows: DataFrame, key: str, entry: str, before: str, after: str) -> D
     return lists.select("page", F.concat(F.lit(before), F.array_join(F.transform("s", lambda x: x["e"]), ","), F.lit(after)).alias("payload"))
 
 
+def _with_noise(pages: DataFrame) -> DataFrame:
+    """The pages, and some that hold nothing: no text, no JSON, JSON of other shapes, lists with nulls and of other things."""
+    texts = (None, "", "broken", "{}", "[1, 2]", '{"items": null, "data": [null], "results": {"bindings": [null, {}], "companies": [null, {"company": null}, {}]}}', '{"items": "x", "data": 5, "results": []}')
+    more = pages.sparkSession.createDataFrame([(-1 - n, t) for n, t in enumerate(texts)], "page long, payload string")
+    return pages.select(F.col("page").cast("long").alias("page"), "payload").union(more)
+
+
 _BOARD = "CASE s_suppkey % 6 WHEN 0 THEN 'Nasdaq' WHEN 1 THEN 'NYSE' WHEN 2 THEN 'OTC' WHEN 3 THEN 'CBOE' WHEN 4 THEN '' ELSE 'LSE' END"
 
 
 def _universe(spark, sf_dir) -> DataFrame:
-    entry = f"to_json(array(CASE WHEN s_suppkey % 11 = 0 THEN 'x' ELSE cast(s_suppkey AS string) END, s_name, 'T', {_BOARD}))"
-    return registers.edgar_tickers(_packed(table(spark, sf_dir, "supplier"), "s_suppkey", entry, '{"fields":["cik","name","ticker","exchange"],"data":[', "]}"))
+    """Column names in other cases; CIKs that are no numbers, null names and exchanges, rows that end early."""
+    entry = f"""CASE WHEN s_suppkey % 19 = 7 THEN to_json(array(cast(s_suppkey AS string))) ELSE
+      to_json(array(CASE WHEN s_suppkey % 11 = 0 THEN 'x' ELSE cast(s_suppkey AS string) END, CASE WHEN s_suppkey % 17 = 3 THEN NULL ELSE s_name END, 'T', CASE WHEN s_suppkey % 13 = 5 THEN NULL ELSE {_BOARD} END)) END"""
+    pages = _packed(table(spark, sf_dir, "supplier"), "s_suppkey", entry, '{"fields":["CIK","Name","ticker","Exchange"],"data":[', "]}")
+    nameless = spark.createDataFrame([(-20, '{"fields":["name","exchange"],"data":[["x","nyse"]]}'), (-21, '{"fields":["exchange","CIK"],"data":[["LSE",900000001],["otc",900000002]]}')], "page long, payload string")
+    return registers.edgar_tickers(_with_noise(pages).union(nameless))
 
 
-_KNOWN = f"(SELECT s_suppkey, s_name, {_BOARD} AS board FROM supplier WHERE s_suppkey % 11 <> 0 AND s_suppkey % 6 <> 5)"
+_KNOWN = f"""(SELECT s_suppkey, CASE WHEN s_suppkey % 19 = 7 THEN '' WHEN s_suppkey % 17 = 3 THEN 'None' ELSE s_name END AS s_name, CASE WHEN s_suppkey % 19 = 7 THEN '' ELSE lower({_BOARD}) END AS board
+    FROM supplier WHERE s_suppkey % 19 = 7 OR (s_suppkey % 11 <> 0 AND s_suppkey % 6 <> 5 AND s_suppkey % 13 <> 5) UNION ALL SELECT 900000002, '', 'otc')"""
 
 
-@query(f"SELECT s_suppkey::INT AS cik, s_name AS name, board AS exchange FROM {_KNOWN}")
+@query(f"SELECT s_suppkey::BIGINT AS cik, s_name AS name, board AS exchange FROM {_KNOWN}")
 def q_edgar_tickers(spark, sf_dir):
-    return _universe(spark, sf_dir)
+    return _universe(spark, sf_dir).select("cik", "name", "exchange")
 
 
 @query(
-    f"""SELECT s_suppkey::INT AS cik, s_name AS name, concat('s', s_suppkey, '.com') AS domain, CASE WHEN board = 'OTC' THEN 'unlisted' WHEN board <> '' THEN 'listed' END AS listed,
+    f"""SELECT s_suppkey::BIGINT AS cik, s_name AS name, concat('s', s_suppkey, '.com') AS domain, CASE WHEN board = 'otc' THEN 'unlisted' WHEN board <> '' THEN 'listed' END AS listed,
       nullif(upper(board), '') AS market, concat(s_suppkey, ' Main St, Town', CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE ', CA' END) AS address, CASE WHEN s_suppkey % 3 <> 0 THEN 'CA' END AS region,
-      CASE WHEN s_suppkey % 4 = 0 THEN concat('S', s_suppkey) END AS ticker FROM {_KNOWN} WHERE s_suppkey % 5 <> 1 AND s_suppkey % 2 = 0"""
+      CASE WHEN s_suppkey % 4 = 0 THEN concat('S', s_suppkey) END AS ticker FROM {_KNOWN} WHERE s_suppkey % 5 <> 1 AND s_suppkey % 2 = 0 AND s_suppkey < 900000000"""
 )
 def q_edgar_companies(spark, sf_dir):
+    """Some companies have two submissions: that of the least text counts."""
     said = table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 1").selectExpr(
-        "cast(s_suppkey AS int) AS cik",
+        "s_suppkey AS cik",
         """to_json(named_struct('name', '', 'sic', CASE WHEN s_suppkey % 2 = 0 THEN '7372' ELSE '4911' END, 'website', 'https://other.org', 'investorWebsite', concat('https://www.s', s_suppkey, '.com/ir'),
         'tickers', CASE WHEN s_suppkey % 4 = 0 THEN array(concat('S', s_suppkey)) ELSE array() END,
         'addresses', named_struct('business', named_struct('street1', concat(s_suppkey, ' Main St'), 'street2', ' ', 'city', 'Town', 'stateOrCountry', CASE WHEN s_suppkey % 3 <> 0 THEN 'CA' END)))) AS payload""",
     )
-    found = registers.edgar_companies(_universe(spark, sf_dir), said, ("737",))
+    later = said.where("cik % 7 = 2").select("cik", F.lit('{"sic":"7372","name":"z"}').alias("payload"))
+    found = registers.edgar_companies(_universe(spark, sf_dir), said.union(later), ("737",))
     return found.select("cik", "name", "domain", "listed", "market", "address", "region", "ticker")
 
 
@@ -63,8 +77,8 @@ def q_edgar_companies(spark, sf_dir):
 def q_dart_companies(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     entry = "concat('<list><corp_code>', lpad(s_suppkey, 8, '0'), '</corp_code><corp_name>', s_name, '</corp_name><stock_code>', CASE WHEN s_suppkey % 3 = 0 THEN ' ' ELSE cast(s_suppkey AS string) END, '</stock_code></list>')"
-    made = s.select((F.col("s_suppkey") / 50).cast("long").alias("page"), F.expr(entry).alias("e")).groupBy("page").agg(F.array_join(F.collect_list("e"), "").alias("e"))
-    universe = registers.dart_universe(made.select(F.concat(F.lit("<result>"), "e", F.lit("</result>")).alias("payload")))
+    made = s.select((F.col("s_suppkey") / 50).cast("long").alias("page"), F.expr(entry).alias("e")).groupBy("page").agg(F.array_join(F.array_sort(F.collect_list("e")), "").alias("e"))
+    universe = registers.dart_universe(made.select("page", F.concat(F.lit("<result>"), "e", F.lit("</result>")).alias("payload")))
     said = s.selectExpr(
         "lpad(s_suppkey, 8, '0') AS corp_code",
         """to_json(named_struct('status', CASE WHEN s_suppkey % 5 = 0 THEN '013' ELSE '000' END, 'induty_code', CASE WHEN s_suppkey % 7 = 0 THEN '999' ELSE '4110' END, 'hm_url', concat('www.s', s_suppkey, '.co.kr'),
@@ -74,64 +88,101 @@ def q_dart_companies(spark, sf_dir):
 
 
 @query(
-    """SELECT concat('n', s_suppkey) AS registry_id, s_name AS name, concat(s_suppkey, ' St, Leeds') AS address, '건설·엔지니어링' AS label FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey % 5 <> 0"""
+    """SELECT concat('n', s_suppkey) AS registry_id, s_name AS name, concat(s_suppkey, ' St, ', CASE WHEN s_suppkey % 2 = 0 THEN 'Floor 2, ' ELSE '' END, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'Leeds, ' END, 'LS1') AS address,
+      CASE WHEN s_suppkey % 3 <> 0 THEN 'Leeds' END AS region, concat('n', s_suppkey) AS reg_no, '건설·엔지니어링' AS label
+    FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 11 <> 1 AND s_suppkey % 13 <> 1"""
 )
 def q_companies_house(spark, sf_dir):
-    entry = """to_json(named_struct('company_number', concat('n', s_suppkey), 'company_name', s_name, 'company_status', CASE WHEN s_suppkey % 4 = 0 THEN 'dissolved' ELSE 'Active' END,
-      'sic_codes', array(CASE WHEN s_suppkey % 5 = 0 THEN '99' ELSE '41100' END), 'registered_office_address', named_struct('address_line_1', concat(s_suppkey, ' St'), 'locality', 'Leeds', 'postal_code', ' ')))"""
-    return registers.companies_house_items(_packed(table(spark, sf_dir, "supplier"), "s_suppkey", entry, '{"items":[', "]}"), ("41",))
+    entry = """to_json(named_struct('company_number', CASE WHEN s_suppkey % 11 = 1 THEN '' ELSE concat('n', s_suppkey) END, 'company_name', CASE WHEN s_suppkey % 13 = 1 THEN NULL ELSE s_name END,
+      'company_status', CASE WHEN s_suppkey % 4 = 0 THEN 'dissolved' ELSE ' Active ' END, 'sic_codes', CASE WHEN s_suppkey % 10 = 0 THEN NULL WHEN s_suppkey % 5 = 0 THEN array('99', NULL) ELSE array('99', '41100') END,
+      'registered_office_address', named_struct('address_line_1', concat(s_suppkey, ' St'), 'address_line_2', CASE WHEN s_suppkey % 2 = 0 THEN 'Floor 2' ELSE ' ' END, 'locality', CASE WHEN s_suppkey % 3 <> 0 THEN ' Leeds ' END, 'postal_code', 'LS1')))"""
+    found = registers.companies_house_items(_with_noise(_packed(table(spark, sf_dir, "supplier"), "s_suppkey", entry, '{"items":[', "]}")), ("41",))
+    return found.drop("page", "at")
 
 
-@query("SELECT concat('L', s_suppkey) AS registry_id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'DE' ELSE 'FR' END AS country FROM supplier WHERE s_suppkey % 3 <> 0")
+@query(
+    """SELECT concat('L', s_suppkey) AS registry_id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'DE' ELSE 'FR' END AS country, concat('Haus ', s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE ', Hof' END, ', Bonn, 53') AS address, 'Bonn' AS region,
+      CASE WHEN s_suppkey % 7 <> 0 THEN concat('HRB ', s_suppkey) END AS reg_no FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 11 <> 1 AND s_suppkey % 13 <> 1"""
+)
 def q_gleif(spark, sf_dir):
-    entry = """to_json(named_struct('id', concat('L', s_suppkey), 'attributes', named_struct('entity', named_struct('legalName', named_struct('name', s_name), 'status', CASE WHEN s_suppkey % 3 = 0 THEN 'INACTIVE' ELSE 'active' END,
-      'legalAddress', named_struct('country', CASE WHEN s_suppkey % 2 = 0 THEN 'DE' ELSE 'FR' END)))))"""
-    return registers.gleif_records(_packed(table(spark, sf_dir, "supplier"), "s_suppkey", entry, '{"data":[', "]}"))
+    entry = """to_json(named_struct('id', CASE WHEN s_suppkey % 2 = 0 THEN NULL WHEN s_suppkey % 11 = 1 THEN '' ELSE concat('L', s_suppkey) END, 'attributes', named_struct('lei', CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 11 <> 1 THEN concat('L', s_suppkey) END,
+      'entity', named_struct('legalName', CASE WHEN s_suppkey % 13 <> 1 THEN named_struct('name', s_name) END, 'status', CASE WHEN s_suppkey % 3 = 0 THEN 'INACTIVE' ELSE 'active' END, 'registeredAs', CASE WHEN s_suppkey % 7 = 0 THEN ' ' ELSE concat('HRB ', s_suppkey) END,
+      'legalAddress', named_struct('addressLines', CASE WHEN s_suppkey % 5 = 0 THEN array(concat('Haus ', s_suppkey)) ELSE array(concat('Haus ', s_suppkey), ' ', 'Hof') END, 'city', 'Bonn', 'postalCode', '53', 'country', CASE WHEN s_suppkey % 2 = 0 THEN 'DE' ELSE 'FR' END)))))"""
+    return registers.gleif_records(_with_noise(_packed(table(spark, sf_dir, "supplier"), "s_suppkey", entry, '{"data":[', "]}"))).drop("page", "at")
 
 
-@query("SELECT concat('Q', s_suppkey) AS registry_id, s_name AS name, CASE WHEN s_suppkey % 3 <> 0 THEN 'Rome' END AS headquarters FROM supplier WHERE s_suppkey % 4 <> 0")
+@query(
+    """SELECT concat('Q', n) AS registry_id, f.name, f.domain, f.hq AS headquarters FROM (SELECT s_suppkey % 60 AS n, arg_min(struct_pack(name := s_name, domain := CASE WHEN s_suppkey % 5 <> 0 THEN concat('w', s_suppkey, '.co.uk') END,
+      hq := CASE WHEN s_suppkey % 3 <> 0 THEN 'Quebec' END), s_suppkey) AS f FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey % 9 <> 4 GROUP BY n)"""
+)
 def q_wikidata(spark, sf_dir):
-    entry = """to_json(named_struct('item', named_struct('value', concat('http://w/entity/Q', s_suppkey)), 'itemLabel', named_struct('value', CASE WHEN s_suppkey % 4 = 0 THEN concat('Q', s_suppkey) ELSE s_name END),
-      'hqLabel', named_struct('value', CASE WHEN s_suppkey % 3 = 0 THEN 'Q90' ELSE 'Rome' END)))"""
-    return registers.wikidata_bindings(_packed(table(spark, sf_dir, "supplier"), "s_suppkey", entry, '{"results":{"bindings":[', "]}}"))
+    """Items come several times, over several pages; the first row of each that has a label counts."""
+    entry = """to_json(named_struct('item', named_struct('value', concat('http://w/entity/Q', s_suppkey % 60)), 'itemLabel', CASE WHEN s_suppkey % 4 = 0 THEN named_struct('value', concat('Q', s_suppkey % 60)) WHEN s_suppkey % 9 <> 4 THEN named_struct('value', s_name) END,
+      'website', CASE WHEN s_suppkey % 5 <> 0 THEN named_struct('value', concat('https://www.w', s_suppkey, '.co.uk/en')) END, 'hqLabel', named_struct('value', CASE WHEN s_suppkey % 3 = 0 THEN 'Q90' ELSE 'Quebec' END)))"""
+    return registers.wikidata_bindings(_with_noise(_packed(table(spark, sf_dir, "supplier"), "s_suppkey", entry, '{"results":{"bindings":[', "]}}")))
 
 
-@query("SELECT concat('gb/', s_suppkey) AS registry_id, s_name AS name FROM supplier WHERE s_suppkey % 3 <> 0")
+@query(
+    """SELECT concat('gb/', s_suppkey) AS registry_id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN concat(s_suppkey, ' Row') END AS address, CASE WHEN s_suppkey % 5 <> 0 THEN 'York' END AS region, s_suppkey::VARCHAR AS reg_no
+    FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 11 <> 1 AND s_suppkey % 13 <> 1 AND s_suppkey % 17 <> 1"""
+)
 def q_opencorporates(spark, sf_dir):
-    entry = "to_json(named_struct('company', named_struct('name', s_name, 'company_number', cast(s_suppkey AS string), 'jurisdiction_code', 'gb', 'inactive', CASE s_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false END)))"
-    return registers.opencorporates_companies(_packed(table(spark, sf_dir, "supplier"), "s_suppkey", entry, '{"results":{"companies":[', "]}}"))
+    entry = """to_json(named_struct('company', named_struct('name', CASE WHEN s_suppkey % 11 = 1 THEN NULL ELSE s_name END, 'company_number', CASE WHEN s_suppkey % 13 <> 1 THEN cast(s_suppkey AS string) END, 'jurisdiction_code', CASE WHEN s_suppkey % 17 = 1 THEN '' ELSE 'gb' END,
+      'inactive', CASE s_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false END, 'registered_address_in_full', CASE WHEN s_suppkey % 2 = 0 THEN concat(' ', s_suppkey, ' Row') ELSE ' ' END, 'registered_address', CASE WHEN s_suppkey % 5 <> 0 THEN named_struct('locality', 'York') END)))"""
+    return registers.opencorporates_companies(_with_noise(_packed(table(spark, sf_dir, "supplier"), "s_suppkey", entry, '{"results":{"companies":[', "]}}"))).drop("page", "at")
 
 
-@query("SELECT concat('X', s_suppkey) AS symbol, s_name AS name FROM supplier WHERE s_suppkey % 3 <> 0")
+@query("SELECT concat('X', s_suppkey % 60) AS symbol, arg_min(s_name, s_suppkey) AS name FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 7 <> 1 GROUP BY 1")
 def q_sgx_rows(spark, sf_dir):
-    entry = "to_json(named_struct('type', CASE s_suppkey % 3 WHEN 0 THEN 'bonds' WHEN 1 THEN 'stocks' ELSE 'reits' END, 'nc', concat('X', s_suppkey), 'n', s_name))"
-    return registers.sgx_rows(_packed(table(spark, sf_dir, "supplier"), "s_suppkey", entry, '{"data":{"prices":[', "]}}"))
+    """Codes come several times; rows without a name, of other types, and with the type in another field or case don't count."""
+    entry = """to_json(named_struct('type', CASE WHEN s_suppkey % 3 = 0 THEN CASE s_suppkey % 4 WHEN 0 THEN 'bonds' WHEN 1 THEN 'STOCKS' END WHEN s_suppkey % 3 = 1 THEN 'stocks' ELSE 'reits' END, 'category', 'stocks',
+      'nc', CASE WHEN s_suppkey % 2 = 0 THEN concat('X', s_suppkey % 60) END, 'code', CASE WHEN s_suppkey % 2 = 1 THEN concat(' X', s_suppkey % 60) END, 'companyName', CASE WHEN s_suppkey % 7 = 1 THEN '' ELSE s_name END))"""
+    return registers.sgx_rows(_with_noise(_packed(table(spark, sf_dir, "supplier"), "s_suppkey", entry, '{"data":{"prices":[', "]}}")))
 
 
 @query("SELECT concat('I', s_suppkey % 70) AS symbol, arg_min(s_name, s_suppkey) AS name FROM supplier WHERE s_suppkey % 5 <> 0 GROUP BY 1")
 def q_idx_rows(spark, sf_dir):
     entry = "to_json(named_struct('KodeEmiten', CASE WHEN s_suppkey % 2 = 0 THEN concat('I', s_suppkey % 70) END, 'code', concat('I', s_suppkey % 70), 'NamaEmiten', CASE WHEN s_suppkey % 5 = 0 THEN ' ' ELSE s_name END))"
-    return registers.idx_rows(_packed(table(spark, sf_dir, "supplier"), "s_suppkey", entry, '{"data":[', "]}"))
+    return registers.idx_rows(_with_noise(_packed(table(spark, sf_dir, "supplier"), "s_suppkey", entry, '{"data":[', "]}")))
+
+
+_BOARDS = ("pse", "hose", "set", "bursa", "hnx")
 
 
 @query(
-    """SELECT 'pse' AS registry, concat('P', s_suppkey) AS symbol, concat(s_name, ' & Co') AS name, 'PSE' AS market FROM supplier
-    UNION ALL SELECT 'hose', concat('P', s_suppkey), concat(s_name, ' & Co'), 'HOSE' FROM supplier"""
+    " UNION ALL ".join(
+        f"""SELECT '{x}' AS registry, concat('P', s_suppkey % 60) AS symbol, concat(arg_min(s_name, s_suppkey), ' & Cö’s') AS name, '{x.upper()}' AS market FROM supplier WHERE s_suppkey % {n + 3} <> 1 GROUP BY 2"""
+        for n, x in enumerate(_BOARDS)
+    )
 )
 def q_exchange_rows(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    pse = s.selectExpr("""concat('<td><a onclick="cmDetail(''1'',''', s_suppkey, ''');return false;">', s_name, ' &amp; Co</a></td> <td class="s"><a href="#">P', s_suppkey, '</a></td>') AS html""")
-    other = s.selectExpr("""concat('<tr><td><a href="#"> P', s_suppkey, ' </a> </td> <td class="n"> ', s_name, ' &amp; Co </td></tr>') AS html""")
-    found = registers.exchange_rows(pse, "pse").unionByName(registers.exchange_rows(other, "hose"))
-    return found.select("registry", "symbol", "name", "market")
+    """Symbols come several times over several pages; a row with an empty name doesn't hide the next one."""
+    s, out = table(spark, sf_dir, "supplier"), None
+    for n, x in enumerate(_BOARDS):
+        name = f"CASE WHEN s_suppkey % {n + 3} = 1 THEN '  ' ELSE concat(s_name, ' &amp; C&ouml;&#8217;s') END"
+        if x == "pse":
+            entry = f"""concat('<td><a onclick="cmDetail(''1'',''', s_suppkey, ''');return false;">', {name}, '</a></td> <td class="s"><a href="#">P', s_suppkey % 60, '</a></td>')"""
+        else:
+            entry = f"""concat('<tr><td><a href="#"> P', s_suppkey % 60, ' </a> </td> <td class="n"> ', {name}, ' </td></tr>')"""
+        pages = _packed(s, "s_suppkey", entry, "<table>", "</table>").withColumnRenamed("payload", "html")
+        some = registers.exchange_rows(pages, x).select("registry", "symbol", "name", "market")
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
-@query("SELECT CASE WHEN s_suppkey % 3 = 0 THEN concat('name:kr:', lower(replace(s_name, '#', ''))) ELSE concat('dom:s', s_suppkey, '.com') END AS key, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE concat('https://www.s', s_suppkey, '.com/x') END AS domain FROM supplier WHERE s_suppkey % 7 <> 0")
+@query(
+    """SELECT CASE WHEN s_suppkey % 3 = 0 THEN concat('name:kr:', lower(replace(s_name, '#', ''))) ELSE concat('dom:s', s_suppkey, '.com') END AS key, CASE WHEN s_suppkey % 11 = 1 THEN '' ELSE s_name END AS name,
+      CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE concat('https://www.s', s_suppkey, '.com/x') END AS domain, CASE WHEN s_suppkey % 2 = 0 THEN concat('ir@s', s_suppkey, '.com') END AS email
+    FROM supplier WHERE s_suppkey % 7 <> 0 AND (s_suppkey % 11 <> 1 OR s_suppkey % 3 <> 0)"""
+)
 def q_imported(spark, sf_dir):
+    """Headers as sheets write them: with blanks around them, twice, and some that name no field though they look like it."""
+    site = "CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 7 = 0 THEN NULL ELSE concat('https://www.s', s_suppkey, '.com/x') END"
     sheet = table(spark, sf_dir, "supplier").selectExpr(
-        "CASE WHEN s_suppkey % 7 = 0 THEN ' ' ELSE s_name END AS `업체명`", "'대한민국' AS `국가`", "CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 7 = 0 THEN NULL ELSE concat('https://www.s', s_suppkey, '.com/x') END AS ` Website `", "1 AS other"
+        "CASE WHEN s_suppkey % 7 = 0 OR s_suppkey % 11 = 1 THEN ' ' ELSE s_name END AS ` 업체명 `", "'대한민국' AS `국가`", "'no.org' AS `홈페이지`", "'no.org' AS `Website`", f"{site} AS ` site `",
+        "CASE WHEN s_suppkey % 2 = 0 THEN concat(' ir@s', s_suppkey, '.com ') ELSE ' ' END AS `이메일 (IR 우선순위)`", "1 AS other",
     )
-    return registers.imported(sheet).select("key", "name", "domain")
+    return registers.imported(sheet).select("key", "name", "domain", "email")
 
 
 @query(
