@@ -15,7 +15,7 @@ from rollcall.functions import dimensions as D
 from rollcall.functions import identity, industry, mail, pages, verify
 from rollcall.operators import enrichment, golden, greedy, leads, ledger, matching, outreach, queue, reporting, workbench
 from rollcall.plans.views import table, with_views
-from rollcall.sources import registers
+from rollcall.sources import registers, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -940,21 +940,33 @@ def q_dry_rows(spark, sf_dir):
 
 # ---------------------------------------------------------------- enrichment
 
-_SLUG = "array_to_string(list_filter(string_split_regex(lower(coalesce(name, '')), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN (" + _in(enrichment.NAME_STOPWORDS) + ")), '')"
-_COMPANY = "SELECT p_partkey AS key, concat(split_part(p_name, ' ', 1), ' ', split_part(p_name, ' ', 2), CASE p_partkey % 4 WHEN 0 THEN ' Group' WHEN 1 THEN ' Fund' ELSE ', Inc.' END) AS name, CASE p_partkey % 2 WHEN 0 THEN 'KR' ELSE 'US' END AS country FROM part"
-_HITS = """SELECT p_partkey AS key, 1 AS rank, concat('https://www.', replace(lower(p_name), ' ', ''), '.com/a') AS link FROM part
-    UNION ALL SELECT p_partkey, 2, concat(lower(split_part(p_name, ' ', 1)), 'x.kr') FROM part UNION ALL SELECT p_partkey, 3, 'https://news.example.org' FROM part"""
+_SLUG = "array_to_string(list_filter(string_split_regex(lower(coalesce({x}, '')), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN (" + _in(enrichment.NAME_STOPWORDS) + ")), '')"
+_COMPANY = """SELECT p_partkey AS key, CASE p_partkey % 9 WHEN 4 THEN '주식회사 한글' WHEN 5 THEN 'A&B' ELSE concat(split_part(p_name, ' ', 1), ' ', split_part(p_name, ' ', 2), CASE p_partkey % 4 WHEN 0 THEN ' Group' WHEN 1 THEN ' Fund' ELSE ', Inc.' END) END AS name,
+    CASE WHEN p_partkey % 7 = 0 THEN 'Some UCITS' WHEN p_partkey % 9 = 4 AND p_partkey % 2 = 0 THEN concat(split_part(p_name, ' ', 1), ' Global Ltd') END AS name_eng, CASE p_partkey % 5 WHEN 0 THEN '대한민국' WHEN 1 THEN 'kr' WHEN 2 THEN 'Germany' WHEN 3 THEN 'Nowhere' ELSE 'US' END AS country,
+    CASE WHEN p_partkey % 6 = 0 THEN 'has.com' WHEN p_partkey % 6 = 1 THEN '' END AS domain, p_partkey * 7919 % 1000003 AS came FROM part"""
+_HITS = """SELECT p_partkey AS key, 'default' AS provider, 0 AS rank, 'https://www.facebook.com/x' AS link, '' AS display_link FROM part
+    UNION ALL SELECT p_partkey, 'default', 1, concat('https://www.', replace(lower(p_name), ' ', ''), '.com/a'), '' FROM part UNION ALL SELECT p_partkey, 'default', 2, '', concat(lower(split_part(p_name, ' ', 1)), 'x.de') FROM part WHERE p_partkey % 4 <> 2
+    UNION ALL SELECT p_partkey, 'naver', 1, concat('https://', lower(split_part(p_name, ' ', 1)), '.com'), '' FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, 'naver', 2, concat('https://www.', lower(split_part(p_name, ' ', 1)), 'y.co.kr/'), '' FROM part
+    UNION ALL SELECT p_partkey, 'naver', 3, 'https://news.example.org', NULL FROM part"""
+_FUND = "regexp_matches(coalesce({x}, ''), '(?i)\\bFUNDS?\\b|\\bUCITS\\b')"
 
 
 @query(
-    f"""WITH comp AS ({_COMPANY}), hit AS ({_HITS}), w AS (SELECT key, {_SLUG} AS slug, CASE country WHEN 'KR' THEN '.kr' ELSE '.us' END AS tld FROM comp WHERE NOT regexp_matches(name, '(?i)\\bFUNDS?\\b')),
-    d AS (SELECT h.key, rank, slug, tld, {_domain('link')} AS domain FROM hit h JOIN w ON w.key = h.key), b AS (SELECT *, regexp_replace(split_part(domain, '.', 1), '[^a-z0-9]', '', 'g') AS brand FROM d)
-    SELECT key, first(domain ORDER BY (NOT ends_with(domain, tld))::INT, rank) AS domain FROM b
-    WHERE length(slug) >= 3 AND length(brand) >= 3 AND (brand = slug OR (length(slug) >= 4 AND starts_with(brand, slug)) OR (length(brand) >= 4 AND starts_with(slug, brand))) GROUP BY key"""
+    f"""WITH comp AS ({_COMPANY}), hit AS ({_HITS}),
+    s AS (SELECT key, came, CASE WHEN length({_SLUG.replace('{x}', 'name')}) >= 3 OR coalesce(name_eng, '') = '' THEN {_SLUG.replace('{x}', 'name')} ELSE {_SLUG.replace('{x}', 'name_eng')} END AS slug,
+      CASE country WHEN '대한민국' THEN '.kr' WHEN 'kr' THEN '.kr' WHEN 'Germany' THEN '.de' WHEN 'US' THEN '.us' ELSE '' END AS tld FROM comp WHERE coalesce(domain, '') = '' AND NOT {_FUND.replace('{x}', 'name')} AND NOT {_FUND.replace('{x}', 'name_eng')}),
+    w AS (SELECT *, CASE tld WHEN '.kr' THEN 'naver' ELSE 'default' END AS provider FROM s WHERE length(slug) >= 3 ORDER BY came LIMIT 300),
+    d AS (SELECT w.*, h.rank, {_domain("CASE WHEN link <> '' THEN link ELSE display_link END")} AS dom FROM hit h JOIN w ON w.key = h.key AND w.provider = h.provider),
+    b AS (SELECT *, regexp_replace(split_part(dom, '.', 1), '[^a-z0-9]', '', 'g') AS brand FROM d WHERE dom NOT IN ({_in(scans.BLOCKED)})),
+    f AS (SELECT key, first(dom ORDER BY (tld = '' OR NOT ends_with(dom, tld))::INT, rank) AS domain FROM b
+      WHERE length(brand) >= 3 AND (brand = slug OR (length(slug) >= 4 AND starts_with(brand, slug)) OR (length(brand) >= 4 AND starts_with(slug, brand))) GROUP BY key)
+    SELECT w.key, w.provider, f.domain FROM w LEFT JOIN f ON f.key = w.key"""
 )
 def q_resolve_domain(spark, sf_dir):
+    """Companies in the order in which they came, of which the quota lets 300 be searched for."""
     part = table(spark, sf_dir, "part")
-    return enrichment.resolve_domains(spark.sql(_COMPANY.replace("FROM part", "FROM {part}"), part=part), spark.sql(_HITS.replace("FROM part", "FROM {part}"), part=part))
+    companies, hits = (spark.sql(q.replace("FROM part", "FROM {part}"), part=part) for q in (_COMPANY, _HITS))
+    return enrichment.resolve_domains(companies, hits, "came", 300, ("default", "naver"))
 
 
 @query("SELECT key, unnest(['email', 'phone', 'form']) AS type, unnest([concat('ir@', d), '+82-2-0000-0000', concat('https://', d, '/contact')]) AS value, unnest([9, 6, 8]) AS tenths FROM (SELECT page_id AS key, coalesce(domain, 'example.com') AS d FROM v_probe)", "v_probe")

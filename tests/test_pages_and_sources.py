@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rollcall.functions import industry, pages
 from rollcall.functions.dimensions import KSIC, SIC
 from rollcall.operators import ledger, reporting
-from rollcall.sources import registers
+from rollcall.sources import registers, scans
 from rollcall.streaming import incremental
 
 
@@ -56,16 +56,17 @@ def test_captured_registers(spark):
         return spark.createDataFrame([(json.dumps(payload),), ("broken",)], "payload string")
 
     t = one({"fields": ["cik", "name", "ticker", "exchange"], "data": [[1, "A", "a", "NYSE"], ["x", "B", "b", "Nasdaq"], [3, "C", "c", None], [4, "D", "d", "LSE"]]})
-    assert sorted(tuple(r) for r in registers.edgar_tickers(t).collect()) == [(1, "A", "NYSE"), (3, "C", "")]
+    # a null exchange reads as a name that is none of the known ones; only a row without the field has none
+    assert sorted(tuple(r) for r in registers.edgar_tickers(t).select("cik", "name", "exchange").collect()) == [(1, "A", "nyse")]
     c = one({"items": [{"company_number": "1", "company_name": "N", "company_status": "active", "sic_codes": ["99", "41100"], "registered_office_address": {"address_line_1": "1 St", "postal_code": " "}}, {"company_number": "2", "company_name": "M", "company_status": "dissolved"}]})
-    assert [tuple(r) for r in registers.companies_house_items(c).collect()] == [("1", "N", "1 St", "건설·엔지니어링")]
+    assert [tuple(r) for r in registers.companies_house_items(c).select("registry_id", "name", "address", "label").collect()] == [("1", "N", "1 St", "건설·엔지니어링")]
     g = one({"data": [{"id": "L1", "attributes": {"entity": {"legalName": {"name": "G"}, "status": "active", "legalAddress": {"country": "DE"}}}}, {"id": "L2", "attributes": {"entity": {"status": "INACTIVE"}}}]})
-    assert [tuple(r) for r in registers.gleif_records(g).collect()] == [("L1", "G", "DE")]
+    assert [tuple(r) for r in registers.gleif_records(g).select("registry_id", "name", "country").collect()] == [("L1", "G", "DE")]
     b = lambda q, n, h: {"item": {"value": f"http://w/entity/{q}"}, "itemLabel": {"value": n}, "hqLabel": {"value": h}}
     w = one({"results": {"bindings": [b("Q1", "One", "Q9"), b("Q1", "Uno", "Rome"), b("Q2", "Q2", "x"), b("P3", "x", "y")]}})
-    assert [tuple(r) for r in registers.wikidata_bindings(w).collect()] == [("Q1", "One", None)]
+    assert [tuple(r) for r in registers.wikidata_bindings(w).orderBy("registry_id").select("registry_id", "name", "headquarters").collect()] == [("P3", "x", "y"), ("Q1", "One", None)]
     o = one({"results": {"companies": [{"company": {"name": "O", "company_number": "7", "jurisdiction_code": "gb"}}, {"company": {"name": "P", "company_number": "8", "jurisdiction_code": "gb", "inactive": True}}]}})
-    assert [tuple(r) for r in registers.opencorporates_companies(o).collect()] == [("gb/7", "O")]
+    assert [tuple(r) for r in registers.opencorporates_companies(o).select("registry_id", "name").collect()] == [("gb/7", "O")]
     s = one({"data": {"prices": [{"type": "stocks", "nc": "D05", "n": "DBS"}, {"type": "bonds", "nc": "B1", "n": "x"}]}})
     assert [tuple(r) for r in registers.sgx_rows(s).collect()] == [("D05", "DBS")]
     listing = spark.createDataFrame([("<td>AA</td><td>A &amp; B</td><td>AA</td><td>again</td>",)], "html string")
@@ -76,9 +77,11 @@ def test_import_and_search(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text("﻿업체명,국가,사이트,기타\nACME,US,acme.com,1\n,,,\n()(),KR,,2\n삼성,대한민국,,3\n", encoding="utf-8")
     assert sorted(r.key for r in registers.read_import(spark, str(path)).collect()) == ["dom:acme.com", "name:kr:삼성"]
-    hits = [("q1", 1, 1, "Acme | Home", "https://acme.com"), ("q1", 1, 2, "Gov", "https://x.gov"), ("q1", 2, 1, "Acme", "https://www.acme.com/a"), ("q1", 3, 1, "Late", "https://late.com"), ("q2", 1, 1, "Beta - official", "https://beta.io")]
-    df = spark.createDataFrame(hits, "query string, page int, rank int, title string, link string")
-    assert sorted((r.domain, r.name) for r in registers.search_hits(df).collect()) == [("acme.com", "Acme"), ("beta.io", "Beta")]
+    # a page of nothing but domains that the query had before has no candidates, and so doesn't stop it
+    hits = [(0, 1, 1, "Acme | Home", "https://acme.com"), (0, 1, 2, "Gov", "https://x.gov"), (0, 2, 1, "Acme", "https://www.acme.com/a"), (0, 3, 1, "Late", "https://late.com"), (1, 1, 1, "Beta - official", "https://beta.io")]
+    df = spark.createDataFrame(hits, "query int, page int, rank int, title string, link string").withColumn("segment", F.lit("s"))
+    none = spark.createDataFrame([], "domain string")
+    assert sorted((r.domain, r.name) for r in scans.crawl_search(df, none).collect()) == [("acme.com", "Acme"), ("beta.io", "Beta"), ("late.com", "Late")]
 
 
 def test_blank_runs_stop_a_sheet(spark):
