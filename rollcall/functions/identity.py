@@ -28,7 +28,7 @@ def normal_name(name: Column) -> Column:
 
 def let(value: Column, use) -> Column:
     """use(value), with value computed once and not once for each place where it stands."""
-    return F.get(F.transform(F.array(value), use), 0)
+    return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
 
 
 def registered_domain(value: Column) -> Column:

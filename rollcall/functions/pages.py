@@ -1,7 +1,7 @@
 """What captured pages say: addresses, telephone numbers, links, images, forms, and whether anyone is home.
 
-Attributes are read with patterns; each page gives one array, so a page is scanned once per kind and
-exploded once.
+A page is split at the tags of a name, and each part is looked at by itself: no search goes on to the end of
+the page, so the work is in proportion to the page whatever is malformed in it.
 """
 
 from __future__ import annotations
@@ -50,10 +50,35 @@ def _ends(text: Column, endings: tuple[str, ...]) -> Column:
     return found
 
 
+def _after(end: str):
+    """For transform: the first part as it is, of each other one what follows its first match of the pattern."""
+    return lambda part, i: F.when(i == 0, part).otherwise(F.coalesce(F.get(F.split(part, end, 2), 1), F.lit("")))
+
+
+def _blocks_removed(html: Column, name: str) -> Column:
+    """Without the elements of a name, from each start tag to the next end tag; a start tag without one stays.
+
+    The text is cut once at its last end tag and split once at the start tags before it, so the work is in proportion to
+    the page whatever it holds.
+    """
+    head = F.regexp_extract(html, f"(?is)^(.*</{name}>)", 1)
+    rest = F.transform(F.split(head, f"(?i)<{name}"), _after(f"(?i)</{name}>"))
+    return F.concat(F.array_join(rest, " "), F.substring(html, F.length(head) + 1, F.length(html)))
+
+
+def _tags_removed(html: Column, by: str = " ") -> Column:
+    """Without tags: what is between < and the next >. Beyond the last > there is none to look for."""
+    head = F.regexp_extract(html, "(?s)^(.*>)", 1)
+    return F.concat(F.regexp_replace(head, "<[^>]+>", by), F.substring(html, F.length(head) + 1, F.length(html)))
+
+
+def _unscripted(html: Column) -> Column:
+    return identity.let(_blocks_removed(html, "script"), lambda h: _blocks_removed(h, "style"))
+
+
 def visible_text(html: Column) -> Column:
     """Without scripts, styles and tags, white space collapsed."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, "<[^>]+>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(identity.let(_unscripted(html), _tags_removed), r"\s+", " "))
 
 
 def summary_text(html: Column, limit: int = 2000) -> Column:
@@ -62,12 +87,61 @@ def summary_text(html: Column, limit: int = 2000) -> Column:
 
 def looks_parked(html: Column) -> Column:
     """A marker in a short text, or hardly any text and neither a link nor an image; a null or blank page too."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    text = F.lower(visible_text(html))
-    built = bare.rlike("(?i)<(a[ >]|img)")
-    return F.when(F.coalesce(F.trim(html), F.lit("")) == "", True).otherwise(
-        (_any(text, PARKED_MARKERS) & (F.length(text) < 200)) | ((F.length(text) < 20) & ~built)
-    )
+
+    def judged(bare: Column) -> Column:
+        text = F.lower(F.trim(F.regexp_replace(_tags_removed(bare), r"\s+", " ")))
+        return identity.let(text, lambda t: (_any(t, PARKED_MARKERS) & (F.length(t) < 200)) | ((F.length(t) < 20) & ~bare.rlike("(?i)<(a[ >]|img)")))
+
+    return F.when(F.coalesce(F.trim(html), F.lit("")) == "", True).otherwise(identity.let(_unscripted(html), judged))
+
+
+# ---------------------------------------------------------------- elements
+
+#: A start tag up to its >, which quoted values may hold too (in the first 200 of them).
+_HEAD = r"""^[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+){0,200}+"""
+_ATTRIBUTE = r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
+
+
+def markup(html: Column) -> Column:
+    """The page without what holds no elements: comments, scripts and styles, to their end or the page's."""
+    for start, end in (("<!--", "-->"), (r"(?i)<script(?=[\s/>])", r"(?i)</script(?=[\s/>])"), (r"(?i)<style(?=[\s/>])", r"(?i)</style(?=[\s/>])")):
+        html = F.array_join(F.transform(F.split(html, start), _after(end)), "<!>")  # so that the text before and after doesn't grow together to a tag
+    return html
+
+
+def elements(of: Column, name: str) -> Column:
+    """The elements of a name, in order: array of struct<head (the attributes), inner (up to the end tag or the next such start tag)>.
+
+    One split at the start tags; each part is then looked at by itself.
+    """
+    parts = F.split(of, rf"(?i)<{name}(?=[\s/>])")
+
+    def element(part: Column) -> Column:
+        def made(head: Column) -> Column:
+            inner = F.substring(part, F.length(head) + 2, F.length(part))
+            return F.struct(head.alias("head"), F.get(F.split(inner, rf"(?i)</{name}(?=[\s/>])", 2), 0).alias("inner"))
+
+        return identity.let(F.regexp_extract(part, _HEAD, 0), made)
+
+    return F.transform(F.slice(parts, 2, 1_000_000_000), lambda p: element(p))
+
+
+def attributes(head: Column, *names: str) -> Column:
+    """A struct of the attributes of a start tag (- in a name becomes _): the first of each name, character references of markup
+    resolved; null where it isn't there, '' where it has no value."""
+    group = lambda n: F.regexp_extract_all(head, F.lit(_ATTRIBUTE), F.lit(n))
+    values = F.zip_with(F.zip_with(group(2), group(3), lambda a, b: F.concat(a, b)), group(4), lambda a, b: F.concat(a, b))
+
+    def plain(x: Column) -> Column:
+        for seen, meant in (("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+            x = F.replace(x, F.lit(seen), F.lit(meant))
+        return x
+
+    def picked(found: Column) -> Column:
+        one = lambda n: identity.let(F.array_position(found["names"], n).cast("int"), lambda at: F.when(at > 0, plain(F.get(found["values"], at - 1))))
+        return F.struct(*(one(n).alias(n.replace("-", "_")) for n in names))
+
+    return identity.let(F.struct(F.transform(group(1), lambda x: F.lower(x)).alias("names"), values.alias("values")), picked)
 
 
 def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
@@ -77,9 +151,10 @@ def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
 def page_emails(pages: DataFrame) -> DataFrame:
     """page_id, value, role, confidence (tenths): links 9, protected payloads 9, visible text 6, raw page 4; the first pass that finds an address counts."""
     pattern = f"({mail.ADDRESS})"
-    linked = all_matches(F.col("html"), r"""(?i)<a\s[^>]*?href=["']mailto:([^"'?]*)""")
-    hidden = F.transform(all_matches(F.col("html"), r"""data-cfemail=["']([0-9a-fA-F]*)["']"""), mail.decode_protected)
-    hidden = F.concat(hidden, F.transform(all_matches(F.col("html"), r"""/cdn-cgi/l/email-protection#([0-9a-fA-F]+)"""), mail.decode_protected))
+    links = F.transform(elements(markup(F.col("html")), "a"), lambda e: attributes(e["head"], "href")["href"])
+    linked = F.transform(F.filter(links, lambda h: h.startswith("mailto:")), lambda h: F.substring_index(F.substring(h, 8, 1_000_000), "?", 1))
+    hidden = F.transform(all_matches(F.col("html"), r"""data-cfemail=["']([0-9a-fA-F]*)["']"""), lambda x: mail.decode_protected(x))
+    hidden = F.concat(hidden, F.transform(all_matches(F.col("html"), r"""/cdn-cgi/l/email-protection#([0-9a-fA-F]+)"""), lambda x: mail.decode_protected(x)))
     in_all = lambda arr: F.flatten(F.transform(F.filter(arr, lambda x: x.isNotNull()), lambda x: F.regexp_extract_all(x, F.lit(pattern), F.lit(1))))
     text = mail.deobfuscate(F.substring(visible_text(F.col("html")), 1, SCANNED))
     passes = ((0, 9, in_all(linked)), (1, 9, in_all(hidden)), (2, 6, all_matches(text, pattern)), (3, 4, all_matches(F.substring("html", 1, SCANNED), pattern)))
@@ -94,35 +169,57 @@ def page_emails(pages: DataFrame) -> DataFrame:
 
 def page_phones(pages: DataFrame) -> DataFrame:
     """page_id, digits, value: numbers of tel: links with 8 to 15 digits, the first of each."""
-    rows = pages.select("page_id", F.posexplode(all_matches(F.col("html"), r"""(?i)<a\s[^>]*?href=["']tel:([^"']*)""")).alias("at", "value"))
+    links = F.transform(elements(markup(F.col("html")), "a"), lambda e: attributes(e["head"], "href")["href"])
+    rows = pages.select("page_id", F.posexplode(F.transform(F.filter(links, lambda h: h.startswith("tel:")), lambda h: F.substring(h, 5, 1_000_000))).alias("at", "value"))
     rows = rows.withColumn("digits", F.regexp_replace("value", "[^0-9]", "")).where(F.length("digits").between(8, 15))
     return rows.groupBy("page_id", "digits").agg(F.trim(F.min_by("value", "at")).alias("value"))
 
 
+def _undotted(path: Column) -> Column:
+    """A path without . and .. segments."""
+    return identity.let(path, lambda p: F.when(p.rlike(r"/\.\.?(/|$)"), _folded(p)).otherwise(p))
+
+
+def _folded(path: Column) -> Column:
+    none = F.array().cast("array<string>")
+    up = lambda a: F.when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
+    fold = F.aggregate(F.split(path, "/"), none, lambda a, s: F.when(s == "..", up(a)).when(s == ".", a).otherwise(F.array_append(a, s)))
+    joined = F.concat(F.array_join(fold, "/"), F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit("")))
+    return identity.let(joined, lambda j: F.when(j.startswith("/"), j).otherwise(F.concat(F.lit("/"), j)))
+
+
 def absolute(base: Column, link: Column) -> Column:
-    """A link joined with the page's address: absolute, scheme-relative, rooted, or beside the page."""
+    """A link joined with the page's address: absolute, scheme-relative, rooted, beside the page, or a part of it."""
+    return identity.let(F.struct(base.alias("base"), link.alias("link")), lambda x: _joined(x["base"], x["link"]))
+
+
+def _joined(base: Column, link: Column) -> Column:
     root = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    folder = F.concat(root, F.coalesce(F.nullif(F.regexp_extract(base, r"^https?://[^/?#]+(/(?:[^?#]*/)?)", 1), F.lit("")), F.lit("/")))
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(base, r"^https?://[^/?#]+(/(?:[^?#]*/)?)", 1), F.lit("")), F.lit("/"))
+    path, more = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
     return (
-        F.when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
+        F.when(link == "", base)
+        .when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(F.substring_index(base, "//", 1), link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .otherwise(F.concat(folder, link))
+        .when(link.startswith("?"), F.concat(page, link))
+        .when(link.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), link))
+        .when(link.startswith("/"), F.concat(root, _undotted(path), more))
+        .otherwise(F.concat(root, _undotted(F.concat(folder, path)), more))
     )
 
 
 def candidate_links(pages: DataFrame, limit: int = 20) -> DataFrame:
     """page_id, ord, link, kind: links of the same registered domain with an IR or a contact hint.
 
-    The first `limit` hinted links in the page's order are taken, and then IR links come first.
+    The first `limit` hinted links in the page's order are taken, and then IR links come first. Where a link comes several times,
+    its first place decides.
     """
-    anchors = F.regexp_extract_all("html", F.lit(r"(?is)(<a\s[^>]*>.*?</a>)"), F.lit(1))
-    rows = pages.select("page_id", "url", F.posexplode(anchors).alias("at", "a")).select(
-        "page_id", "url", "at", F.trim(F.regexp_extract("a", r"""(?is)^<a\s[^>]*?href=["']([^"']*)["']""", 1)).alias("href"),
-        F.regexp_replace("a", "<[^>]+>", "").alias("label"),
+    rows = pages.select("page_id", "url", F.posexplode(elements(markup(F.col("html")), "a")).alias("at", "e")).select(
+        "page_id", "url", "at", F.trim(attributes(F.col("e.head"), "href")["href"]).alias("href"), _tags_removed(F.col("e.inner"), "").alias("label")
     )
     rows = rows.where((F.col("href") != "") & ~F.col("href").rlike("^(mailto:|tel:|javascript:|#)")).withColumn("link", absolute(F.col("url"), F.col("href")))
-    rows = rows.where(F.col("link").rlike("^https?://") & ~_ends(F.lower("link"), SKIPPED_ENDINGS))
+    rows = rows.where(F.col("link").rlike("^(?i)https?://") & ~_ends(F.lower("link"), SKIPPED_ENDINGS))
     rows = rows.where(identity.registered_domain(F.col("link")) == identity.registered_domain(F.col("url")))
     hint = F.lower(F.concat_ws(" ", "href", "label"))
     kind = F.when(_any(hint, IR_HINTS), 0).when(_any(hint, CONTACT_HINTS), 1)
@@ -134,12 +231,10 @@ def candidate_links(pages: DataFrame, limit: int = 20) -> DataFrame:
 
 def candidate_images(pages: DataFrame, limit: int = 5) -> DataFrame:
     """page_id, ord, link: the first `limit` images, those that may show an address first."""
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)(<img\s[^>]*>)"), F.lit(1))
-    rows = pages.select("page_id", "url", F.posexplode(tags).alias("at", "t")).select(
-        "page_id", "url", "at", F.trim(F.regexp_extract("t", r"""(?is)src=["']([^"']*)["']""", 1)).alias("src"), F.regexp_extract("t", r"""(?is)alt=["']([^"']*)["']""", 1).alias("alt")
-    )
+    rows = pages.select("page_id", "url", F.posexplode(elements(markup(F.col("html")), "img")).alias("at", "e"))
+    rows = rows.select("page_id", "url", "at", attributes(F.col("e.head"), "src", "alt").alias("i")).select("page_id", "url", "at", F.trim("i.src").alias("src"), F.coalesce("i.alt", F.lit("")).alias("alt"))
     rows = rows.where((F.col("src") != "") & ~F.col("src").startswith("data:")).withColumn("link", absolute(F.col("url"), F.col("src")))
-    rows = rows.where(F.col("link").rlike("^https?://") & _ends(F.substring_index(F.lower("link"), "?", 1), IMAGE_ENDINGS))
+    rows = rows.where(F.col("link").rlike("^(?i)https?://") & _ends(F.substring_index(F.lower("link"), "?", 1), IMAGE_ENDINGS))
     plain = F.when(_any(F.lower(F.concat_ws(" ", "src", "alt")), MAIL_IMAGE_HINTS), 0).otherwise(1)
     first = rows.withColumn("plain", plain).groupBy("page_id", "link").agg(F.min_by("plain", "at").alias("plain"), F.min("at").alias("at"))
     per_page = first.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("at", "plain", "link"))).alias("l"))
@@ -148,19 +243,43 @@ def candidate_images(pages: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def is_contact_page(url: Column, html: Column) -> Column:
-    """By a segment of the path, or the title or a heading."""
+    """By a segment of the path, or the first title or a heading."""
     path = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1))
     segments = F.split(path, r"[/_.\-]+")
-    heads = F.lower(F.concat_ws(" ", F.regexp_extract(html, "(?is)<title>(.*?)</title>", 1), F.array_join(F.regexp_extract_all(html, F.lit("(?is)<h1[^>]*>(.*?)</h1>"), F.lit(1)), " ")))
-    return F.arrays_overlap(segments, F.array(*map(F.lit, CONTACT_SEGMENTS))) | path.contains("문의") | _any(heads, CONTACT_TITLES)
 
+    def heads(page: Column) -> Column:
+        title = F.get(elements(page, "title"), 0)["inner"]
+        return F.lower(F.concat_ws(" ", title, F.array_join(F.transform(elements(page, "h1"), lambda e: _tags_removed(e["inner"], "")), " ")))
 
-def page_form(pages: DataFrame) -> DataFrame:
-    """page_id, form_url, confidence (hundredths): an embedded form 70, one with a message field 60, one with a hint 45; the first of the best."""
-    frames = F.transform(F.regexp_extract_all("html", F.lit(r"""(?is)<iframe\s[^>]*?src=["']([^"']*)["']"""), F.lit(1)), lambda s: absolute(F.col("url"), F.trim(s)))
+    said = identity.let(markup(html), heads)
+    return F.arrays_overlap(segments, F.array(*map(F.lit, CONTACT_SEGMENTS))) | path.contains("문의") | F.coalesce(_any(said, CONTACT_TITLES), F.lit(False))
+
+
+def _form_entry(form: Column, url: Column) -> Column:
+    """confidence (0: no form for inquiries) and form_url of one form element."""
+    kind = lambda e: F.lower(F.coalesce(F.nullif(attributes(e["head"], "type")["type"], F.lit("")), F.lit("text")))
+    kinds = lambda n: F.transform(elements(form["inner"], n), lambda e: kind(e))
+    given = attributes(form["head"], "action", "id", "class", "name", "aria-label", "role")
+
+    def named(a: Column) -> Column:
+        return F.struct(
+            a["action"].alias("action"), F.lower(F.coalesce(a["role"], F.lit(""))).alias("role"), F.lower(F.concat_ws(" ", a["action"], a["id"], a["class"], a["name"], a["aria_label"])).alias("names"),
+            F.lower(_tags_removed(form["inner"], "")).alias("text"), form["inner"].rlike(r"(?i)<textarea[\s/>]").alias("message"), kinds("input").alias("inputs"), F.concat(kinds("textarea"), kinds("select")).alias("others"),
+        )
+
+    def judged(f: Column) -> Column:
+        fields = F.size(F.filter(F.concat(f["inputs"], f["others"]), lambda t: ~t.isin("hidden", "submit", "button", "checkbox", "radio", "image", "reset")))
+        few = fields <= 1
+        excluded = F.array_contains(f["inputs"], "password") | (f["role"] == "search") | (few & (F.array_contains(f["inputs"], "search") | (~f["message"] & _any(f["names"], FORM_EXCLUDED))))
+        hinted = _any(f["names"], FORM_HINTS) | _any(f["text"], FORM_HINTS)
+        target = F.when(F.coalesce(f["action"], F.lit("")) == "", url).otherwise(absolute(url, f["action"]))
+        return F.struct(F.when(hinted & ~excluded, F.when(f["message"], 60).otherwise(45)).otherwise(0).alias("confidence"), target.alias("form_url"))
 
-    def provider(link: Column) -> Column:
-        place = F.regexp_extract(F.lower(link), "^https?://([^?#]*)", 1)
+    return identity.let(identity.let(given, named), judged)
+
+
+def _provides_forms(link: Column) -> Column:
+    def known(place: Column) -> Column:
         host, found = F.substring_index(place, "/", 1), F.lit(False)
         for h in FORM_HOSTS:
             found = found | (host == h) | host.endswith("." + h)
@@ -168,23 +287,15 @@ def page_form(pages: DataFrame) -> DataFrame:
             found = found | place.startswith(p)
         return found
 
-    embedded = F.get(F.filter(frames, provider), 0)
-    forms = F.regexp_extract_all("html", F.lit(r"(?is)(<form[^>]*>.*?</form>)"), F.lit(1))
-
-    def entry(form: Column) -> Column:
-        head = F.regexp_extract(form, "(?is)^(<form[^>]*>)", 1)
-        names = F.lower(F.array_join(F.regexp_extract_all(head, F.lit(r"""(?is)\s(?:action|id|class|name|aria-label)=["']([^"']*)["']"""), F.lit(1)), " "))
-        text = F.lower(F.regexp_replace(form, "<[^>]+>", ""))
-        message = form.rlike("(?i)<textarea")
-        inputs = F.transform(F.regexp_extract_all(form, F.lit("(?is)(<input[^>]*>)"), F.lit(1)), lambda t: F.coalesce(F.nullif(F.lower(F.regexp_extract(t, r"""(?is)type=["']?([a-z]+)""", 1)), F.lit("")), F.lit("text")))
-        fields = F.size(F.filter(inputs, lambda t: ~t.isin("hidden", "submit", "button", "checkbox", "radio", "image", "reset"))) + F.size(F.regexp_extract_all(form, F.lit("(?is)(<(?:textarea|select)[ >])"), F.lit(1)))
-        excluded = F.array_contains(inputs, "password") | head.rlike("(?i)role=[\"']search[\"']") | (F.array_contains(inputs, "search") & (fields <= 1)) | (~message & (fields <= 1) & _any(names, FORM_EXCLUDED))
-        hinted = _any(F.concat_ws(" ", names, text), FORM_HINTS)
-        action = F.regexp_extract(head, r"""(?is)action=["']([^"']*)["']""", 1)
-        target = F.when(action == "", F.col("url")).otherwise(absolute(F.col("url"), action))
-        return F.struct(F.when(hinted & ~excluded, F.when(message, 60).otherwise(45)).otherwise(0).alias("confidence"), target.alias("form_url"))
-
-    listed = pages.select("page_id", "url", embedded.alias("embedded"), F.transform(forms, entry).alias("forms"))
+    return identity.let(F.regexp_extract(F.lower(link), "^https?://([^?#]*)", 1), known)
+
+
+def page_form(pages: DataFrame) -> DataFrame:
+    """page_id, form_url, confidence (hundredths): an embedded form 70, one with a message field 60, one with a hint 45; the first of the best."""
+    page = pages.select("page_id", "url", markup(F.col("html")).alias("m"))
+    srcs = F.filter(F.transform(elements(F.col("m"), "iframe"), lambda e: F.trim(attributes(e["head"], "src")["src"])), lambda s: s != "")
+    frames = F.filter(F.transform(srcs, lambda s: absolute(F.col("url"), s)), lambda x: _provides_forms(x))
+    listed = page.select("page_id", F.get(frames, 0).alias("embedded"), F.transform(elements(F.col("m"), "form"), lambda f: _form_entry(f, F.col("url"))).alias("forms"))
     good = F.filter("forms", lambda f: f["confidence"] > 0)
     best = F.array_max(F.transform(good, lambda f: f["confidence"]))
     chosen = F.get(F.filter(good, lambda f: f["confidence"] == best), 0)

@@ -35,7 +35,7 @@ def name_matches(slug: Column, domain: Column) -> Column:
 
 
 def resolve_domains(companies: DataFrame, hits: DataFrame, order: str = "key", quota: int = 500, providers: tuple[str, ...] = ("default",)) -> DataFrame:
-    """key, provider, domain (null: none found) of the companies that a domain is searched for.
+    """key, provider, domain of the companies for which a search finds their domain.
 
     companies: key, name, name_eng, country, domain and the order in which they come (unique). Left out are those that have a
     domain, those whose name in either language is a fund's, those whose country has no provider, and those whose name has
@@ -43,7 +43,7 @@ def resolve_domains(companies: DataFrame, hits: DataFrame, order: str = "key", q
     first `quota` are searched for. Korean companies are looked up with 'naver' alone if it is among the providers,
     all others with 'default'.
 
-    hits: key, provider, rank, link (and display_link): of a company's hits the first whose domain matches its name, one of
+    hits: key, provider ('default' if there is no such column), rank, link (and display_link): of a company's hits the first whose domain matches its name, one of
     its country's domain first; portals' domains don't count.
     """
     iso = identity.known_country(F.col("country"))
@@ -55,11 +55,12 @@ def resolve_domains(companies: DataFrame, hits: DataFrame, order: str = "key", q
     wanted = companies.where((F.coalesce(have("domain"), F.lit("")) == "") & ~is_fund(F.col("name")) & ~is_fund(have("name_eng")))
     wanted = wanted.select("key", F.col(order).alias("_order"), slug.alias("slug"), provider.alias("provider"), F.concat(F.lit("."), iso).alias("tld"))
     wanted = wanted.where("provider is not null and length(slug) >= 3").orderBy("_order").limit(max(quota, 0))
-    rows = hits.withColumn("domain", hit_domain(hits)).select("key", F.col("provider").alias("_from"), "rank", "domain").join(wanted, "key")
+    source = F.col("provider") if "provider" in hits.columns else F.lit("default")
+    rows = hits.withColumn("domain", hit_domain(hits)).select("key", source.alias("_from"), "rank", "domain").join(wanted, "key")
     rows = rows.where((F.col("_from") == F.col("provider")) & name_matches(F.col("slug"), F.col("domain")))
     first = F.struct((~F.coalesce(F.col("domain").endswith(F.col("tld")), F.lit(False))).cast("int"), "rank")
     best = rows.groupBy("key").agg(F.min_by("domain", first).alias("domain"))
-    return wanted.select("key", "provider").join(best, "key", "left").select("key", "provider", "domain")
+    return wanted.select("key", "provider").join(best, "key").select("key", "provider", "domain")
 
 
 def company_contacts(captured: DataFrame) -> DataFrame:

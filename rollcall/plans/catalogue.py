@@ -584,8 +584,7 @@ _VISIBLE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(ht
 _DEOB = r"regexp_replace(regexp_replace(replace({x}, '＠', '@'), '(?i)\s*[(\[{{]\s*(?:at|골뱅이)\s*[)\]}}]\s*', '@', 'g'), '(?i)\s*[(\[{{]\s*(?:dot|닷|점)\s*[)\]}}]\s*', '.', 'g')"
 
 
-@query(
-    rf"""WITH raw AS (
+_MAILS = rf"""WITH raw AS (
       SELECT page_id, 0 AS pass, 9 AS confidence, unnest(regexp_extract_all(unnest_link, '({_ADDR})', 1)) AS r FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href=["'']mailto:([^"''?]*)', 1)) AS unnest_link FROM v_html)
       UNION ALL SELECT page_id, 1, 9, 'ir@dsrob.example' FROM v_html WHERE false
       UNION ALL SELECT page_id, 1, 9, unnest(regexp_extract_all(d, '({_ADDR})', 1)) FROM (SELECT page_id, (SELECT string_agg(chr(xor(('0x' || substr(h, i * 2 + 1, 2))::INT, ('0x' || substr(h, 1, 2))::INT)), '' ORDER BY i) FROM (SELECT unnest(range(1, length(h) // 2)) AS i)) AS d
@@ -596,37 +595,113 @@ _DEOB = r"regexp_replace(regexp_replace(replace({x}, '＠', '@'), '(?i)\s*[(\[{{
     g AS (SELECT *, {_role_sql('value')} AS role, split_part(value, '@', -1) AS dom FROM a WHERE value <> '')
     SELECT page_id, value, role, arg_min(confidence, pass) AS confidence FROM g
     WHERE role IN ('ir', 'general') AND split_part(dom, '.', -1) NOT IN ({_in(mail.ASSET_ENDINGS)}) AND NOT ({' OR '.join(f"dom = '{d}' OR ends_with(dom, '.{d}')" for d in mail.PLACEHOLDER_DOMAINS)})
-    GROUP BY page_id, value, role""",
-    "v_html",
-)
+    GROUP BY page_id, value, role"""
+
+
+@query(_MAILS, "v_html")
 def q_extract_emails(spark, sf_dir):
     return pages.page_emails(table(spark, sf_dir, "v_html"))
 
 
-@query(
-    r"""WITH r AS (SELECT page_id, unnest(l) AS value, unnest(range(len(l))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^>]*?href=["'']tel:([^"'']*)', 1) AS l FROM v_html)),
+_CALLS = r"""WITH r AS (SELECT page_id, unnest(l) AS value, unnest(range(len(l))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^>]*?href=["'']tel:([^"'']*)', 1) AS l FROM v_html)),
     d AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM r)
-    SELECT page_id, digits, trim(arg_min(value, pos)) AS value FROM d WHERE length(digits) BETWEEN 8 AND 15 GROUP BY page_id, digits""",
-    "v_html",
-)
+    SELECT page_id, digits, trim(arg_min(value, pos)) AS value FROM d WHERE length(digits) BETWEEN 8 AND 15 GROUP BY page_id, digits"""
+
+
+@query(_CALLS, "v_html")
 def q_phones(spark, sf_dir):
     return pages.page_phones(table(spark, sf_dir, "v_html"))
 
 
-@query()
+# Links, images and forms: every page gets some more of them, written in ways that are easy to misread.
+_TRICKS = """concat(html, '<!-- <a href="/contact/hidden">c</a> --><script>var a = "<a href=/ir/hidden>x</a><img src=/hidden-mail.png><form action=/contact><textarea>";</script>',
+    '<a class="x>y" href=/ir/plain>one</a><a data-x="href=/no" title=''a "b"'' href = "https://www.ir-site.com/x">other</a><a href="../about/', page_id % 4, '?a=1&amp;b=2">who <b>we</b> are</a><a HREF="/pdf/ir.PDF">ir</a><a href="#ir">i</a>',
+    '<a href="javascript:ir()">i</a><a name="ir">no link</a><a href="">ir</a><a href="/ir/plain">again</a><a href="/news">a<a href="/company', page_id % 3, '">b</a><img src=/pic', page_id % 5, '.jpg?v=1><img alt="E-MAIL" src="b.webp"><img src="/c.svg">',
+    '<img data-src="/no.png"><iframe title="x" src="', CASE WHEN page_id % 9 = 1 THEN 'https://a.typeform.com/to/x' ELSE 'https://ads.com/?u=typeform.com' END, '"></iframe><form class="q"><input type="text" name="q"><input type=hidden></form>',
+    '<form action=''/newsletter'' name="Contact"><input type="email"></form><form role="search" id="contact"><input><input></form><form action="./ask?to=', page_id % 6, '"><p>', CASE WHEN page_id % 3 = 0 THEN '견적문의' ELSE 'words' END, '</p><input><select></select></form>')"""
+_MARKUP = """regexp_replace(regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', '<!>', 'g'), '(?is)<script[\\s>].*?</script', '<!', 'g'), '(?is)<style[\\s>].*?</style', '<!', 'g')"""
+_PIECES = "list_filter(list_transform(range(2, len(w) + 1), lambda i: w[i]), lambda x: true)"
+
+
+def _attr_sql(x: str, name: str) -> str:
+    """An attribute from the text of a start tag, whose other quoted values were emptied of the name."""
+    found = f"regexp_extract({x}, '(?is)(?:^|\\s)' || '{name}' || '\\s*=\\s*(?:\"([^\"]*)\"|''([^'']*)''|([^\\s\"''>]+))', ['a', 'b', 'c'])"
+    return f"replace(concat({found}.a, {found}.b, {found}.c), '&amp;', '&')"
+
+
+def _elements_sql(name: str, of: str, *attrs: str) -> str:
+    """Rows (page_id, url, pos, body and attributes) of the elements of a name of the table `of` with a column m."""
+    return f"""(SELECT page_id, url, pos, {''.join(_attr_sql('head', a) + f' AS "{a}", ' for a in attrs)} string_split_regex(rest, '(?i)</{name}[\\s/>]')[1] AS body FROM (SELECT page_id, url, pos, regexp_extract(p, '(?s)^((?:[^>"'']|"[^"]*"|''[^'']*'')*)>?(.*)$', 1) AS head, regexp_extract(p, '(?s)^((?:[^>"'']|"[^"]*"|''[^'']*'')*)>?(.*)$', 2) AS rest
+      FROM (SELECT page_id, url, unnest(w[2:]) AS p, unnest(range(1, len(w))) AS pos FROM (SELECT page_id, url, string_split_regex(m, '(?i)<{name}[\\s/>]') AS w FROM {of}))))"""
+
+
+_BASE = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+_FOLDER = "coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+(/(?:[^?#]*/)?)', 1), ''), '/')"
+#: Of ../ and ./ before the first segment; the pages have no others.
+_UP = "regexp_replace(regexp_replace(concat({f}, {x}), '/\\./', '/'), '/(?:[^/?#]*/)?\\.\\./', '/')"
+
+
+def _joined_sql(x: str) -> str:
+    return f"""(CASE WHEN regexp_matches({x}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN {x} WHEN starts_with({x}, '//') THEN concat(split_part(url, '//', 1), {x}) WHEN starts_with({x}, '?') THEN concat(regexp_extract(url, '^([^?#]*)', 1), {x})
+      WHEN starts_with({x}, '/') THEN concat({_BASE}, {x}) ELSE concat({_BASE}, {_UP.replace('{f}', _FOLDER).replace('{x}', x)}) END)"""
+
+
+def _pages_sql(h: str) -> str:
+    return f"t AS (SELECT page_id, url, {h} AS h FROM v_html), pg AS MATERIALIZED (SELECT page_id, url, {_MARKUP} AS m FROM t)"
+
+
+_PAGES_M = _pages_sql(_TRICKS)
+
+
+def _tricky(spark, sf_dir) -> DataFrame:
+    return spark.sql(f"SELECT page_id, url, {_TRICKS} AS html FROM {{v_html}}", v_html=table(spark, sf_dir, "v_html"))
+
+
+def _hints(x: str, hints: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{h}')" for h in hints) + ")"
+
+
+@query(
+    f"""WITH {_PAGES_M}, a AS (SELECT page_id, url, pos, trim(href) AS href, lower(concat(trim(href), ' ', regexp_replace(body, '<[^>]+>', '', 'g'))) AS hint FROM {_elements_sql('a', 'pg', 'href')}),
+    l AS (SELECT *, {_joined_sql('href')} AS link FROM a WHERE href <> '' AND NOT regexp_matches(href, '^(mailto:|tel:|javascript:|#)')),
+    s AS (SELECT *, CASE WHEN {_hints('hint', pages.IR_HINTS)} THEN 0 WHEN {_hints('hint', pages.CONTACT_HINTS)} THEN 1 END AS kind, row_number() OVER (PARTITION BY page_id, link ORDER BY pos) AS nth FROM l
+      WHERE regexp_matches(link, '^https?://') AND NOT regexp_matches(lower(link), '({"|".join(e.replace(".", "[.]") for e in pages.SKIPPED_ENDINGS)})$') AND {_domain('link')} = {_domain('url')}),
+    f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM s WHERE nth = 1 AND kind IS NOT NULL)
+    SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY kind, pos) - 1)::INT AS ord, link, kind::INT AS kind FROM f WHERE n <= 20""",
+    "v_html",
+)
 def q_candidate_links(spark, sf_dir):
-    """No SQL: the early stop in page order is tested on small pages."""
-    return pages.candidate_links(table(spark, sf_dir, "v_html"))
+    return pages.candidate_links(_tricky(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {_PAGES_M}, i AS (SELECT page_id, url, pos, trim(src) AS src, alt FROM {_elements_sql('img', 'pg', 'src', 'alt')}),
+    l AS (SELECT *, {_joined_sql('src')} AS link FROM i WHERE src <> '' AND NOT starts_with(src, 'data:')),
+    s AS (SELECT *, CASE WHEN {_hints("lower(concat(src, ' ', alt))", pages.MAIL_IMAGE_HINTS)} THEN 0 ELSE 1 END AS plain, row_number() OVER (PARTITION BY page_id, link ORDER BY pos) AS nth FROM l
+      WHERE regexp_matches(link, '^https?://') AND regexp_matches(lower(split_part(link, '?', 1)), '({"|".join(e.replace(".", "[.]") for e in pages.IMAGE_ENDINGS)})$')),
+    f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM s WHERE nth = 1)
+    SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY plain, pos) - 1)::INT AS ord, link FROM f WHERE n <= 5""",
+    "v_html",
+)
 def q_candidate_images(spark, sf_dir):
-    return pages.candidate_images(table(spark, sf_dir, "v_html"))
+    return pages.candidate_images(_tricky(spark, sf_dir))
+
 
+_QUIET = "('hidden', 'submit', 'button', 'checkbox', 'radio', 'image', 'reset')"
+_FORMS = f"""fr AS (SELECT page_id, url, pos, {_joined_sql('trim(src)')} AS link FROM {_elements_sql('iframe', 'pg', 'src')} WHERE trim(src) <> ''),
+    em AS (SELECT page_id, arg_min(link, pos) AS link FROM fr WHERE regexp_matches(lower(link), '^https?://([^/?#]*[.])?({"|".join(h.replace(".", "[.]") for h in pages.FORM_HOSTS)})([/?#]|$)') GROUP BY page_id),
+    fo AS MATERIALIZED (SELECT page_id, url, pos, action, lower("role") AS rl, lower(concat_ws(' ', action, id, "class", "name", "aria-label")) AS names, body, lower(regexp_replace(body, '<[^>]+>', '', 'g')) AS txt, regexp_matches(body, '(?i)<textarea[\\s/>]') AS msg FROM {_elements_sql('form', 'pg', 'action', 'id', 'class', 'name', 'aria-label', 'role')}),
+    inp AS (SELECT page_id, url AS fat, lower(coalesce(nullif("type", ''), 'text')) AS ty FROM {_elements_sql('input', '(SELECT page_id, pos AS url, body AS m FROM fo)', 'type')}),
+    cnt AS (SELECT fo.page_id, fo.pos, count(*) FILTER (ty = 'password') AS pw, count(*) FILTER (ty = 'search') AS se, count(*) FILTER (ty NOT IN {_QUIET}) + any_value(len(regexp_extract_all(body, '(?i)<(?:textarea|select)[\\s/>]'))) AS n FROM fo LEFT JOIN inp ON inp.page_id = fo.page_id AND inp.fat = fo.pos GROUP BY ALL),
+    ok AS (SELECT fo.*, CASE WHEN msg THEN 60 ELSE 45 END AS conf FROM fo JOIN cnt ON cnt.page_id = fo.page_id AND cnt.pos = fo.pos
+      WHERE ({_hints('names', pages.FORM_HINTS)} OR {_hints('txt', pages.FORM_HINTS)}) AND NOT (pw > 0 OR rl = 'search' OR (se > 0 AND n <= 1) OR (NOT msg AND n <= 1 AND {_hints('names', pages.FORM_EXCLUDED)}))),
+    best AS (SELECT page_id, first(CASE WHEN action = '' THEN url ELSE {_joined_sql('action')} END ORDER BY conf DESC, pos) AS form_url, max(conf) AS conf FROM ok GROUP BY page_id),
+    formed AS (SELECT coalesce(em.page_id, best.page_id) AS page_id, coalesce(em.link, best.form_url) AS form_url, CASE WHEN em.link IS NOT NULL THEN 70 ELSE best.conf END::INT AS confidence FROM em FULL JOIN best ON best.page_id = em.page_id)"""
 
-@query()
+
+@query(f"WITH {_PAGES_M}, {_FORMS} SELECT * FROM formed", "v_html")
 def q_forms(spark, sf_dir):
-    return pages.page_form(table(spark, sf_dir, "v_html"))
+    return pages.page_form(_tricky(spark, sf_dir))
 
 
 @query(
@@ -960,7 +1035,7 @@ _FUND = "regexp_matches(coalesce({x}, ''), '(?i)\\bFUNDS?\\b|\\bUCITS\\b')"
     b AS (SELECT *, regexp_replace(split_part(dom, '.', 1), '[^a-z0-9]', '', 'g') AS brand FROM d WHERE dom NOT IN ({_in(scans.BLOCKED)})),
     f AS (SELECT key, first(dom ORDER BY (tld = '' OR NOT ends_with(dom, tld))::INT, rank) AS domain FROM b
       WHERE length(brand) >= 3 AND (brand = slug OR (length(slug) >= 4 AND starts_with(brand, slug)) OR (length(brand) >= 4 AND starts_with(slug, brand))) GROUP BY key)
-    SELECT w.key, w.provider, f.domain FROM w LEFT JOIN f ON f.key = w.key"""
+    SELECT w.key, w.provider, f.domain FROM w JOIN f ON f.key = w.key"""
 )
 def q_resolve_domain(spark, sf_dir):
     """Companies in the order in which they came, of which the quota lets 300 be searched for."""
@@ -974,9 +1049,18 @@ def q_dry_contacts(spark, sf_dir):
     return enrichment.dry_contacts(table(spark, sf_dir, "v_probe").withColumnRenamed("page_id", "key"))
 
 
-@query()
+@query(
+    f"""WITH {_pages_sql('html')}, {_FORMS}, mails AS ({_MAILS}), calls AS ({_CALLS}), of AS (SELECT page_id, url, html, regexp_extract(url, '^https?://([^/?#]+)', 1) AS company FROM v_html),
+    em2 AS (SELECT company, string_agg(value, ',' ORDER BY -c, value) AS emails FROM (SELECT company, value, max(confidence) AS c FROM mails JOIN of USING (page_id) GROUP BY ALL) GROUP BY company),
+    ph AS (SELECT company, string_agg(DISTINCT value, ',' ORDER BY value) AS phones FROM (SELECT company, digits, arg_min(value, page_id) AS value FROM calls JOIN of USING (page_id) GROUP BY ALL) GROUP BY company),
+    fm AS (SELECT company, arg_min(form_url, page_id) AS form FROM formed JOIN of USING (page_id) GROUP BY company),
+    heads AS (SELECT *, lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)) AS path, lower(concat_ws(' ', regexp_extract(html, '(?is)<title>(.*?)</title>', 1), array_to_string(regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), ' '))) AS t FROM of),
+    cp AS (SELECT company, arg_min(url, page_id) AS contact_page FROM heads WHERE list_has_any(string_split_regex(path, '[/_.\\-]+'), ['contact', 'contactus', 'inquiry', 'enquiry']) OR contains(path, '문의') OR {_hints('t', pages.CONTACT_TITLES)} GROUP BY company)
+    SELECT company, coalesce(emails, '') AS emails, coalesce(phones, '') AS phones, CASE WHEN emails IS NULL AND form IS NULL THEN contact_page ELSE form END AS form, contact_page, emails IS NULL AND form IS NULL AND contact_page IS NOT NULL AS fallback
+    FROM (SELECT DISTINCT company FROM of) LEFT JOIN em2 USING (company) LEFT JOIN ph USING (company) LEFT JOIN fm USING (company) LEFT JOIN cp USING (company)""",
+    "v_html",
+)
 def q_company_contacts(spark, sf_dir):
-    """No SQL: the parts have theirs; the merge over pages is tested on small rows."""
     captured = table(spark, sf_dir, "v_html").withColumn("company", F.regexp_extract("url", "^https?://([^/?#]+)", 1))
     found = enrichment.escalate(enrichment.company_contacts(captured))
     return found.withColumns({"emails": F.array_join("emails", ","), "phones": F.array_join("phones", ",")})

@@ -125,3 +125,23 @@ def test_stream_of_discoveries(spark, tmp_path):
 def test_windows_of_failures(spark):
     df = spark.createDataFrame([("u", 60), ("u", 120), ("v", 60)], "user_id string, s long").select("user_id", F.timestamp_seconds("s").alias("ts"))
     assert max(r.n for r in incremental.failures_per_window(df).collect()) == 2
+
+
+def test_pages_that_never_close_anything(spark):
+    """Work in proportion to the page, and the meaning that a browser gives it."""
+    import time
+
+    html = ["<script>" * 125_000, "<a href=x" * 100_000, "<!--" * 250_000, "<" * 1_000_000, "<form><input>" * 70_000]
+    df = _pages(spark, *html).cache()
+    df.count()
+    began = time.time()
+    assert [r.n for r in df.select("page_id", F.length(pages.visible_text(F.col("html"))).alias("n")).orderBy("page_id").collect()] == [0, 900_000, 1_000_000, 1_000_000, 0]
+    assert pages.candidate_links(df).count() == 0 and pages.page_form(df).count() == 0
+    assert time.time() - began < 60
+    odd = _pages(
+        spark, '<!-- <a href="/contact">c</a> --><script>"<a href=/ir>"</script><a title="a>b" href=/ir?x=1&amp;y=2>ir</a>', "<a href='../../contact'>c</a><a href='./about#t'>a</a><a href='?ir'>q</a>",
+        '<style><a href="/ir"></style><a data-href="/ir">n</a><a href="/x"><b>Contact', "<form action='/contact'><textarea name=a></textarea>",
+    )
+    links = {(r.page_id, r.link) for r in pages.candidate_links(odd).collect()}
+    assert links == {(0, "https://www.acme.com/ir?x=1&y=2"), (1, "https://www.acme.com/contact"), (1, "https://www.acme.com/en/about#t"), (1, "https://www.acme.com/en/?ir"), (2, "https://www.acme.com/x")}
+    assert [(r.page_id, r.form_url, r.confidence) for r in pages.page_form(odd).collect()] == [(3, "https://www.acme.com/contact", 60)]
