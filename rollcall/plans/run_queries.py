@@ -12,7 +12,7 @@ from rollcall.plans.captures import _packed
 from rollcall.plans.catalogue import _NORM, _SCORED, _TOKENS, _domain, _in, _values, query
 from rollcall.plans.views import table
 from rollcall.session import materialise, new_folder
-from rollcall.sources import registers, scans
+from rollcall.sources import registers, scans, workbooks
 from rollcall.streaming import first_come, lexical_index
 
 # ---------------------------------------------------------------- streams
@@ -251,3 +251,22 @@ def q_search_crawl(spark, sf_dir):
     hits = spark.sql("WITH " + _FOUND.replace("FROM customer", "FROM {customer}") + " SELECT * FROM hit", customer=c)
     seen = spark.sql(_SEEN.replace("FROM customer", "FROM {customer}"), customer=c)
     return scans.crawl_search(hits, seen, cap=7, pages=6)
+
+
+# ---------------------------------------------------------------- workbooks
+
+
+@query(
+    """SELECT CASE WHEN c_custkey % 3 = 0 THEN concat('name:kr:', lower(replace(c_name, '#', ''))) ELSE concat('dom:c', c_custkey, '.com') END AS key, CASE WHEN c_custkey % 11 = 1 THEN '' ELSE c_name END AS name,
+      CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('https://www.c', c_custkey, '.com/x?a=1&b=2') END AS domain, CASE WHEN c_custkey % 2 = 0 THEN concat('ir@c', c_custkey, '.com') END AS email
+    FROM customer WHERE c_custkey % 11 <> 1 OR c_custkey % 3 <> 0"""
+)
+def q_workbook(spark, sf_dir):
+    """Customers written to a workbook of four sheets, read again and imported."""
+    c, path = table(spark, sf_dir, "customer"), new_folder(spark, "workbook") + ".xlsx"
+    sheet = c.selectExpr(
+        "c_custkey AS at", "CASE WHEN c_custkey % 11 = 1 THEN ' ' ELSE c_name END AS `업체명`", "'대한민국' AS `국가`", "CASE WHEN c_custkey % 3 <> 0 THEN concat('https://www.c', c_custkey, '.com/x?a=1&b=2') END AS `사이트`",
+        "CASE WHEN c_custkey % 2 = 0 THEN concat('ir@c', c_custkey, '.com') END AS `이메일`", "c_acctbal",
+    )
+    workbooks.write_workbook(sheet, path, "at", links=("사이트",), sheet_rows=max(1, -(-c.count() // 4)))
+    return workbooks.read_imported(spark, path).select("key", "name", "domain", "email")
