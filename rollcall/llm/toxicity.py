@@ -131,8 +131,11 @@ class _Matcher:
             for end, (pattern, weight) in self.automaton.iter(folded):
                 span = (end - len(pattern) + 1, end, pattern, weight)
                 (spans if weight else excused).append(span)
-        if excused:
-            spans = [s for s in spans if not any(e[0] <= s[0] and s[1] <= e[1] for e in excused)]
+        if excused:  # one sweep: of the exceptions that begin no later than a match, the one that ends last decides
+            starts = np.array(sorted(e[0] for e in excused))
+            ends = np.maximum.accumulate([e[1] for e in sorted(excused, key=lambda e: e[0])])
+            before = np.searchsorted(starts, [s[0] for s in spans], side="right") - 1
+            spans = [s for s, k in zip(spans, before, strict=True) if k < 0 or ends[k] < s[1]]
         by_start: dict[int, float] = {}
         for at, _, _, weight in spans:  # of entries that begin at one place, the heaviest counts
             by_start[at] = max(by_start.get(at, 0.0), weight)

@@ -109,3 +109,16 @@ def test_the_automaton_finds_what_plain_searches_find():
     for _ in range(500):
         text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))
         assert np.allclose(_Matcher(model).features(text), _slow_features(model, text)), text
+
+
+def test_many_matches_and_exceptions_take_one_sweep():
+    import time
+
+    from rollcall.llm.toxicity import ToxicityModel, _Matcher
+
+    model = ToxicityModel(entries={" idiot": 2.0, " proof ": 1.0, " scum ": 3.0}, exceptions=["idiot proof", "scum of the earth"])
+    matcher = _Matcher(model)
+    assert matcher.features("an idiot proof design")[:2] == [0.0, 0.0]
+    assert matcher.features("idiot proof idiot scum of the")[1] > 0
+    began = time.time()
+    assert matcher.features("idiot proof " * 80_000)[:2] == [0.0, 0.0] and time.time() - began < 20
