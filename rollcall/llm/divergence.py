@@ -85,8 +85,8 @@ def _counted(groups: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator
         terms = list(n)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([lang] * len(terms)),
-                pa.array([source] * len(terms)),
+                pa.array([lang] * len(terms), pa.string()),
+                pa.array([source] * len(terms), pa.string()),
                 pa.array(terms, pa.binary()),
                 pa.array(n.values(), pa.int64()),
                 pa.array([docs[t] for t in terms], pa.int64()),

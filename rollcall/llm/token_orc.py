@@ -129,15 +129,15 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
     """What the files hold, one row for each document: doc_id, start, n_tokens, ids_crc32.
 
     A task reads its stripes in order and digests each document's pieces as they come; what it has of a
-    document is one row, and where a document lies across tasks, the checksums of its stretches are
-    combined by their lengths. No ids are moved.
+    document is one row. Only the first and the last document of a task may lie in others too: the checksums of their
+    stretches are combined by their lengths. No ids are moved.
     """
     data = spark.read.orc(f"{path}/data")
     kind = data.schema["doc_id"].dataType.simpleString() if "doc_id" in data.columns else "long"
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
-        key, doc, first, length, crc = None, None, 0, 0, 0
+        key, doc, first, length, crc, edge = None, None, 0, 0, 0, True
         for batch in batches:
             schema, done = batch.schema, []
             lists = batch.column("ids")
@@ -147,29 +147,31 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
             for n in range(batch.num_rows):
                 if (parts[n], ats[n]) != key:
                     if key is not None:
-                        done.append((*key, doc, first, length, crc))
+                        done.append((*key, doc, first, length, crc, edge))
+                        edge = False
                     key, doc, first, length, crc = (parts[n], ats[n]), docs[n], pieces[n], 0, 0
                 ids = flat[ends[n] : ends[n + 1]]
                 length += len(ids)
                 crc = zlib.crc32(ids.tobytes(), crc)
             yield _stretches(done, schema)
         if key is not None:
-            yield _stretches([(*key, doc, first, length, crc)], schema)
+            yield _stretches([(*key, doc, first, length, crc, True)], schema)
 
-    schema = f"part int, at long, doc_id {kind}, first int, length long, crc long"
+    schema = f"part int, at long, doc_id {kind}, first int, length long, crc long, edge boolean"
     with small_batches(spark):
         found = data.select("part", "at", "doc_id", "piece", "ids").mapInArrow(digest, schema)
         found = materialise(found, "token-digests")
     several = F.array_sort(F.collect_list(F.struct("first", "length", "crc"))).alias("s")
-    whole = found.groupBy("part", "at", "doc_id").agg(F.sum("length").alias("n_tokens"), several)  # a row for each task that has part of it
     joined = F.udf(lambda s: _crc_of_all([(r["length"], r["crc"]) for r in s]), "long")
-    whole = whole.withColumn("ids_crc32", F.when(F.size("s") == 1, F.col("s")[0]["crc"]).otherwise(joined("s")))
+    edges = found.where("edge").groupBy("part", "at", "doc_id").agg(F.sum("length").alias("n_tokens"), several)  # at most two documents of a task
+    whole = found.where("not edge").select("part", "at", "doc_id", F.col("length").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    whole = whole.unionByName(edges.withColumn("ids_crc32", joined("s")).drop("s"))
     starts = manifest(spark, path).select("part", F.col("start").alias("_from"))
     return whole.join(starts, "part").select("doc_id", (F.col("_from") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _stretches(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    part, at, doc, first, length, crc = zip(*rows, strict=True) if rows else ((),) * 6
+    part, at, doc, first, length, crc, edge = zip(*rows, strict=True) if rows else ((),) * 7
     return pa.RecordBatch.from_arrays(
         [
             pa.array(part, pa.int32()),
@@ -178,8 +180,9 @@ def _stretches(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
             pa.array(first, pa.int32()),
             pa.array(length, pa.int64()),
             pa.array(crc, pa.int64()),
+            pa.array(edge, pa.bool_()),
         ],
-        ["part", "at", "doc_id", "first", "length", "crc"],
+        ["part", "at", "doc_id", "first", "length", "crc", "edge"],
     )
 
 

@@ -64,7 +64,7 @@ def test_files_give_back_every_document(spark, monkeypatch):
 
 def test_documents_across_tasks_are_joined(spark, monkeypatch):
     """Small splits cut files between stripes, and a long document lies in several of them."""
-    monkeypatch.setattr(token_orc, "PIECE", 64)
+    monkeypatch.setattr(token_orc, "PIECE", 16)  # a writer looks at its stripe every 5,000 rows
     monkeypatch.setattr(token_orc, "STRIPE_BYTES", 64 << 10)
     rng = random.Random(11)
     long = " ".join(f"{rng.getrandbits(40):x}" for _ in range(60_000))
