@@ -132,10 +132,13 @@ def _tile(top: int):
             counts[np.searchsorted(group, gid), at] = left["n"].to_numpy()
             everywhere[at] = left["everywhere"].to_numpy()
         p = shares(counts, (total + v)[:, None])
+        # the block's terms that none of the tile's groups use are alike: one column stands for all of them
+        absent, bare = right["size"][0].as_py() - len(terms), shares(np.zeros_like(total), total + v)
         asked, others = np.flatnonzero(mine & 1), np.flatnonzero(mine & 2)
         out: list[tuple] = []
         for i in asked:
             values = divergence(np.broadcast_to(p[i], (len(others), len(terms))), p[others]).sum(axis=1)
+            values = values + np.uint64(absent) * divergence(np.broadcast_to(bare[i], len(others)), bare[others])
             out += [(lang, int(group[i]), "pair", int(group[j]), b"", int(x)) for j, x in zip(others, values, strict=True) if i != j]
         if right["heaps"][0].as_py():
             q = shares(everywhere, np.int64(whole + v))
@@ -188,19 +191,20 @@ def audit_sources(documents: DataFrame, least_docs: int = 3, top: int = 200, cel
 
     # every tile (block of terms, block of groups asking, block of groups asked) has the counts of its groups
     sizes = langs.select("lang", "v", "whole", "blocks", "rows")
-    tiles = sizes.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    blocked = kept.join(langs.select("lang", "blocks", "rows"), "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
+    filled = blocked.groupBy("lang", "block").agg(F.count("*").alias("size"))
+    tiles = sizes.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(filled, ["lang", "block"], "left").na.fill(0, ["size"])
     placed = groups.select("lang", "gid", "n", F.floor(F.col("gid") / group_block).cast("int").alias("own"))
     as_mine = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda k: F.struct(F.col("own").alias("mine"), k.alias("theirs")))
     as_theirs = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda k: F.struct(k.alias("mine"), F.col("own").alias("theirs")))
     meets = F.array_distinct(F.concat(as_mine, as_theirs))
     right = tiles.join(placed, "lang").select("*", F.explode(meets).alias("m")).select(
-        "lang", "block", "m.mine", "m.theirs", "gid", "n", "v", "whole",
+        "lang", "block", "m.mine", "m.theirs", "gid", "n", "v", "whole", "size",
         (F.when(F.col("own") == F.col("m.mine"), 1).otherwise(0) + F.when(F.col("own") == F.col("m.theirs"), 2).otherwise(0)).alias("side"),
         (F.col("m.theirs") == 0).alias("heaps"),
     )
     numbers = groups.select("lang", "source", "gid")
-    cut = kept.join(langs.select("lang", "blocks", "rows"), "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
-    cut = cut.select("lang", "block", "rows", "term", "everywhere", F.explode("counts").alias("c"))
+    cut = blocked.select("lang", "block", "rows", "term", "everywhere", F.explode("counts").alias("c"))
     cut = cut.select("lang", "block", "rows", "term", "everywhere", F.col("c.source").alias("source"), F.col("c.n").alias("n")).join(numbers, ["lang", "source"])
     cut = cut.withColumn("own", F.floor(F.col("gid") / group_block).cast("int"))
     left = cut.select("*", F.explode(meets).alias("m")).select("lang", "block", "m.mine", "m.theirs", "gid", "term", "n", "everywhere")
