@@ -973,39 +973,43 @@ def q_load_leads(spark, sf_dir):
     return found.select("company_id", "name", "listed", "domain", "email", "phone", "form_url", "status", "mx", "smtp")
 
 
-@query(
-    "SELECT (row_number() OVER (ORDER BY c.o, i.o, l.o) - 1)::INT AS ord, concat(c.v, '/', i.v, '/', l.v) AS label FROM (VALUES (0, 'KR'), (1, 'US'), (2, 'Atlantis')) c(o, v), (VALUES (0, '전체'), (1, '건설')) i(o, v), (VALUES (0, 'listed'), (1, 'unlisted')) l(o, v)"
-)
+#: The segments that companies are in, and how their countries are known.
+_SEGMENTS = "seg AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY country, industry, listed) - 1)::INT AS ord, country, industry, listed FROM (SELECT DISTINCT country, industry, listed FROM v_company))"
+
+
+@query(f"WITH {_SEGMENTS} SELECT ord, concat(country, '/', industry, '/', listed) AS label FROM seg", "v_company")
 def q_segments(spark, sf_dir):
-    return registers.segments(spark, ["KR", "US", "Atlantis"], ["전체", "건설"], ["listed", "unlisted"]).select("ord", "label")
+    return registers.segments_of(table(spark, sf_dir, "v_company")).select("ord", "label")
 
 
 @query(
-    """WITH s AS (SELECT * FROM (VALUES (0, 'kr', true, false), (1, 'kr', true, true), (2, 'us', true, false), (3, 'us', true, true), (4, 'atlantis', false, false), (5, 'atlantis', false, true)) AS t(ord, iso, known, specific)),
+    f"""WITH {_SEGMENTS}, s AS (SELECT ord, CASE country WHEN '대한민국' THEN 'kr' WHEN 'Japan' THEN 'jp' ELSE lower(country) END AS iso, country <> '' AS known, industry NOT IN ('전체', '기타') AS specific FROM seg),
     t AS (SELECT * FROM (VALUES """ + _values([(n, a, b or "", int(c)) for n, (a, b, c) in enumerate(registers.SOURCES)]) + """) AS t(priority, source, serves, broad_only))
-    SELECT ord, source, priority FROM s JOIN t ON (serves = '*' OR lower(serves) = iso OR (serves = '' AND known)) AND NOT (broad_only = 1 AND specific)"""
+    SELECT ord, source, priority FROM s JOIN t ON (serves = '*' OR (serves <> '' AND lower(serves) = iso) OR (serves = '' AND known)) AND NOT (broad_only = 1 AND specific)""",
+    "v_company",
 )
 def q_source_matrix(spark, sf_dir):
-    return registers.source_matrix(spark, registers.segments(spark, ["KR", "US", "Atlantis"], ["전체", "건설"], ["listed"]))
+    return registers.source_matrix(spark, registers.segments_of(table(spark, sf_dir, "v_company")))
 
 
-_SEG = "(VALUES (0, '대한민국', '대한민국', 'kr'), (1, 'US', 'us', 'us')) s(ord, country, cc, iso), (VALUES (0), (1)) n(i)"
+_SEG = "(SELECT *, CASE WHEN trim(country) = '' THEN 'xx' ELSE lower(trim(country)) END AS cc FROM seg) s, (VALUES (0), (1)) n(i)"
 
 
 @query(
-    f"""SELECT source, ord, name, domain, coalesce(registry, '') AS registry, listed, coalesce(market, '') AS market, CASE WHEN registry IS NULL THEN concat('dom:', domain) ELSE concat('reg:', registry, ':', lower(registry_id)) END AS key FROM (
-      SELECT 'edgar' AS source, ord, concat('전체 EDGAR Corp ', i) AS name, concat('us-edgar', i, '.com') AS domain, 'sec' AS registry, printf('CIK%07d', i) AS registry_id, 'unknown' AS listed, NULL AS market FROM {_SEG}
-      UNION ALL SELECT 'dart', ord, concat('전체 디에이알티 ', i), concat('kr-dart', i, '.co.kr'), 'dart', printf('KR%08d', i), 'unknown', NULL FROM {_SEG}
-      UNION ALL SELECT 'companies_house', ord, concat('전체 CH Ltd ', i), concat('gb-ch', i, '.co.uk'), 'companies_house', printf('GB%08d', i), 'unknown', NULL FROM {_SEG}
-      UNION ALL SELECT 'gleif', ord, concat('전체 GLEIF Co ', i), concat(cc, '-lei', i, '.com'), 'lei', concat('LEI-', cc, '-', i), 'unknown', NULL FROM {_SEG}
-      UNION ALL SELECT 'wikidata', ord, concat('전체 위키데이터 ', i), concat(cc, '-wiki', i, '.com'), 'wikidata', concat('Q-', cc, '-', i), 'unknown', NULL FROM {_SEG}
-      UNION ALL SELECT 'opencorporates', ord, concat('전체 OpenCorp ', i), concat(cc, '-oc', i, '.com'), 'opencorporates', concat(cc, '/', printf('%06d', i)), 'unknown', NULL FROM {_SEG}
-      UNION ALL SELECT 'search', ord, concat('전체 서치기업 ', i), concat(cc, '-search', i, '.com'), NULL, NULL, 'unknown', NULL FROM {_SEG}
-      UNION ALL SELECT 'sgx', ord, concat('전체 SGX 상장사 ', i), concat(cc, '-sgx', i, '.com'), 'sgx', printf('SGX%04d', i), 'listed', 'SGX' FROM {_SEG}
-      UNION ALL SELECT 'dummy', ord, concat('전체 더미기업 ', i), concat(cc, '-firm', i, '.com'), NULL, NULL, 'unknown', NULL FROM {_SEG})"""
+    f"""WITH {_SEGMENTS} SELECT source, ord, name, domain, coalesce(registry, '') AS registry, listed, coalesce(market, '') AS market, CASE WHEN registry IS NULL THEN concat('dom:', regexp_extract(domain, '[^.]+[.][^.]+$')) ELSE concat('reg:', registry, ':', lower(registry_id)) END AS key FROM (
+      SELECT 'edgar' AS source, ord, concat(industry, ' EDGAR Corp ', i) AS name, concat('us-edgar', i, '.com') AS domain, 'sec' AS registry, printf('CIK%07d', i) AS registry_id, listed, NULL AS market FROM {_SEG}
+      UNION ALL SELECT 'dart', ord, concat(industry, ' 디에이알티 ', i), concat('kr-dart', i, '.co.kr'), 'dart', printf('KR%08d', i), listed, NULL FROM {_SEG}
+      UNION ALL SELECT 'companies_house', ord, concat(industry, ' CH Ltd ', i), concat('gb-ch', i, '.co.uk'), 'companies_house', printf('GB%08d', i), listed, NULL FROM {_SEG}
+      UNION ALL SELECT 'gleif', ord, concat(industry, ' GLEIF Co ', i), concat(cc, '-lei', i, '.com'), 'lei', concat('LEI-', cc, '-', i), listed, NULL FROM {_SEG}
+      UNION ALL SELECT 'wikidata', ord, concat(industry, ' 위키데이터 ', i), concat(cc, '-wiki', i, '.com'), 'wikidata', concat('Q-', cc, '-', i), listed, NULL FROM {_SEG}
+      UNION ALL SELECT 'opencorporates', ord, concat(industry, ' OpenCorp ', i), concat(cc, '-oc', i, '.com'), 'opencorporates', concat(cc, '/', printf('%06d', i)), listed, NULL FROM {_SEG}
+      UNION ALL SELECT 'search', ord, concat(industry, ' 서치기업 ', i), concat(cc, '-search', i, '.com'), NULL, NULL, listed, NULL FROM {_SEG}
+      UNION ALL SELECT 'sgx', ord, concat(industry, ' SGX 상장사 ', i), concat(cc, '-sgx', i, '.com'), 'sgx', printf('SGX%04d', i), 'listed', 'SGX' FROM {_SEG}
+      UNION ALL SELECT 'dummy', ord, concat(industry, ' 더미기업 ', i), concat(cc, '-firm', i, '.com'), NULL, NULL, listed, NULL FROM {_SEG})""",
+    "v_company",
 )
 def q_dry_rows(spark, sf_dir):
-    segs = registers.segments(spark, ["대한민국", "US"], ["전체"], ["unknown"])
+    segs = registers.segments_of(table(spark, sf_dir, "v_company"))
     out = None
     for source in ("edgar", "dart", "companies_house", "gleif", "wikidata", "opencorporates", "search", "sgx", "dummy"):
         some = registers.dry_rows(segs, source).select(F.lit(source).alias("source"), "ord", "name", "domain", F.coalesce("registry", F.lit("")).alias("registry"), "listed", F.coalesce("market", F.lit("")).alias("market"), "key")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollcall.functions import dimensions as D
+from rollcall.functions import identity
 from rollcall.operators import crawl
 from rollcall.plans.catalogue import NOW, _domain, _values, query
 from rollcall.plans.views import table
@@ -105,9 +106,16 @@ def q_parsed_verdicts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", crawl.parse_verdict(F.expr(said), "m1").alias("v")).select("p_partkey", "v.*")
 
 
-@query("SELECT iso, label FROM (VALUES " + _values(sorted(D.korean_names().items())) + ") AS t(iso, label)")
+@query(
+    "SELECT iso, label, count(company_id) AS companies FROM (VALUES " + _values(sorted(D.korean_names().items())) + """) AS t(iso, label)
+    LEFT JOIN v_company ON iso = CASE country WHEN 'KR' THEN 'KR' WHEN '대한민국' THEN 'KR' WHEN 'US' THEN 'US' WHEN 'Japan' THEN 'JP' END GROUP BY ALL""",
+    "v_company",
+)
 def q_supported_countries(spark, sf_dir):
-    return crawl.supported_countries(spark)
+    """The countries that can be searched, with the companies that are known there."""
+    known = table(spark, sf_dir, "v_company").select(F.upper(identity.known_country(F.col("country"))).alias("iso"), "company_id")
+    counts = known.groupBy("iso").agg(F.count("company_id").alias("n"))
+    return crawl.supported_countries(spark).join(counts, "iso", "left").select("iso", "label", F.coalesce("n", F.lit(0)).alias("companies"))
 
 
 @query(

@@ -45,6 +45,14 @@ def segments(spark: SparkSession, countries: list[str], industries: list[str], l
     return spark.createDataFrame([(n, *r, "/".join(r)) for n, r in enumerate(rows)], "ord int, country string, industry string, listed string, label string")
 
 
+def segments_of(companies: DataFrame) -> DataFrame:
+    """ord, country, industry, listed, label: the segments that companies are in, in the order of their fields. One row for each
+    segment is numbered in one task."""
+    found = companies.select("country", "industry", "listed").distinct()
+    numbered = found.withColumn("ord", F.row_number().over(Window.orderBy("country", "industry", "listed")) - 1)
+    return numbered.select("ord", "country", "industry", "listed", F.concat_ws("/", "country", "industry", "listed").alias("label"))
+
+
 def source_matrix(spark: SparkSession, segs: DataFrame) -> DataFrame:
     """ord, source, priority: the sources that apply to each segment; exchanges and aggregators not to a specific industry."""
     table = spark.createDataFrame([(n, *s) for n, s in enumerate(SOURCES)], "priority int, source string, serves string, broad_only boolean")
