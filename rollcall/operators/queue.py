@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollcall.functions import identity
+
 from rollcall.functions.dimensions import COUNTRIES
 
 LISTED = ("listed", "unlisted", "unknown")
@@ -134,6 +136,44 @@ def enqueue(queue: DataFrame, offered: DataFrame) -> DataFrame:
     return both.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in queue.columns))
 
 
+def my_work(queue: DataFrame, company: DataFrame, contact: DataFrame, validation: DataFrame) -> DataFrame:
+    """user_id and the pending items that each user holds, as items shows them, with their place in the order of name and id.
+
+    What a user holds stays whatever filters say; rows whose company is gone are left out."""
+    held = queue.where("claimed_by is not null and status = 'pending'").join(company.select("company_id"), "company_id", "left_semi")
+    of = held.select("review_id", F.col("claimed_by").alias("user_id"), "company_id").join(company.select("company_id", "name"), "company_id").drop("company_id")
+    rows = items(held.select(*queue.columns), company, contact, validation).join(of, "review_id")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("name", "review_id"))).drop("name")
+
+
+# Fixed value: what an address that a person types must look like.
+TYPED_EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+
+
+def register_typed(queue: DataFrame, contact: DataFrame, typed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queue, contact, answers) after people typed addresses in: typed holds review_id, email and seq, the order (unique).
+
+    An address that is no candidate of its row yet becomes the last one and a contact of the company, with the
+    role ir, method manual and confidence 1, unless the company has that contact. answers: seq and registered: null where the
+    address is malformed, false where the row is unknown or has the candidate already.
+    """
+    plain = typed.select("seq", "review_id", F.trim("email").alias("email"))
+    good = plain.where(F.coalesce(F.col("email").rlike(TYPED_EMAIL), F.lit(False)))
+    first = good.groupBy("review_id", "email").agg(F.min("seq").alias("seq"))  # a later one finds it there
+    known = first.join(queue.select("review_id", "company_id", parse_candidates(F.col("candidates")).alias("_values")), "review_id")
+    new = known.where(~F.array_contains("_values", F.col("email")))
+    more = new.groupBy("review_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "email"))), lambda x: x["email"]).alias("_more"))
+    longer = F.to_json(F.concat(parse_candidates(F.col("candidates")), F.col("_more")))
+    after = queue.join(more, "review_id", "left").select(*(F.when(F.col("_more").isNotNull(), longer).otherwise(F.col(c)).alias(c) if c == "candidates" else F.col(c) for c in queue.columns))
+    made = new.select("company_id", F.col("email").alias("value")).distinct().withColumn("contact_id", identity.contact_id(F.col("company_id"), F.lit("email"), F.col("value")))
+    made = made.join(contact.select("contact_id"), "contact_id", "left_anti")
+    fixed = {"type": F.lit("email"), "role": F.lit("ir"), "extract_method": F.lit("manual"), "confidence": F.lit(1.0)}
+    rows = made.select(*(F.col(c) if c in made.columns else fixed.get(c, F.lit(None)).cast(contact.schema[c].dataType).alias(c) for c in contact.columns))
+    answers = plain.join(new.select("seq", F.lit(True).alias("_new")), "seq", "left")
+    valid = F.coalesce(F.col("email").rlike(TYPED_EMAIL), F.lit(False))
+    return after, contact.unionByName(rows), answers.select("seq", F.when(valid, F.coalesce("_new", F.lit(False))).alias("registered"))
+
+
 def decide(queue: DataFrame, decisions: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
     """(queue, audit rows) after decisions (review_id, status, user_id, user_name, selected).
 

@@ -90,13 +90,6 @@ def spent_until_budget(costs: DataFrame, budget: int) -> DataFrame:
     return summed.withColumn("spent", spent).where(F.col("spent") < budget).select(*costs.columns, "spent")
 
 
-def report_text(stats: DataFrame) -> DataFrame:
-    """label and text of a day's report from one row of statistics."""
-    label = F.when(F.col("total") == 0, "no leads").when(F.col("with_email") == 0, "no e-mails").otherwise("collected")
-    parts = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in sorted(stats.columns)]
-    return stats.select(label.alias("label"), F.concat_ws("\n", *parts).alias("text"))
-
-
 def throttle(failures: DataFrame, most: int = 5, window_seconds: int = 900) -> DataFrame:
     """user_id, second, n, retry_after: failures within the window up to each one, and the seconds until the
     oldest of those leaves it, 1 at least (0 while there are fewer than `most`)."""

@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from rollcall.plans import captures, catalogue, crawl_queries, merge_queries, run_queries  # noqa: F401  (they register their queries)
+from rollcall.plans import captures, catalogue, crawl_queries, desk_queries, merge_queries, run_queries  # noqa: F401  (they register their queries)
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the generated tables are not here")
