@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions import identity
 from rollcall.functions.dimensions import AMBIGUOUS_LABELS, KSIC, SIC, UK_SIC, korean_names
-from rollcall.operators.ledger import save_discovered
+from rollcall.operators.ledger import least_of_each, save_discovered
 
 
 def records(ledger: DataFrame, include_merged: bool = False) -> DataFrame:
@@ -61,7 +61,7 @@ def build_leads(found: DataFrame, contacts: DataFrame, existence: DataFrame, lab
 def ensure_discovered(ledger: DataFrame, leads: DataFrame, at: Column) -> DataFrame:
     """The ledger with a row for every lead's company; rows that are there stay untouched, unlike those of a crawl."""
     names = [c for c in leads.columns if c in ledger.columns]
-    new = leads.select(*names).dropDuplicates(["key"]).join(ledger.select("key"), "key", "left_anti")
+    new = least_of_each(leads.select(*names), "key").join(ledger.select("key"), "key", "left_anti")
     made = new.select(*(at.alias(c) if c in ("last_crawled_at", "first_seen") else F.col(c) if c in names else F.lit(None).cast(ledger.schema[c].dataType).alias(c) for c in ledger.columns))
     return ledger.unionByName(made)
 

@@ -18,14 +18,26 @@ def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(least.alias("_r")).select("_r.*")
 
 
-def save_discovered(ledger: DataFrame, found: DataFrame, at: Column) -> DataFrame:
+def least_of_each(rows: DataFrame, key: str) -> DataFrame:
+    """Of each key the row with the least values, column by column: the same one however the job runs."""
+    return rows.groupBy(key).agg(F.min(F.struct(*(c for c in rows.columns if c != key))).alias("_r")).select(key, "_r.*").select(*rows.columns)
+
+
+# Characters that a discovered company's columns hold; longer texts are cut.
+LENGTHS = {"name": 512, "region": 64, "reg_no": 64, "ticker": 32, "phone": 64, "ir_url": 512, "name_eng": 512, "market": 32}
+
+
+def save_discovered(ledger: DataFrame, found: DataFrame, at: Column, order: str | None = None) -> DataFrame:
     """New keys are inserted; a known key's row stays as it is but for last_crawled_at, the time of this crawl.
 
-    Of several found rows of one key any is inserted; columns that found lacks are null in new rows.
+    Of several found rows of one key the first by `order` is inserted, or the least where there is no order; columns that found
+    lacks are null in new rows, and texts are cut to LENGTHS.
     """
-    new = found.dropDuplicates(["key"]).select("key", *(F.col(c).alias(f"_{c}") for c in found.columns if c != "key"), F.lit(True).alias("_seen"))
+    one = least_of_each(found, "key") if order is None else first_of_each(found, "key", order).drop(order)
+    put = lambda c: F.substring(c, 1, LENGTHS[c]) if c in LENGTHS else F.col(c)
+    new = one.select("key", *(put(c).alias(f"_{c}") for c in one.columns if c != "key"), F.lit(True).alias("_seen"))
     both = ledger.withColumn("_known", F.lit(True)).join(new, "key", "full_outer")
-    held = set(found.columns) - {"key"}
+    held = set(one.columns) - {"key"}
     inserted = F.col("_known").isNull()
     return both.select(
         *(
@@ -48,7 +60,7 @@ def replace_contacts(contacts: DataFrame, desired: DataFrame) -> DataFrame:
     """The contacts after the companies in `desired` got exactly those: others' rows stay, theirs are replaced, ids are kept."""
     touched = desired.select("company_id").distinct()
     ids = identity.contact_id(F.col("company_id"), F.col("type"), F.col("value"))
-    new = desired.withColumn("contact_id", ids).select(*contacts.columns).dropDuplicates(["contact_id"])
+    new = least_of_each(desired.withColumn("contact_id", ids).select(*contacts.columns), "contact_id")
     return contacts.join(touched, "company_id", "left_anti").select(*contacts.columns).unionByName(new)
 
 

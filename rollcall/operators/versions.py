@@ -90,8 +90,8 @@ def _clip(c: str, length: int) -> Column:
     return F.substring(c, 1, length).alias(c)
 
 
-#: Characters that a company's name may have in its column.
-NAME_LENGTH = 500
+#: Characters that a company's name has in its column; longer ones are cut (a fixed value).
+NAME_LENGTH = 512
 
 
 def save_leads(leads: DataFrame, at: Column) -> Callable[[dict[str, DataFrame]], dict[str, DataFrame]]:

@@ -44,7 +44,7 @@ def test_leads_are_saved_whole_and_once(spark, tmp_path):
     assert book.change("run1", first) == 2
     assert book.change("run1", first) == 2 and book.manifest()["batches"] == ["run1"]
     cid = spark.range(1).select(identity.company_id(F.lit("dom:a.com"))).first()[0]
-    assert [(r.company_id, len(r.name), r.existence_confidence) for r in book.read("company").collect()] == [(cid, 500, 0.7)]
+    assert [(r.company_id, len(r.name), r.existence_confidence) for r in book.read("company").collect()] == [(cid, 512, 0.7)]
     queue = book.read("queue").first()
     assert (queue.candidates, queue.selected, queue.status) == ('["ir@a.com","info@a.com"]', "info@a.com", "pending")
     assert book.read("ledger").first().key == "dom:a.com" and book.read("contact").count() == 3
