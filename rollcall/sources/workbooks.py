@@ -1,8 +1,8 @@
 """Workbooks (XLSX) as a source and a sink.
 
 A file is read through Spark's own reader, so it may lie wherever Spark reads; its sheets are then read apart, each by
-a task that walks through the sheet's XML and hands rows on as they come. Sheets are written apart too, each by a task,
-and the driver only strings the finished sheets together in one file, one sheet at a time.
+a task that walks through the sheet's XML and hands rows on as they come. Sheets are written in pieces of some thousand
+rows, each by a task, and the driver only strings the finished pieces together in one file, a few at a time.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from rollcall.session import materialise, release
 
 #: Blank rows in a row that end a sheet; rows of a written sheet (a sheet can hold 1,048,576 with its header).
 BLANK_RUN, SHEET_ROWS = 200, 500_000
-#: Rows of a read sheet that are handed on together.
+#: Rows of a read sheet that are handed on together, and of a written one that are one piece.
 _BATCH = 5000
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _LINK = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -74,8 +74,11 @@ def _rows(book: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator[tuple
     """(number from 1, values) of a sheet's rows; rows without cells may be missing."""
     number = 0
     with book.open(part) as f:
-        for _, node in ElementTree.iterparse(f):
-            if node.tag == f"{{{_MAIN}}}row":
+        rows = None
+        for event, node in ElementTree.iterparse(f, ("start", "end")):
+            if event == "start":
+                rows = node if node.tag == f"{{{_MAIN}}}sheetData" else rows
+            elif node.tag == f"{{{_MAIN}}}row":
                 number = int(node.get("r") or number + 1)
                 values: list[str] = []
                 for cell in node.iter(f"{{{_MAIN}}}c"):
@@ -83,6 +86,8 @@ def _rows(book: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator[tuple
                     values += [""] * (at + 1 - len(values))
                     values[at] = _value(cell, shared)
                 node.clear()
+                if rows is not None:
+                    rows.clear()  # or the sheet's empty rows would stay
                 yield number, values
 
 
@@ -113,14 +118,14 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = _sheets(zipfile.ZipFile(io.BytesIO(content)))
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                parts = _sheets(_opened(content))
                 yield pa.RecordBatch.from_arrays([pa.array([file] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], ["file", "sheet", "part"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, sheet, part, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                book = zipfile.ZipFile(io.BytesIO(content))
+            for file, sheet, part, content in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+                book = _opened(content)
                 shared = [_text(s) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in book.namelist() else []
                 held: list[tuple[int, dict[str, str]]] = []
                 for record in sheet_records(book, part, shared):
@@ -135,6 +140,11 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     return sheets.join(files, "file").select("file", "sheet", "part", "content").repartition("file", "sheet").mapInArrow(read, _CELLS)
 
 
+def _opened(content: pa.BinaryScalar) -> zipfile.ZipFile:
+    """A workbook read where its bytes lie, without a copy."""
+    return zipfile.ZipFile(pa.BufferReader(content.as_buffer()))
+
+
 def _batch(file: str, sheet: int, held: list[tuple[int, dict[str, str]]]) -> pa.RecordBatch:
     cells = pa.array([list(c.items()) for _, c in held], pa.map_(pa.string(), pa.string()))
     return pa.RecordBatch.from_arrays(
@@ -162,11 +172,15 @@ def _letters(n: int) -> str:
     return out
 
 
-def _sheet_xml(names: list[str], rows: Iterator[tuple], links: tuple[int, ...]) -> tuple[bytes, bytes]:
-    """A sheet and its relations: texts as inline strings, addresses in the columns `links` as hyperlinks."""
-    body, targets = io.StringIO(), []
-    body.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}" xmlns:r="{_LINK}"><sheetData>')
-    for number, values in enumerate([tuple(names), *rows], 1):
+_HEAD = f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}" xmlns:r="{_LINK}"><sheetData>'
+_RELATIONS = f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{_PACK}">'
+
+
+def _rows_xml(rows: Iterator[tuple], first: int, links: tuple[int, ...]) -> tuple[str, str, str]:
+    """Rows of a sheet, numbered from `first`, with their hyperlinks and relations: texts as inline strings, addresses in the columns
+    `links` as hyperlinks (not in the header)."""
+    body, refs, relations = io.StringIO(), io.StringIO(), io.StringIO()
+    for number, values in enumerate(rows, first):
         body.write(f'<row r="{number}">')
         for at, value in enumerate(values):
             if value is None or value == "":
@@ -174,14 +188,10 @@ def _sheet_xml(names: list[str], rows: Iterator[tuple], links: tuple[int, ...])
             cell, text = f"{_letters(at)}{number}", _UNWRITABLE.sub("", str(value))
             body.write(f'<c r="{cell}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>')
             if at in links and number > 1 and text.startswith(("http://", "https://")):
-                targets.append((cell, text))
+                refs.write(f'<hyperlink ref="{cell}" r:id="r{cell}"/>')
+                relations.write(f'<Relationship Id="r{cell}" Type="{_LINK}/hyperlink" Target={quoteattr(text)} TargetMode="External"/>')
         body.write("</row>")
-    body.write("</sheetData>")
-    if targets:
-        body.write("<hyperlinks>" + "".join(f'<hyperlink ref="{c}" r:id="r{n}"/>' for n, (c, _) in enumerate(targets)) + "</hyperlinks>")
-    body.write("</worksheet>")
-    relations = "".join(f'<Relationship Id="r{n}" Type="{_LINK}/hyperlink" Target={quoteattr(t)} TargetMode="External"/>' for n, (_, t) in enumerate(targets))
-    return body.getvalue().encode(), f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{_PACK}">{relations}</Relationships>'.encode()
+    return body.getvalue(), refs.getvalue(), relations.getvalue()
 
 
 class _Out(io.RawIOBase):
@@ -216,26 +226,41 @@ def write_workbook(rows: DataFrame, path: str, order: str, title: str = "기업
     placed = in_place(dealt, "_part", order).withColumn("_sheet", F.floor(F.col("pos") / sheet_rows).cast("int"))
     at = tuple(names.index(c) for c in links)
 
-    def sheet(table: pa.Table) -> pa.Table:
+    def piece(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
-        xml, relations = _sheet_xml(names, zip(*(table[c].to_pylist() for c in names), strict=True), at)
-        return pa.table({"sheet": pa.array([table["_sheet"][0].as_py()], pa.int32()), "xml": pa.array([xml], pa.binary()), "relations": pa.array([relations], pa.binary())})
+        first = table["pos"][0].as_py() % sheet_rows + 2  # after the header
+        made = _rows_xml(zip(*(table[c].to_pylist() for c in names), strict=True), first, at)
+        return pa.table([pa.array([table[c][0].as_py()], pa.int32()) for c in ("_sheet", "_piece")] + [pa.array([x]) for x in made], names=["sheet", "piece", "xml", "refs", "relations"])
 
-    texts = placed.select("_sheet", "pos", *(F.col(c).cast("string").alias(c) for c in names))
-    made = materialise(texts.groupBy("_sheet").applyInArrow(sheet, "sheet int, xml binary, relations binary"), "sheets")
+    texts = placed.select("_sheet", F.floor(F.col("pos") % sheet_rows / _BATCH).cast("int").alias("_piece"), "pos", *(F.col(c).cast("string").alias(c) for c in names))
+    pieces = texts.groupBy("_sheet", "_piece").applyInArrow(piece, "sheet int, piece int, xml string, refs string, relations string")
+    made = materialise(pieces, "sheets")
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark._jsc.hadoopConfiguration())
     draft = target.suffix(".part")
     with _Out(files.create(draft, True)) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as book:
-        count = 0
-        for n in range(made.count()):
-            [row] = made.where(F.col("sheet") == n).collect()
-            book.writestr(f"xl/worksheets/sheet{n + 1}.xml", bytes(row["xml"]))
-            book.writestr(f"xl/worksheets/_rels/sheet{n + 1}.xml.rels", bytes(row["relations"]))
-            count += 1
-        if not count:
-            book.writestr("xl/worksheets/sheet1.xml", _sheet_xml(names, iter(()), ())[0])
-            count = 1
+        count = max(1, made.select("sheet").distinct().count())
+        for n in range(count):
+            of = made.where(F.col("sheet") == n)
+
+            def put(out, column: str, of: DataFrame = of) -> None:
+                for row in of.orderBy("piece").select(column).toLocalIterator():  # a partition at a time
+                    out.write(row[0].encode())
+
+            linked = not of.where("refs <> ''").isEmpty()
+            with book.open(f"xl/worksheets/sheet{n + 1}.xml", "w", force_zip64=True) as out:
+                out.write((_HEAD + _rows_xml(iter([tuple(names)]), 1, ())[0]).encode())
+                put(out, "xml")
+                out.write(b"</sheetData>")
+                if linked:
+                    out.write(b"<hyperlinks>")
+                    put(out, "refs")
+                    out.write(b"</hyperlinks>")
+                out.write(b"</worksheet>")
+            with book.open(f"xl/worksheets/_rels/sheet{n + 1}.xml.rels", "w", force_zip64=True) as out:
+                out.write(_RELATIONS.encode())
+                put(out, "relations")
+                out.write(b"</Relationships>")
         for name, text in _frame(count, title):
             book.writestr(name, text)
     files.delete(target, False)
